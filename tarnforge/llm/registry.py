@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import common, neardup
+import public_tokenizers
+
+import corpus_pipeline
+from tarnforge.llm import chat, decontaminate, html, importance, mixing, neardup, pii, quality, tokens, toxicity
+from tarnforge.llm.common import table
 
 QUERIES, SQL = {}, {}
 
+#: The vocabulary that op3 counts with.
+VOCABULARY = "piece_bpe_32k.model"
+
 
-def _query(name):
+def _query(name, sql=None):
     def add(f):
         QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
         return f
 
     return add
@@ -17,4 +26,56 @@ def _query(name):
 
 @_query("op1_minhash_neardup")
 def op1(spark, sf_dir):
-    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_weak_supervision_pii")
+def op2(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_digest_cache_tokens")
+def op3(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@_query("op4_temperature_mixing")
+def op4(spark, sf_dir):
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "n_tokens", "weight", "copies", "kept")
+
+
+@_query("op5_importance_resampling")
+def op5(spark, sf_dir):
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op6_relational_chat", chat.SQL)
+def op6(spark, sf_dir):
+    return chat.read_back(chat.formatted(chat.with_injection(table(spark, sf_dir, "conversations"))))
+
+
+@_query("op7_two_pass_html")
+def op7(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+@_query("op8_ratio_quality")
+def op8(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_automaton_decontamination")
+def op9(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+@_query("op10_segment_toxicity")
+def op10(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
