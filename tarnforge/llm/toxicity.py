@@ -30,6 +30,8 @@ WORD_PRIOR, STEM_PRIOR = 12.0, 40.0
 DRIFT, MOST = 0.75, 6.0
 #: A segment counts if chance gives its score less often than this in a clean text of its length.
 ALPHA = 0.05
+#: Quantiles of clean texts' best scores that fix the law.
+TAIL = (0.8, 0.98)
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 
@@ -118,6 +120,9 @@ class Model:
         else:
             s = np.fromiter((self._score(w, own) for w in words), np.float64, len(words))
         at = np.nonzero(s > 0)[0]
+        # A word tells what it tells once: like the counts, which are of documents.
+        told: set[bytes] = set()
+        at = np.array([i for i in at if not (words[i] in told or told.add(words[i]))], np.int64)
         return len(words), segments(at.tolist(), (s[at] - DRIFT).tolist(), DRIFT)
 
     def features(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
@@ -213,11 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
     seen = common.map_arrow(rows, features, "toxic long, n long, scores array<double>").toArrow()
     toxic, n, scores = seen.column("toxic").to_numpy(), seen.column("n").to_numpy(), seen.column("scores").to_pylist()
     best = np.array([s[-1] if s else 0.0 for s in scores])
-    # Gumbel law of clean texts' best scores by the method of moments: rate * best - log n has a fixed spread.
+    # Gumbel law of clean texts' best scores, fitted to the upper quantiles, where it has to hold: rate * best - log n
+    # has the place, and best has the spread, of a standard one.
     clean = (toxic == 0) & (n > 0)
-    spread = max(float(np.std(best[clean])), 0.05)
-    model.rate = math.pi / (spread * math.sqrt(6))
-    model.place = float(np.mean(model.rate * best[clean] - np.log(n[clean]))) - 0.5772156649
+    high, higher = np.quantile(best[clean], TAIL)
+    gumbel = [-math.log(-math.log(q)) for q in TAIL]
+    model.rate = (gumbel[1] - gumbel[0]) / max(float(higher - high), 0.05)
+    model.place = float(np.quantile(model.rate * best[clean] - np.log(n[clean]), TAIL[0])) - gumbel[0]
     x = np.log1p(np.array([model.features(int(k), [(0, 0, v) for v in s]) for k, s in zip(n, scores, strict=True)]).reshape(-1, 2))
     model.curve = _logistic(x, toxic.astype(float))
     model.memo = {}
