@@ -6,8 +6,8 @@ would. Two texts meet in some table exactly if they share a half key of either c
 that one text alone holds cannot complete a table key, so table keys are formed only from the others.
 
 Texts that meet are confirmed on their full shingle sets. Members of a table are first held against
-pivots, so that a large group becomes one component without all of its pairs; what is still apart
-after that is compared exhaustively, across components only.
+pivots, so that a large group becomes one component without all of its pairs. Among what is still apart
+after that, an exact prefix filter finds every pair across components that can be similar enough.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnforge.llm import common
@@ -97,10 +97,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels (rep, n, comp)`` after the components that ``links (u, v)`` of representatives join are one."""
+    """``labels (rep, comp)`` after the components that ``links (u, v)`` of representatives join are one."""
     at = lambda c: labels.select(F.col("rep").alias(c), F.col("comp").alias(f"{c}_comp"))
     found = components(links.join(at("u"), "u").join(at("v"), "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v")))
-    return common.cut(labels.join(found.withColumnRenamed("node", "comp"), "comp", "left").select("rep", "n", F.coalesce("root", "comp").alias("comp")), "labels")[0]
+    return common.cut(labels.join(found.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "labels")[0]
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -112,10 +112,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members ``(key, rep, comp, n)`` of those tables' buckets that still hold more than one component."""
+    """Members ``(key, rep, comp)`` of those tables' buckets that still hold more than one component."""
     here = members.join(labels, "rep")
     split = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return here.join(split, "key").select("key", "rep", "comp", "n")
+    return here.join(split, "key").select("key", "rep", "comp")
+
+
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(u, v)`` of ``apart``'s texts in different components that can be similar enough: all such pairs.
+
+    Shingles are put in one order, rarest first. Two similar texts share one early in the order of both,
+    where what is left of either still suffices for the intersection; shingles of one text alone only count
+    as places taken. Noisy copies of one text thus meet at few of their shingles, or at none.
+    """
+    comp = apart.select(F.col("rep").alias("doc_id"), "comp").distinct()
+    here = sets.join(comp, "doc_id").select("doc_id", "comp", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("part"), "shingles")
+    tokens = here.select("doc_id", "comp", "n", "part", F.explode("shingles").alias("s"))
+    often = tokens.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = tokens.join(often, "s").groupBy("doc_id", "comp", "n", "part").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("l"))
+    early = ranked.select("doc_id", "comp", "n", (F.col("n") - F.size("l")).alias("alone"), F.posexplode("l").alias("i", "t"))
+    early = early.select("doc_id", "comp", "n", "t.s", (F.col("n") - F.col("alone") - F.col("i")).alias("left")).where(100 * F.col("left") >= percent * F.col("n"))
+    early, _ = common.cut(early, "prefixes")
+    split = early.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
+    mixed = early.join(split, "s")
+    # The largest component of each shingle meets the others only.
+    most = mixed.groupBy("s", "comp").count().groupBy("s").agg(F.max_by("comp", "count").alias("major"))
+    few = mixed.join(most, "s").where("comp <> major").select("s", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "comp", "n", "left")))
+    fits = (F.col("comp_x") != F.col("comp")) & ((100 + percent) * F.least("left", "left_x") >= percent * (F.col("n") + F.col("n_x")))
+    return few.join(mixed, "s").where(fits).select(F.least("doc_id_x", "doc_id").alias("u"), F.greatest("doc_id_x", "doc_id").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int = 10, seed: int = 20240607) -> DataFrame:
@@ -134,7 +158,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     texts = docs.select("doc_id", "text")
     signed, _ = common.cut(common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), "signatures")
     able = signed.where("doc_id is not null and digest is not null")
-    classes, classes_at = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes, classes_at = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
 
     # Half keys that more than one class holds, and the table keys that they complete.
     halves = classes.select("rep", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half"))))).alias("h")).select("rep", "h.side", "h.half")
@@ -147,32 +171,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     common.drop(spark, keys_at)
 
     # A text can stand for several classes if rows of one doc_id differ; labels are by node.
-    labels, _ = common.cut(classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("rep").alias("comp")), "labels")
+    labels, _ = common.cut(classes.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets, sets_at = common.cut(common.map_arrow(texts.join(wanted, "doc_id"), _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
 
+    # Rows of one doc_id are one node; where their texts differ, it stands for several sets.
+    repeated = able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
     used = [classes_at, members_at, sets_at]
-    for turn, pivots in enumerate((1, 8, 8)):
+    for turn, pivots in enumerate((1, 8, 0)):
         apart, path = common.cut(_apart(members, labels), "apart")
         used.append(path)
-        members = apart.select("key", "rep")
         if apart.isEmpty():
             break
-        order = F.xxhash64("rep", F.lit(turn)) if turn == 0 else F.xxhash64("rep", F.lit(turn), "key")
-        pivot = apart.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")).select("key", "p.*")
-        nearest = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("v", F.lit(turn)).alias("o"), F.col("v").alias("v")))), 1, pivots)
-        pairs = apart.join(pivot, "key").where("comp <> other").groupBy(F.col("rep").alias("u")).agg(nearest.alias("p")).select("u", F.explode("p.v").alias("v"))
+        if pivots:
+            members = apart.select("key", "rep")
+            # A text that shares many tables lies in the middle of its group: it comes first.
+            weight = apart.groupBy("rep").agg((-F.count("*")).alias("o"))
+            pivot = apart.join(weight, "rep").groupBy("key").agg(F.min(F.struct("o", F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")).select("key", "p.*")
+            nearest = F.slice(F.array_sort(F.collect_set(F.struct("o", "v"))), 1, pivots)
+            pairs = apart.join(pivot, "key").where("comp <> other").groupBy(F.col("rep").alias("u")).agg(nearest.alias("p")).select("u", F.explode("p.v").alias("v"))
+        else:
+            pairs = _prefix_pairs(apart, sets, percent)
         labels = _merged(labels, _confirmed(pairs, sets, percent))
-    else:
-        apart, path = common.cut(_apart(members, labels), "apart")
-        used.append(path)
-        if not apart.isEmpty():
-            most = apart.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("major"))
-            few = apart.join(most, "key").where("comp <> major").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-            pairs = few.join(apart, "key").where((F.col("cx") != F.col("comp")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))).select(F.least("x", "rep").alias("u"), F.greatest("x", "rep").alias("v")).distinct()
-            labels = _merged(labels, _confirmed(pairs, sets, percent))
 
-    # Rows of one doc_id are one node: classes that share a doc_id are linked through it.
+    # Rows of one doc_id are one node; where their texts differ, it stands for several sets.
     repeated = able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
     by_class = classes.select("digest", "rep").join(labels.select("rep", "comp"), "rep")
     placed = able.select("doc_id", "digest").join(by_class, "digest").select("doc_id", "comp")
