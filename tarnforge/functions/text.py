@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -123,6 +124,6 @@ def code_complexity(functions: Column, classes: Column, lines: Column) -> Column
 
 def human_size(size: Column) -> Column:
     """Bytes by powers of 1024 with two decimals."""
-    power = F.when(size > 0, F.least(F.floor(F.log(F.lit(1024.0), size)), F.lit(4))).otherwise(0)
+    power = F.when(size > 0, F.least(F.floor(F.log(size) / math.log(1024)), F.lit(4))).otherwise(0)
     unit = F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB"))), (power + 1).cast("int"))
     return F.concat_ws(" ", F.format_string("%.2f", (size / F.pow(F.lit(1024.0), power)).cast("double")), unit)

@@ -211,5 +211,5 @@ def imports(content: Column) -> Column:
     """Modules that a source text imports, JS, TS and Python forms, without repeats."""
     js = F.regexp_extract_all(content, F.lit(r"(?m)(?:from|require\(|import)\s*[\"']([^\"']+)[\"']"), F.lit(1))
     py = F.regexp_extract_all(content, F.lit(r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+[\w.]+)"), F.lit(1))
-    plain = F.regexp_extract_all(content, F.lit(r"(?m)^\s*import\s+([\w.]+)"), F.lit(1))
+    plain = F.regexp_extract_all(content, F.lit(r"(?m)^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$"), F.lit(1))
     return F.array_distinct(F.filter(F.concat(js, py, plain), lambda x: x != ""))

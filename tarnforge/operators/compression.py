@@ -10,17 +10,18 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: UTF-8 bytes from which a content is compressed.
 LEAST = 10_240
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def zipped(s: pd.Series) -> pd.Series:
     return s.map(lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unzipped(s: pd.Series) -> pd.Series:
     def one(t: str) -> str:
         try:
