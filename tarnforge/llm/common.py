@@ -24,7 +24,7 @@ LOWER = bytes(range(256)).lower()
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is configured."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if sc.applicationId not in _own:

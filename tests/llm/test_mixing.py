@@ -1,8 +1,10 @@
 import math
 import re
+import struct
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from tarnforge.llm import mixing
 
@@ -37,6 +39,40 @@ def check(rows, out, budget, longest):
         assert len(copies[s]) <= 2 and (not copies[s] or max(copies[s]) - min(copies[s]) <= 1)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints (given as tuples) and strings."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute(rows, budget, seed=3):
+    """Copies by doc_id: all documents of a source in the order of their blocks, then their own, until the room is filled."""
+    n = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
+    own = defaultdict(list)
+    for i, _, s in rows:
+        own[s].append(i)
+    total = {s: sum(n[i] for i in ids) for s, ids in own.items()}
+    copies = {}
+    for s, w in zip(total, mixing.weights(list(total.values()), budget)[0]):
+        quota = int(w * budget + 0.5)
+        epochs, room = divmod(quota, total[s])
+        blocks = -(-len(own[s]) // mixing.BLOCK_DOCS)
+
+        def place(i):
+            h = spark_hash(i, (seed,))
+            return spark_hash(s, h % blocks, epochs, (seed,)), spark_hash(h, epochs, (seed,)), h
+
+        for i in sorted(own[s], key=place):
+            room -= n[i]
+            copies[i] = epochs + (room >= 0)
+            if room < 0:
+                room = -math.inf
+    return copies
+
+
 def test_documents(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
@@ -46,6 +82,7 @@ def test_documents(spark, sf, monkeypatch):
         out = mixing.mixed(docs, budget).collect()
         assert len(out) == len(rows)
         check(rows, out, budget or sum(size), max(size) + 1)
+        assert {r.doc_id: r.copies for r in out} == brute(rows, budget or sum(size))
 
 
 def test_edges(spark):
