@@ -13,7 +13,7 @@ _own: dict[str, str] = {}
 def fresh(spark: SparkSession, what: str) -> str:
     """An unused path in the session's shared folder; in a folder of our own only where none is named."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _own.get(sc.applicationId)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _own.get(sc.applicationId)
     if not root:
         root = _own[sc.applicationId] = tempfile.mkdtemp(prefix="tarnforge-")
         sc.setCheckpointDir(root)
