@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnforge.functions import detect, diff, score, text, vector
-from tarnforge.operators import chunking, graph, metrics, search, stats, tracking
+from tarnforge.operators import analysis, chunking, graph, metrics, search, stats, tracking
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
 from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, NOW, STORE, at, history, interactions, projects, query_vector, store, table
@@ -690,6 +690,56 @@ def indexed_share(spark, d):
     return _six(share(files, files.where("path % 3 > 0")), "percent")
 
 
+_LINES = "select source as file, n_chars % 1500 as line from documents"
+
+
+@query("semantic_coherence", f"with c as (select *, row_number() over () as i from ({_LINES})), p as (select a.file, case when abs(a.line - b.line) < 50 then 1.0 when abs(a.line - b.line) < 200 then 0.5 else 0.0 end as s from c a join c b on a.file = b.file and a.i < b.i) select file, round(100 * avg(cast(s as double)), 6) as coherence from p group by 1")
+def semantic_coherence(spark, d):
+    c = table(spark, d, "documents").select(F.col("source").alias("file"), (F.col("n_chars") % 1500).alias("line"))
+    return _six(analysis.coherence(c), "coherence")
+
+
+@query("chunk_quality", "select count(*) as chunks, round(100.0 * avg(case when doc_id % 3 = 0 then 1 else 0 end), 6) as atomic_rate, round(100.0 * avg(case when text like '%token%' then 1 else 0 end), 6) as documented_rate, round(100.0 * avg(case when doc_id % 4 > 0 then 1 else 0 end), 6) as related_rate from documents")
+def chunk_quality(spark, d):
+    c = table(spark, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, "atomic").otherwise("group").alias("granularity"), F.when(F.contains("text", F.lit("token")), "yes").alias("documentation"), (F.col("doc_id") % 4).alias("relations"))
+    return _six(analysis.quality(c), "atomic_rate", "documented_rate", "related_rate")
+
+
+@query("compression_gate", "select octet_length(encode(text)) > 10240 as long, count(*) as chunks from documents group by 1")
+def compression_gate(spark, d):
+    from tarnforge.operators.compression import LEAST
+
+    return table(spark, d, "documents").groupBy((F.octet_length("text") > LEAST).alias("long")).agg(F.count("*").alias("chunks"))
+
+
+@query("distinct_contents", "select count(*) as chunks, count(distinct text) as contents, count(distinct source) as sources from documents")
+def distinct_contents(spark, d):
+    """What a content-keyed cache of embeddings would save."""
+    t = table(spark, d, "documents")
+    return t.agg(F.count("*").alias("chunks"), F.countDistinct(F.sha2("text", 256)).alias("contents"), F.countDistinct("source").alias("sources"))
+
+
+@query("recent_code", f"with {STORE} select id, strftime(updated_at, {_F}) as updated_at from store where content_type = 'code' and language = 'typescript' order by store.updated_at desc, id limit 10")
+def recent_code(spark, d):
+    found = search.Filters(content_type="code", language="typescript").apply(store(spark, d, False))
+    return _stamp(found.select("id", "updated_at").orderBy(F.desc("updated_at"), "id").limit(10), "updated_at")
+
+
+@query("docs_by_role", f"with {STORE} select role, count(*) as chunks, count(distinct file_path) as files from store where content_type = 'doc' group by 1")
+def docs_by_role(spark, d):
+    found = search.Filters(content_type="doc").apply(store(spark, d, False))
+    return found.groupBy("role").agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"))
+
+
+@query("unit_metrics")
+def unit_metrics(spark, d):
+    """Semantic units of a source text made from each document's first word."""
+    name = F.regexp_replace(F.lower(F.split("text", r"\s+")[0]), r"[^a-z]", "")
+    body = F.concat(F.lit("import x from 'y';\nclass A"), name, F.lit(" {\n  f(a) { return a; }\n}\nfunction g"), name, F.lit("(a) {\n  if (a) { return 1; }\n}\n"))
+    rows = analysis.unit_rows(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("typescript").alias("language"), body.alias("content")))
+    return analysis.unit_metrics(rows)
+
+
 # Rows without a twin, and the stream ----------------------------------------------------------------
 
 
