@@ -46,3 +46,31 @@ def to_table(out: str) -> Callable[[DataFrame, int], None]:
 def counted(events: DataFrame, late: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """An extension: events by tumbling window and type, late ones within the watermark."""
     return events.withWatermark("timestamp", late).groupBy(F.window("timestamp", window), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "type", "n")
+
+
+def debounced(events: DataFrame, quiet: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
+    """The last event of each path once ``quiet`` time has passed since it, by event time; each new event starts the wait anew.
+
+    State is one event a path and goes when it is emitted.
+    """
+    import pandas as pd
+
+    wait = int(pd.Timedelta(quiet).total_seconds() * 1000)
+
+    def settle(key, batches, state):
+        if state.hasTimedOut:
+            event_id, kind, at = state.get
+            state.remove()
+            yield pd.DataFrame({"event_id": [event_id], "type": [kind], "path": [key[0]], "timestamp": [pd.Timestamp(at, unit="us")]})
+            return
+        last = state.get if state.exists else None
+        for b in batches:
+            for r in b.itertuples():
+                now = (int(r.event_id), r.type, int(r.timestamp.value // 1000))
+                if last is None or (now[2], now[0]) >= (last[2], last[0]):
+                    last = now
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[2] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    keyed = events.withWatermark("timestamp", late).groupBy("path")
+    return keyed.applyInPandasWithState(settle, EVENTS, "event_id long, type string, at long", "append", "EventTimeTimeout")

@@ -33,3 +33,19 @@ def test_windows(spark, tmp_path):
     q = events.counted(events.read(spark, src)).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == 120
+
+
+def test_debounced(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    at = lambda s: T + datetime.timedelta(seconds=s)
+
+    def run(batch):
+        spark.createDataFrame(batch, events.EVENTS).coalesce(1).write.mode("append").parquet(src)
+        settled = events.debounced(events.read(spark, src))
+        settled.writeStream.option("checkpointLocation", mark).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.event_id, r.type, r.path) for r in spark.read.parquet(out).collect())
+
+    assert run([(1, "add", "a", at(0)), (2, "change", "a", at(1)), (3, "add", "b", at(0))]) == []
+    assert (2, "change", "a") not in run([(4, "change", "a", at(2))])
+    run([(5, "add", "c", at(60))])
+    assert run([(6, "add", "d", at(61))])[:2] == [(3, "add", "b"), (4, "change", "a")]
