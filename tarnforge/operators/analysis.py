@@ -195,3 +195,51 @@ def optimised(text: str, chunks: list[str], found: list[tuple[int, int, str, flo
     parts = ["\n".join(lines[a - 1 : b]) for a, b, _, c in found if c > sure]
     parts = [p for p in parts if 50 < len(p) < 2000]
     return parts if sum(map(len, parts)) >= 0.8 * len(text) else chunks
+
+
+_MEMBER = re.compile(r"^\s*(?:(public|private|protected)\s+)?(?:(?:static|async|readonly|abstract|get|set)\s+)*(?:def\s+)?([A-Za-z_#]\w*)\s*(?:<[^>]*>)?\(", re.M)
+
+
+def class_parts(code: str, group: int = 3) -> list[tuple[str, str]]:
+    """A class as ``(kind, code)``: its head with the fields, then its methods by visibility in groups.
+
+    The head is what stands outside the methods. Methods keep their order inside a visibility.
+    """
+    lines = code.split("\n")
+    from tarnforge.operators.chunking import _extent
+
+    taken: set[int] = set()
+    methods: dict[str, list[str]] = {"public": [], "protected": [], "private": []}
+    at = 1
+    while at < len(lines):
+        m = _MEMBER.match(lines[at])
+        opens = m and (lines[at].rstrip().endswith((":", "{", "}")) and m[2] not in ("if", "for", "while", "switch", "return", "catch"))
+        if not opens:
+            at += 1
+            continue
+        end = _extent(lines, at)
+        hidden = m[1] or ("private" if m[2].startswith(("#", "__")) and not m[2].endswith("__") else "protected" if m[2].startswith("_") and not m[2].startswith("__") else "public")
+        methods[hidden].append("\n".join(lines[at:end]))
+        taken |= set(range(at, end))
+        at = end
+    out = [("definition", "\n".join(x for i, x in enumerate(lines) if i not in taken))]
+    for kind, own in methods.items():
+        out += [(f"{kind} methods", "\n".join(own[i : i + group])) for i in range(0, len(own), group)]
+    return out
+
+
+def problems(chunk: dict) -> list[str]:
+    """What is wrong with a semantic chunk, by the schema's rules; empty if nothing is."""
+    place = chunk.get("position") or {}
+    rules = [
+        ("id is missing", bool(chunk.get("id"))),
+        ("unknown type", chunk.get("type") in PRIORITY),
+        ("code is empty", bool((chunk.get("code") or "").strip())),
+        ("language is missing", bool(chunk.get("language"))),
+        ("file is missing", bool(chunk.get("file"))),
+        ("lines are out of order", 1 <= place.get("first", 0) <= place.get("last", 0)),
+        ("quality is out of range", 0 <= chunk.get("quality", -1) <= 100),
+        ("relevance is out of range", 0 <= chunk.get("relevance", -1) <= 100),
+        ("tokens are negative", chunk.get("tokens", 0) >= 0),
+    ]
+    return [name for name, holds in rules if not holds]

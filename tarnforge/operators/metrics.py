@@ -73,3 +73,22 @@ def as_json(points: DataFrame, path: str) -> None:
 def as_csv(points: DataFrame, path: str) -> None:
     """CSV with every field quoted and quotes doubled."""
     points.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+
+
+def recorded(records: DataFrame, kind: str, values: dict[str, str], *kept: str) -> DataFrame:
+    """Metric points of wide records: a row for each of ``values`` (column by unit), beside ``kept`` columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"), F.lit(u).alias("unit")) for c, u in values.items())))
+    return records.select(*kept, F.lit(kind).alias("type"), each.alias("m")).select(*kept, "type", "m.*")
+
+
+def enrichment(runs: DataFrame) -> DataFrame:
+    """By model: calls, success in per cent and mean time, of ``runs (model, success, ms)``; each call counts once."""
+    return runs.groupBy("model").agg(F.count("*").alias("processed"), (100 * F.avg(F.when(F.col("success"), 1.0).otherwise(0.0))).alias("success_percent"), F.avg(F.col("ms").cast("double")).alias("avg_ms"))
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two set-ups' results ``(query_id, id, points)`` side by side: means by query, and which is better."""
+    mean = lambda df, n: df.groupBy("query_id").agg(F.avg("points").alias(f"points_{n}"), F.count("*").alias(f"results_{n}"))
+    both = mean(a, "a").join(mean(b, "b"), "query_id", "full").fillna(0)
+    better = F.when(F.col("points_a") > F.col("points_b"), "a").when(F.col("points_a") < F.col("points_b"), "b").otherwise("even")
+    return both.withColumn("better", better)

@@ -274,10 +274,10 @@ def project_summary(spark, d):
     return stats.project_summary(projects(spark), c, e)
 
 
-@query("version_stats", f"with {HISTORY} select chunk_id, count(*) as versions, min(version) as first_version, max(version) as last_version, count(*) filter (change_type = 'created') as created, count(*) filter (change_type = 'updated') as updated, count(*) filter (change_type = 'deleted') as deleted, round(avg(change_percentage), 4) as avg_change from versions group by 1")
+@query("version_stats", f"with {HISTORY} select chunk_id, count(*) as versions, min(version) as first_version, max(version) as last_version, count(*) filter (change_type = 'created') as created, count(*) filter (change_type = 'updated') as updated, count(*) filter (change_type = 'deleted') as deleted, round(avg(change_percentage), 6) as avg_change from versions group by 1")
 def version_stats(spark, d):
     out = stats.version_stats(stores.replayed_versions(history(spark, d)))
-    return out.withColumn("avg_change", F.round("avg_change", 4)).withColumns({c: F.col(c).cast("long") for c in ("first_version", "last_version")})
+    return out.withColumn("avg_change", F.round("avg_change", 6)).withColumns({c: F.col(c).cast("long") for c in ("first_version", "last_version")})
 
 
 # Store ----------------------------------------------------------------------------------------------
@@ -404,9 +404,9 @@ def recent_projects_of_user(spark, d):
     return _stamp(tracking.recent_projects(projects(spark), interactions(spark, d), 7), "last_at")
 
 
-@query("interaction_stats", f"with {INTERACTIONS}, {_P} select p.project_id, count(interaction_id) as interactions, cast(sum(case when success then 1 else 0 end) as bigint) as succeeded, cast(sum(case when not success then 1 else 0 end) as bigint) as failed, count(distinct interaction_type) as types, round(avg(duration_ms), 4) as avg_ms from p left join inter i on p.project_id = i.project_id group by 1")
+@query("interaction_stats", f"with {INTERACTIONS}, {_P} select p.project_id, count(interaction_id) as interactions, cast(sum(case when success then 1 else 0 end) as bigint) as succeeded, cast(sum(case when not success then 1 else 0 end) as bigint) as failed, count(distinct interaction_type) as types, round(avg(duration_ms), 6) as avg_ms from p left join inter i on p.project_id = i.project_id group by 1")
 def interaction_stats(spark, d):
-    return tracking.interaction_stats(projects(spark), interactions(spark, d)).withColumn("avg_ms", F.round("avg_ms", 4))
+    return tracking.interaction_stats(projects(spark), interactions(spark, d)).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
 _REL = "case when contains(lower(text), 'and') then 0.9 when regexp_matches(lower(text), 'project|code|file') then 0.7 else 0.5 end"
@@ -637,20 +637,20 @@ def _points(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("metric_id"), F.col("event_type").alias("type"), F.col("value").alias("score"), F.col("ts").alias("timestamp"))
 
 
-@query("search_quality_stats", "select event_type as type, count(*) as n, round(avg(value), 4) as mean, round(quantile_cont(value, 0.5), 4) as median, round(min(value), 4) as least, round(max(value), 4) as greatest from events group by 1")
+@query("search_quality_stats", "select event_type as type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(min(value), 6) as least, round(max(value), 6) as greatest from events group by 1")
 def search_quality_stats(spark, d):
     out = metrics.quality(_points(spark, d), "type")
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "median", "least", "greatest")})
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "median", "least", "greatest")})
 
 
-@query("score_histogram", "with s as (select min(value) as lo, max(value) as hi from events), g as (select cast(range as integer) as bucket, lo + (range + 0.5) * (hi - lo) / 10 as midpoint, lo, hi from range(10), s) select bucket, round(midpoint, 4) as midpoint, (select count(*) from events where value < hi and cast(floor((value - lo) / ((hi - lo) / 10)) as integer) = bucket) as n from g")
+@query("score_histogram", "with s as (select min(value) as lo, max(value) as hi from events), g as (select cast(range as integer) as bucket, lo + (range + 0.5) * (hi - lo) / 10 as midpoint, lo, hi from range(10), s) select bucket, round(midpoint, 6) as midpoint, (select count(*) from events where value < hi and cast(floor((value - lo) / ((hi - lo) / 10)) as integer) = bucket) as n from g")
 def score_histogram(spark, d):
-    return metrics.histogram(_points(spark, d)).withColumn("midpoint", F.round("midpoint", 4))
+    return metrics.histogram(_points(spark, d)).withColumn("midpoint", F.round("midpoint", 6))
 
 
-@query("metrics_filter", "select event_id as metric_id, round(value, 4) as score from events where event_type = 'click' and ts >= timestamp '2024-01-10' order by ts desc, event_id desc limit 50")
+@query("metrics_filter", "select event_id as metric_id, round(value, 6) as score from events where event_type = 'click' and ts >= timestamp '2024-01-10' order by ts desc, event_id desc limit 50")
 def metrics_filter(spark, d):
-    return metrics.points(_points(spark, d), "click", "2024-01-10 00:00:00", 50).select("metric_id", F.round("score", 4).alias("score"))
+    return metrics.points(_points(spark, d), "click", "2024-01-10 00:00:00", 50).select("metric_id", F.round("score", 6).alias("score"))
 
 
 @query("log_filter", "select event_id as log_id, level from (select *, ['debug', 'info', 'warn', 'error'][event_id % 4 + 1] as level from events) where level in ('warn', 'error') and user_id = 3")
@@ -682,6 +682,24 @@ def rolling_history(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 2).alias("total"))
 
 
+@query("metric_rows", "select event_id as run_id, 'indexing' as type, unnest(['files', 'seconds']) as name, unnest([cast(user_id as double), round(value, 2)]) as value, unnest(['count', 's']) as unit from events where event_id % 5 = 0")
+def metric_rows(spark, d):
+    runs = table(spark, d, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("files"), F.round("value", 2).alias("seconds"))
+    return metrics.recorded(runs, "indexing", {"files": "count", "seconds": "s"}, "run_id")
+
+
+@query("enrichment_by_model", "select 'm' || (user_id % 4) as model, count(*) as processed, round(100.0 * avg(case when event_type <> 'error' then 1 else 0 end), 6) as success_percent, round(avg(value), 6) as avg_ms from events group by 1")
+def enrichment_by_model(spark, d):
+    runs = table(spark, d, "events").select(F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("ms"))
+    return _six(metrics.enrichment(runs), "success_percent").withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("ab_report", "with a as (select user_id as q, avg(value) as p, count(*) as n from events where event_id % 2 = 0 group by 1), b as (select user_id as q, avg(value) as p, count(*) as n from events where event_id % 2 = 1 group by 1) select coalesce(a.q, b.q) as query_id, round(coalesce(a.p, 0), 6) as points_a, coalesce(a.n, 0) as results_a, round(coalesce(b.p, 0), 6) as points_b, coalesce(b.n, 0) as results_b, case when coalesce(a.p, 0) > coalesce(b.p, 0) then 'a' when coalesce(a.p, 0) < coalesce(b.p, 0) then 'b' else 'even' end as better from a full join b on a.q = b.q")
+def ab_report(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("points"))
+    return metrics.compared(e.where("id % 2 = 0"), e.where("id % 2 = 1")).withColumns({c: F.round(c, 6) for c in ("points_a", "points_b")})
+
+
 @query("indexed_share", "with s as (select source as p, count(distinct doc_id) as scanned, count(distinct case when doc_id % 3 > 0 then doc_id end) as indexed from documents group by 1) select p as project_path, scanned, indexed, round(100.0 * indexed / scanned, 6) as percent from s")
 def indexed_share(spark, d):
     from tarnforge.sources.files import indexed_share as share

@@ -63,3 +63,39 @@ def enriched(chunks: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
     summary = F.array_join(F.slice(F.split(F.trim("content"), r"\s+"), 1, 12), " ")
     return chunks.select("id", summary.alias("summary"), F.slice(F.array_sort(F.array_distinct(words)), 1, 5).alias("keywords"), F.lit("offline").alias("model"))
+
+
+def prompts(name: str | None = None, has: str | None = None) -> dict[str, str]:
+    """Known prompts by name, or those whose text has a word."""
+    return {k: v for k, v in PROMPTS.items() if name in (None, k) and (has is None or has.lower() in v.lower())}
+
+
+def answered(rows: DataFrame, task: str, model: Callable[[list[str]], list[str]], required: list[str] = (), batch: int = 10) -> DataFrame:
+    """``id, answer, valid`` of ``rows (id, kind, content)``: the task's prompt through ``model``, a bounded number at a time.
+
+    A batch that fails is tried one by one; what fails then has a null answer.
+    """
+    import pyarrow as pa
+
+    template = PROMPTS[task]
+
+    def one(prompt: str) -> str | None:
+        try:
+            return model([prompt])[0]
+        except Exception:  # a model's failure is a row's, not the job's
+            return None
+
+    def run(batches):
+        for b in batches:
+            asked = [rendered(template, {"kind": k or "text", "content": c or ""}) for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out: list[str | None] = []
+            for i in range(0, len(asked), batch):
+                part = asked[i : i + batch]
+                try:
+                    out += model(part)
+                except Exception:
+                    out += [one(p) for p in part]
+            valid = [x is not None and (not required or valid_output(x, list(required)) is not None) for x in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(valid, pa.bool_())], ["id", "answer", "valid"])
+
+    return rows.select(F.col("id").cast("string").alias("id"), "kind", "content").mapInArrow(run, "id string, answer string, valid boolean")

@@ -120,3 +120,32 @@ def test_quality(spark):
     df = spark.createDataFrame([("atomic", "d", 1), ("group", "", 0)], "granularity string, documentation string, relations int")
     assert tuple(analysis.quality(df).first()) == (2, 50.0, 50.0, 50.0)
     assert tuple(analysis.quality(df.limit(0)).first()) == (0, 0.0, 0.0, 0.0)
+
+
+def test_class_parts():
+    code = "class A {\n  x = 1;\n  a() { return 1; }\n  private b() {\n    return 2;\n  }\n  c() { }\n  d() { }\n  e() { }\n}"
+    parts = analysis.class_parts(code)
+    assert [k for k, _ in parts] == ["definition", "public methods", "public methods", "private methods"]
+    assert parts[0][1] == "class A {\n  x = 1;\n}" and "return 2" in parts[3][1]
+    py = "class B:\n    def a(self):\n        return 1\n\n    def _b(self):\n        return 2"
+    assert [k for k, _ in analysis.class_parts(py)] == ["definition", "public methods", "protected methods"]
+
+
+def test_problems():
+    good = {"id": "a", "type": "class", "code": "x", "language": "python", "file": "f", "position": {"first": 1, "last": 2}, "quality": 50, "relevance": 60, "tokens": 3}
+    assert analysis.problems(good) == [] and len(analysis.problems({})) == 8
+    assert analysis.problems(good | {"position": {"first": 3, "last": 2}}) == ["lines are out of order"]
+
+
+def test_answers(spark):
+    from tarnforge.sources import providers
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError
+        return ['{"keywords": []}' for _ in prompts]
+
+    df = spark.createDataFrame([("1", "code", "x"), ("2", None, "bad"), ("3", "text", None)], "id string, kind string, content string")
+    out = {r.id: (r.answer, r.valid) for r in providers.answered(df, "keywords", model, ["keywords"]).collect()}
+    assert out == {"1": ('{"keywords": []}', True), "2": (None, False), "3": ('{"keywords": []}', True)}
+    assert list(providers.prompts("summary")) == ["summary"] and len(providers.prompts(has="json")) == 3
