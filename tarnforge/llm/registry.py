@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from tarnforge.llm import chat, decontaminate, html, importance, mixing, neardup, pii, quality, tokens, toxicity
+from tarnforge.llm import chat, decontaminate, html, importance, mixing, neardup, pii, quality, tokens, toxicity, twins
 from tarnforge.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -24,7 +24,7 @@ def _query(name, sql=None):
     return add
 
 
-@_query("op1_minhash_neardup")
+@_query("op1_minhash_neardup", twins.NEAR_DUPLICATES)
 def op1(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,7 +65,7 @@ def op8(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@_query("op9_automaton_decontamination")
+@_query("op9_automaton_decontamination", twins.CONTAMINATION)
 def op9(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")

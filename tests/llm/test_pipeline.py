@@ -25,3 +25,16 @@ def test_stages_in_turn(spark, sf):
 def test_registered():
     assert "pipeline" in registry.QUERIES
     assert {int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op")} == set(range(1, 11))
+
+
+def test_sql_twins(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in registry.SQL.items():
+        df, rel = registry.QUERIES[name](spark, sf), c.sql(sql)
+        assert sorted(df.columns) == sorted(rel.columns)
+        names = sorted(df.columns)
+        assert sorted(map(tuple, df.select(names).collect())) == sorted(map(tuple, rel.select(*names).fetchall())), name
