@@ -286,12 +286,13 @@ _EDIT = "case when doc_id % 7 = 0 then 'x ' || content when doc_id % 5 = 0 then
 
 
 def _edited(spark, d):
+    """The store, and a later one: some files are renamed, some contents edited."""
     s = store(spark, d)
-    new = s.where("doc_id % 3 <> 1").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x "), F.col("content"))).when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!" * 200))).otherwise(F.col("content")))
-    return s.where("doc_id % 4 <> 2"), new.withColumn("updated_at", at(F.col("doc_id") * 3)).withColumn("version", F.lit(9))
+    new = s.withColumn("id", F.when(F.col("doc_id") % 5 == 2, F.concat("id", F.lit("~"))).otherwise(F.col("id"))).withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x "), F.col("content"))).when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!" * 200))).otherwise(F.col("content")))
+    return s, new.withColumn("updated_at", at(F.col("doc_id") * 3)).withColumn("version", F.lit(9))
 
 
-_BOTH = f"old as (select * from store where doc_id % 4 <> 2), new as (select * replace ({_EDIT} as content, timestamp '2024-01-01' + to_minutes(doc_id * 3) as updated_at, 9 as version) from store where doc_id % 3 <> 1)"
+_BOTH = f"old as (select * from store), new as (select * replace (case when doc_id % 5 = 2 then id || '~' else id end as id, {_EDIT} as content, timestamp '2024-01-01' + to_minutes(doc_id * 3) as updated_at, 9 as version) from store)"
 
 
 @query("upsert", f"with {STORE}, {_BOTH} select coalesce(o.id, n.id) as id, sha256(coalesce(n.content, o.content)) as content_sha256, coalesce(o.version, n.version) as version, strftime(coalesce(n.updated_at, o.updated_at), {_F}) as updated_at, strftime(coalesce(o.created_at, n.created_at), {_F}) as created_at from old o full join new n on o.id = n.id")
@@ -315,7 +316,7 @@ def store_changes(spark, d):
     return stores.changes(*_edited(spark, d)).select("id", "change_type")
 
 
-@query("history_append", f"with {STORE}, {_BOTH}, {HISTORY}, last as (select chunk_id, max(version) as v from versions group by 1) select coalesce(o.id, n.id) as chunk_id, coalesce(v, 0) + 1 as version, coalesce(length(n.content), 0) - coalesce(length(o.content), 0) as length_change from old o full join new n on o.id = n.id left join last on last.chunk_id = 'c' || coalesce(o.doc_id, n.doc_id) where o.id is null or n.id is null or o.content is distinct from n.content")
+@query("history_append", f"with {STORE}, {_BOTH}, {HISTORY}, last as (select chunk_id, max(version) as v from versions group by 1) select coalesce(o.id, n.id) as chunk_id, coalesce(v, 0) + 1 as version, coalesce(length(n.content), 0) - coalesce(length(o.content), 0) as length_change from old o full join new n on o.id = n.id left join last on last.chunk_id = 'c' || o.doc_id where o.id is null or n.id is null or o.content is distinct from n.content")
 def history_append(spark, d):
     old, new = _edited(spark, d)
     names = store(spark, d, False).select("id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("cid"))
@@ -468,10 +469,9 @@ def _sql_hash(value, start, factor):
     return f"list_reduce(list_transform(string_split({value}, ''), lambda c: cast(unicode(c) as bigint)), lambda h, c: {_INT32.format(f'h * {factor} + c')}, cast({start} as bigint))"
 
 
-@query("rolling_hash", f"select doc_id, {_sql_hash('left(text, 40)', 0, 31)} as rolling, {_sql_hash('left(text, 40)', 5381, 33)} as djb2 from documents")
+@query("rolling_hash", f"select doc_id, {_sql_hash('text', 0, 31)} as rolling, {_sql_hash('text', 5381, 33)} as djb2 from documents")
 def rolling_hash(spark, d):
-    head = F.left(F.col("text"), F.lit(40))
-    return table(spark, d, "documents").select("doc_id", text.rolling_hash(head).alias("rolling"), text.djb2_hash(head).alias("djb2"))
+    return table(spark, d, "documents").select("doc_id", text.rolling_hash(F.col("text")).alias("rolling"), text.djb2_hash(F.col("text")).alias("djb2"))
 
 
 @query("project_ids", f"select source as project_path, lpad(lower(printf('%x', abs({_sql_hash('source', 0, 31)}))), 8, '0') as project_id from (select distinct source from documents)")
@@ -564,25 +564,25 @@ _ROLE = """case when regexp_matches(p, 'test|spec') then 'test' when regexp_matc
   when content_type = 'code' and regexp_matches(c, 'example|demo') then 'example' when content_type = 'code' and regexp_matches(c, 'export (function|const|class|default)') and regexp_matches(c, '\\b(utils?|helpers?|common|tools?|format|parse|validate|calculate)\\b') then 'helper'
   when content_type = 'code' then 'core' else 'other' end"""
 _PATHS = "case doc_id % 6 when 0 then 'src/test/a.ts' when 1 then 'examples/demo.ts' when 2 then 'templates/base.ts' when 3 then 'src/utils/Helper.ts' when 4 then 'src/core/app.ts' else 'lib/b.ts' end"
-_BODY = "case doc_id % 5 when 0 then 'export function formatDate() {} // util' when 1 then 'describe(x)' when 2 then 'a demo' when 3 then 'export class A' else left(content, 50) end"
+_BODY = "case doc_id % 5 when 0 then 'export function formatDate() {} // util' when 1 then 'describe(x)' when 2 then 'a demo' when 3 then 'export class A' else content end"
 
 
 @query("detect_role", f"with {STORE}, r as (select id, content_type, lower({_PATHS}) as p, lower({_BODY}) as c from store) select id, {_ROLE} as role from r")
 def detect_role(spark, d):
     i = F.col("doc_id")
     path = F.element_at(F.array(*map(F.lit, ("src/test/a.ts", "examples/demo.ts", "templates/base.ts", "src/utils/Helper.ts", "src/core/app.ts", "lib/b.ts"))), (i % 6 + 1).cast("int"))
-    body = F.when(i % 5 == 0, "export function formatDate() {} // util").when(i % 5 == 1, "describe(x)").when(i % 5 == 2, "a demo").when(i % 5 == 3, "export class A").otherwise(F.left(F.col("content"), F.lit(50)))
+    body = F.when(i % 5 == 0, "export function formatDate() {} // util").when(i % 5 == 1, "describe(x)").when(i % 5 == 2, "a demo").when(i % 5 == 3, "export class A").otherwise(F.col("content"))
     return store(spark, d, False).select("id", detect.role(path, body, F.col("content_type")).alias("role"))
 
 
 # Graph ----------------------------------------------------------------------------------------------
 
 
-@query("graph_create", f"with {GRAPH} select name, etype as \"entityType\" from ent union all select 'customer ' || c_custkey, 'customer' from customer where c_custkey % 10 = 0")
+@query("graph_create", f"with {GRAPH} select name, etype as \"entityType\" from ent union all select 'customer ' || c_custkey, 'customer' from customer")
 def graph_create(spark, d):
     e, _ = graph_tables(spark, d)
     known = e.where("entityType <> 'supplier'").select("name", F.lit("again").alias("entityType"), "observations")
-    new = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name"), F.lit("customer").alias("entityType"), F.array().cast("array<string>").alias("observations"))
+    new = table(spark, d, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name"), F.lit("customer").alias("entityType"), F.array().cast("array<string>").alias("observations"))
     return graph.create_entities(e, new.unionByName(known)).select("name", "entityType")
 
 
@@ -682,9 +682,9 @@ def rolling_history(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 2).alias("total"))
 
 
-@query("metric_rows", "select event_id as run_id, 'indexing' as type, unnest(['files', 'seconds']) as name, unnest([cast(user_id as double), round(value, 2)]) as value, unnest(['count', 's']) as unit from events where event_id % 5 = 0")
+@query("metric_rows", "select event_id as run_id, 'indexing' as type, unnest(['files', 'seconds']) as name, unnest([cast(user_id as double), round(value, 2)]) as value, unnest(['count', 's']) as unit from events")
 def metric_rows(spark, d):
-    runs = table(spark, d, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("files"), F.round("value", 2).alias("seconds"))
+    runs = table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("files"), F.round("value", 2).alias("seconds"))
     return metrics.recorded(runs, "indexing", {"files": "count", "seconds": "s"}, "run_id")
 
 
@@ -700,12 +700,12 @@ def ab_report(spark, d):
     return metrics.compared(e.where("id % 2 = 0"), e.where("id % 2 = 1")).withColumns({c: F.round(c, 6) for c in ("points_a", "points_b")})
 
 
-@query("indexed_share", "with s as (select source as p, count(distinct doc_id) as scanned, count(distinct case when doc_id % 3 > 0 then doc_id end) as indexed from documents group by 1) select p as project_path, scanned, indexed, round(100.0 * indexed / scanned, 6) as percent from s")
+@query("indexed_share", "with s as (select source as p, count(distinct doc_id) as scanned, count(distinct vec_id) as indexed from documents left join embeddings on doc_id = vec_id group by 1) select p as project_path, scanned, indexed, round(100.0 * indexed / scanned, 6) as percent from s")
 def indexed_share(spark, d):
     from tarnforge.sources.files import indexed_share as share
 
     files = table(spark, d, "documents").select(F.col("source").alias("project_path"), F.col("doc_id").alias("path"))
-    return _six(share(files, files.where("path % 3 > 0")), "percent")
+    return _six(share(files, files.join(table(spark, d, "embeddings"), F.col("path") == F.col("vec_id"), "left_semi")), "percent")
 
 
 _LINES = "select source as file, n_chars % 1500 as line from documents"
@@ -751,9 +751,9 @@ def docs_by_role(spark, d):
 
 @query("unit_metrics")
 def unit_metrics(spark, d):
-    """Semantic units of a source text made from each document's first word."""
+    """Semantic units of a source text made from each document: declarations of its own name, then the whole text."""
     name = F.regexp_replace(F.lower(F.split("text", r"\s+")[0]), r"[^a-z]", "")
-    body = F.concat(F.lit("import x from 'y';\nclass A"), name, F.lit(" {\n  f(a) { return a; }\n}\nfunction g"), name, F.lit("(a) {\n  if (a) { return 1; }\n}\n"))
+    body = F.concat(F.lit("import x from 'y';\nclass A"), name, F.lit(" {\n  f(a) { return a; }\n}\nfunction g"), name, F.lit("(a) {\n  if (a) { return 1; }\n}\n"), F.col("text"))
     rows = analysis.unit_rows(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("typescript").alias("language"), body.alias("content")))
     return analysis.unit_metrics(rows)
 
@@ -802,8 +802,8 @@ def intelligent_chunks(spark, d):
 
 @query("code_symbols")
 def code_symbols(spark, d):
-    """Declarations in a source text made from each document's first words."""
+    """Declarations in a source text made from each document: three of its own name, then the whole text."""
     s = table(spark, d, "documents")
     name = F.regexp_replace(F.lower(F.split("text", r"\s+")[0]), r"[^a-z]", "")
-    body = F.concat(F.lit("import os\nclass A"), name, F.lit(":\n    def f"), name, F.lit("(self):\n        return 1\n\ndef g"), name, F.lit("():\n    pass\n"))
+    body = F.concat(F.lit("import os\nclass A"), name, F.lit(":\n    def f"), name, F.lit("(self):\n        return 1\n\ndef g"), name, F.lit("():\n    pass\n"), F.col("text"))
     return chunking.symbol_rows(s.select(F.col("doc_id").alias("id"), body.alias("content")))
