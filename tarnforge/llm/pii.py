@@ -22,6 +22,8 @@ from tarnforge.llm import common
 #: Base kinds in the order that breaks ties, then those that only the method proposes.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "name")
+#: Kinds whose format is a checksum or a range: that one of them is real but fails it is known to be this rare, not estimated.
+CHECKED, MISSED = ("card", "ip"), 1e-4
 
 # Possessive and anchored forms of the base patterns: the same matches, in linear time and constant stack.
 # A match of email or ip starts where its run of characters does, or where the match before has ended.
@@ -185,6 +187,8 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
                     for i in range(4):
                         sums[i, c, k[i]] += n * p
             rates = {(i, c, v): sums[i, c, v] / sum(sums[i, c, u] for u in "+-0") for i, c, v in prior}
+            if kind in CHECKED:
+                rates[0, 1, "-"] = min(rates[0, 1, "-"], MISSED)
             share = mass[1] / sum(mass)
             post = {k: odds(k, rates, share) for k in own}
 
@@ -199,7 +203,12 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
                     soft[i, v, c] += n * p
         whole = {(i, c): sum(soft[j, v, c] for j, v in values if j == i) for i, c in itertools.product(range(6), (0, 1))}
         for k in own:
-            z = math.log(mass[1] / mass[0]) + sum(math.log(soft[i, v, 1] / whole[i, 1]) - math.log(soft[i, v, 0] / whole[i, 0]) for i, v in features(k))
+            z = math.log(mass[1] / mass[0])
+            for i, v in features(k):
+                real = soft[i, v, 1] / whole[i, 1]
+                if kind in CHECKED and (i, v) == (0, "-"):
+                    real = min(real, MISSED)
+                z += math.log(real) - math.log(soft[i, v, 0] / whole[i, 0])
             out[f"{kind}:{k}"] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
     return out
 

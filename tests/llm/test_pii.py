@@ -93,6 +93,8 @@ def test_estimate_tells_good_labelers():
     post = pii.estimate({"card:+++00q": 50, "card:+0+00q": 20, "card:-0000n": 200, "card:-+000n": 60})
     assert post["card:+++00q"] > 0.9 and post["card:-0000n"] < 0.2
     assert pii.estimate({}) == {}
+    lookalikes = pii.estimate({"card:++0+2n": 160, "card:-+0+2n": 60, "card:--0+2n": 100, "card:--000n": 900})
+    assert lookalikes["card:++0+2n"] > 0.9 and lookalikes["card:-+0+2n"] < 0.5
 
 
 @pytest.mark.parametrize("text", ["token = '0123456789abcdef0123456789abcdef01234567'"])
