@@ -53,8 +53,7 @@ def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, s
     good ones among the labels. Noise is a function of seed, doc_id and text, so a run can be repeated; among equal keys the rows with the
     smallest hash of doc_id are kept first, and rows that are equal in that too stay or go together.
 
-    Null, empty or wordless text: no n-grams, log_weight 0 less the largest text's penalty is not assumed; such rows are
-    never kept and have a null key. Null doc_id: as any other row. Empty table: empty result; no labels: the
+    Null, empty or wordless text: no n-grams, log_weight 0, a null key, never kept. Null doc_id: as any other row. Empty table: empty result; no labels: the
     weights are those of equal models and everything with words is kept. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -65,8 +64,7 @@ def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, s
     sent = spark.sparkContext.broadcast(ngrams.log_ratios(ngrams.counts(rows)))
 
     def weigh(batch: pa.RecordBatch):
-        scorer = ngrams.Scorer(sent.value)
-        out = [(s, n) for s, n in (scorer(ngrams.words_of(t)) for t in batch.column(1).to_pylist())]
+        out = [ngrams.score(t, sent.value) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s if n else None for s, n in out], pa.float64())], ["doc_id", "draw", "log_weight"])
 
     draw = F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw")

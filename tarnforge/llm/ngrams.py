@@ -7,12 +7,10 @@ with the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +18,8 @@ from tarnforge.llm import common
 
 BUCKETS = 1 << 16
 CHARS, PAIRS = 0, 1
-#: Distinct words that a worker remembers before it starts anew.
-_MEMO = 200_000
+#: N-grams that wait to be counted at once.
+_WAITING = 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -29,15 +27,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def trigrams(word: bytes) -> np.ndarray:
-    """Buckets of a word's three-character runs."""
-    t = f" {word.decode('utf-8', 'surrogatepass')} "
-    return np.fromiter((xxhash.xxh32_intdigest(t[i : i + 3].encode("utf-8", "surrogatepass")) for i in range(len(t) - 2)), np.int64, len(t) - 2) & (BUCKETS - 1)
+#: White space between words, as code points.
+_BLANK = np.zeros(0x21, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Buckets of the three-character runs of a text's words, a blank before and after each; one for each character of a word."""
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    blank = (c <= 0x20) & _BLANK[np.minimum(c, 0x20).astype(np.int64)]
+    c[blank] = 0x20
+    h = common.mix((c[:-2] * np.uint64(0x100000001B3) + c[1:-1]) * np.uint64(0x100000001B3) + c[2:])
+    return (h[~blank[1:-1]] & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def pairs(words: list[bytes]) -> np.ndarray:
     """Buckets of a text's pairs of neighbouring words."""
     h = common.hashes(words)
+    if len(h) < 2:
+        return np.zeros(0, np.int64)
     return (common.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
@@ -49,30 +57,25 @@ def counts(docs: DataFrame, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 2, BUCKETS), np.int64)
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        found: dict[tuple[int, int], list[np.ndarray]] = {(side, kind): [] for side in (0, 1) for kind in kinds}
+        waiting = 0
 
         def settle():
-            for which, words in enumerate(seen):
-                for w, n in words.items():
-                    np.add.at(total[which, CHARS], trigrams(w), n)
-                words.clear()
+            for (side, kind), cells in found.items():
+                if cells:
+                    total[side, kind] += np.bincount(np.concatenate(cells), minlength=BUCKETS)
+                    cells.clear()
 
         for b in batches:
             for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                sides = (0, 1) if target else (0,)
-                if CHARS in kinds:
-                    for which in sides:
-                        seen[which].update(words)
-                        if len(seen[which]) > _MEMO:
-                            settle()
-                if PAIRS in kinds and len(words) > 1:
-                    n = np.bincount(pairs(words), minlength=BUCKETS) if len(words) > BUCKETS else None
-                    for which in sides:
-                        if n is not None:
-                            total[which, PAIRS] += n
-                        else:
-                            np.add.at(total[which, PAIRS], pairs(words), 1)
+                for kind in kinds:
+                    cells = trigrams(text or "") if kind == CHARS else pairs(words_of(text))
+                    waiting += len(cells)
+                    for side in (0, 1) if target else (0,):
+                        found[side, kind].append(cells)
+                if waiting > _WAITING:
+                    settle()
+                    waiting = 0
         settle()
         which, kind, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(kind), pa.array(bucket), pa.array(total[which, kind, bucket])], ["which", "kind", "bucket", "n"])
@@ -94,34 +97,14 @@ def log_ratios(total: np.ndarray, prior: float = 50.0) -> np.ndarray:
     return np.log(target / raw)
 
 
-class Scorer:
-    """Sums of log ratios of a text's n-grams, with a memo of words for one worker."""
-
-    def __init__(self, ratios: np.ndarray, kinds: tuple[int, ...] = (CHARS, PAIRS)):
-        self.ratios, self.kinds = ratios, kinds
-        self.memo: dict[bytes, tuple[float, int]] = {}
-
-    def _word(self, w: bytes) -> tuple[float, int]:
-        if (x := self.memo.get(w)) is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            t = trigrams(w)
-            x = self.memo[w] = (float(self.ratios[CHARS][t].sum()), len(t))
-        return x
-
-    def __call__(self, words: list[bytes]) -> tuple[float, int]:
-        """The sum, and how many n-grams it is of."""
-        total, n = 0.0, 0
-        if CHARS in self.kinds:
-            for w in words:
-                s, k = self._word(w)
-                total += s
-                n += k
-        if PAIRS in self.kinds and len(words) > 1:
-            p = pairs(words)
-            total += float(self.ratios[PAIRS][p].sum())
-            n += len(p)
-        return total, n
+def score(text: str | None, ratios: np.ndarray, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> tuple[float, int]:
+    """The sum of a text's n-grams' log ratios, and how many n-grams it is of."""
+    total, n = 0.0, 0
+    for kind in kinds:
+        cells = trigrams(text or "") if kind == CHARS else pairs(words_of(text))
+        total += float(ratios[kind][cells].sum())
+        n += len(cells)
+    return total, n
 
 
 def labelled(labels: DataFrame, column: str, max_rows: int) -> DataFrame:

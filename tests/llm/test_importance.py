@@ -1,4 +1,5 @@
 import math
+import re
 import struct
 
 import numpy as np
@@ -17,17 +18,36 @@ def test_kth_largest(spark):
     assert importance.kth_largest(df, 0) is None and importance.kth_largest(df.limit(0), 1) is None
 
 
+def runs(text):
+    """Buckets of each word's three-character runs, hashed one by one."""
+
+    def bucket(t):
+        a, b, c = map(ord, t)
+        x = ((a * 0x100000001B3 + b) * 0x100000001B3 + c) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return (x ^ x >> 31) % ngrams.BUCKETS
+
+    padded = (f" {w} " for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+    return [bucket(p[i : i + 3]) for p in padded for i in range(len(p) - 2)]
+
+
+def test_trigrams():
+    for t in ("", " ", "a", "ab\tc", "\x0b\x1fé😀\n\n x\x85y "):
+        assert ngrams.trigrams(t).tolist() == runs(t)
+
+
 def test_counts_match_one_pass(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("text", "doc_id % 3 = 0 as target")
     got, want = ngrams.counts(docs), np.zeros((2, 2, ngrams.BUCKETS), np.int64)
     for r in docs.collect():
         w = ngrams.words_of(r.text)
         for side in (0, 1) if r.target else (0,):
-            for x in w:
-                np.add.at(want[side, 0], ngrams.trigrams(x), 1)
+            for x in runs(r.text):
+                want[side, 0, x] += 1
             np.add.at(want[side, 1], ngrams.pairs(w), 1)
     assert (got == want).all()
-    s, n = ngrams.Scorer(ngrams.log_ratios(got))([b"a", b"b"])
+    s, n = ngrams.score("a b", ngrams.log_ratios(got))
     assert n == 3 and np.isfinite(s)
 
 
@@ -37,14 +57,14 @@ def brute(rows, target, share, seed=11):
     for r in rows:
         w = ngrams.words_of(r.text)
         for side in (0, 1) if r.doc_id in target else (0,):
-            for x in w:
-                np.add.at(total[side, 0], ngrams.trigrams(x), 1)
+            for x in runs(r.text):
+                total[side, 0, x] += 1
             np.add.at(total[side, 1], ngrams.pairs(w), 1)
     ratio, keys = ngrams.log_ratios(total), []
     for r in rows:
         w = ngrams.words_of(r.text)
         if w:
-            s = sum(ratio[0][ngrams.trigrams(x)].sum() for x in w) + ratio[1][ngrams.pairs(w)].sum()
+            s = ratio[0][runs(r.text)].sum() + ratio[1][ngrams.pairs(w)].sum()
             h = xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(r.text.encode(), xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)))
             keys.append((s - math.log(-math.log((h % 2**52 + 0.5) / 2**52)), r.doc_id))
     return {i for _, i in sorted(keys, reverse=True)[: round(share * len(rows))]}
