@@ -116,3 +116,29 @@ def errors(store: DataFrame) -> DataFrame:
     }
     found = F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())), lambda x: x.isNotNull())
     return store.select("id", found.alias("problems")).where(F.size("problems") > 0)
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(store: DataFrame, path: str, buckets: int = 256) -> None:
+    """Write a store as ``buckets`` partitions by a hash of the id, each by one task or a few."""
+    _bucketed(store, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert_buckets(path: str, new: DataFrame, buckets: int = 256) -> int:
+    """Upsert ``new`` into a store of ``write_buckets``, reading and rewriting only the buckets that it touches; returns how many.
+
+    Each bucket is written aside and moved into place, so a failed run leaves the old ones; run again, it gives the same store.
+    What comes to the driver are bucket numbers, at most ``buckets``.
+    """
+    spark = new.sparkSession
+    rows = _bucketed(new, buckets)
+    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+    if not touched:
+        return 0
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    merged = _bucketed(upsert(old, rows.select(*old.columns)), buckets)
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)

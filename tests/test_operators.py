@@ -177,3 +177,22 @@ def test_for_queries_in_blocks(spark):
 
 def test_clamp():
     assert [search.clamp_limit(x) for x in (None, 0, 5, 500)] == [20, 1, 5, 50]
+
+
+def test_bucketed_upsert(spark, tmp_path):
+    schema = "id string, file_path string, content string, version int"
+    rows = [(f"i{i}", "a", f"x{i}", 1) for i in range(200)]
+    path = str(tmp_path / "store")
+    store.write_buckets(spark.createDataFrame(rows, schema), path, 16)
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    new = spark.createDataFrame([("i3", "b", "new", 9), ("n1", "c", "added", 1)], schema)
+    touched = store.upsert_buckets(path, new, 16)
+    assert 1 <= touched <= 2
+    want = {r[0]: r for r in rows} | {"i3": ("i3", "a", "new", 1), "n1": ("n1", "c", "added", 1)}
+    for _ in range(2):
+        got = spark.read.schema(schema + ", bucket int").parquet(path).drop("bucket").collect()
+        assert len(got) == 201 and {r.id: tuple(r) for r in got} == want
+        store.upsert_buckets(path, new, 16)
+    kept = [p for p in stamps if p.exists()]
+    assert len({p.parent for p in stamps}) - len({p.parent for p in kept}) == touched
+    assert store.upsert_buckets(path, new.limit(0), 16) == 0
