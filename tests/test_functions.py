@@ -121,3 +121,14 @@ def test_density_and_comments(spark):
     got = one(spark, text.content_density(t), text.comment_ratio(t), text.content_density(F.lit("")))
     assert got[0] == pytest.approx(3 / 4 * (18 / 3) / 100) and got[1] == 50 and got[2] == 0
     assert json.dumps(got)
+
+
+def test_sql_functions(spark):
+    from tarnforge.functions import sql
+
+    assert "tf_cosine" in sql.register(spark)
+    r = spark.sql("select tf_cosine(array(3D, 4D), array(3D, 4D)) a, tf_cosine(array(0D), array(1D)) b, tf_clean_path('a.ts#chunk3') c, tf_lines('a\\nb') d, tf_change_percent('', 'x') e, tf_tokens('abcde') f").first()
+    assert tuple(r) == (pytest.approx(1), None, "a.ts", 2, 100.0, 2)
+    store = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", None)], "id string, vector array<float>")
+    sql.register_search(spark, store)
+    assert [tuple(x) for x in spark.sql("select * from tf_search(array(1D, 0D), 0.5D)").collect()] == [("x", 1.0)]
