@@ -111,10 +111,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def _aside(groups: DataFrame) -> DataFrame:
+    """``groups`` as a table of its own: a join with it can then split the rows of one large group over tasks."""
+    return common.cut(groups, "groups")[0]
+
+
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members ``(key, rep, comp)`` of those tables' buckets that still hold more than one component."""
     here = members.join(labels, "rep")
-    split = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    split = _aside(here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     return here.join(split, "key").select("key", "rep", "comp")
 
 
@@ -129,15 +134,16 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     here = sets.join(comp, "doc_id").select("doc_id", "comp", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("part"), "shingles")
     tokens = here.select("doc_id", "comp", "n", "part", F.explode("shingles").alias("s"))
     often = tokens.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    often = _aside(often)
     ranked = tokens.join(often, "s").groupBy("doc_id", "comp", "n", "part").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("l"))
     early = ranked.select("doc_id", "comp", "n", (F.col("n") - F.size("l")).alias("alone"), F.posexplode("l").alias("i", "t"))
     early = early.select("doc_id", "comp", "n", "t.s", (F.col("n") - F.col("alone") - F.col("i")).alias("left")).where(100 * F.col("left") >= percent * F.col("n"))
     early, _ = common.cut(early, "prefixes")
-    split = early.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    mixed = early.join(split, "s")
+    split = _aside(early.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s"))
+    mixed = _aside(early.join(split, "s"))
     # The largest component of each shingle meets the others only.
-    most = mixed.groupBy("s", "comp").count().groupBy("s").agg(F.max_by("comp", "count").alias("major"))
-    few = mixed.join(most, "s").where("comp <> major").select("s", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "comp", "n", "left")))
+    most = _aside(mixed.groupBy("s", "comp").count().groupBy("s").agg(F.max_by("comp", "count").alias("major")))
+    few = _aside(mixed.join(most, "s").where("comp <> major").select("s", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "comp", "n", "left"))))
     fits = (F.col("comp_x") != F.col("comp")) & ((100 + percent) * F.least("left", "left_x") >= percent * (F.col("n") + F.col("n_x")))
     return few.join(mixed, "s").where(fits).select(F.least("doc_id_x", "doc_id").alias("u"), F.greatest("doc_id_x", "doc_id").alias("v")).distinct()
 
@@ -163,10 +169,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     # Half keys that more than one class holds, and the table keys that they complete.
     halves = classes.select("rep", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half"))))).alias("h")).select("rep", "h.side", "h.half")
     often = halves.groupBy("side", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("side", "half")
+    often = _aside(often)
     sides = halves.join(often, ["side", "half"]).groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("b"))
     keys = sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
     keys, keys_at = common.cut(keys, "keys")
-    full = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    full = _aside(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
     members, members_at = common.cut(keys.join(full, "key"), "members")
     common.drop(spark, keys_at)
 
@@ -188,6 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
             # A text that shares many tables lies in the middle of its group: it comes first.
             weight = apart.groupBy("rep").agg((-F.count("*")).alias("o"))
             pivot = apart.join(weight, "rep").groupBy("key").agg(F.min(F.struct("o", F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")).select("key", "p.*")
+            pivot = _aside(pivot)
             nearest = F.slice(F.array_sort(F.collect_set(F.struct("o", "v"))), 1, pivots)
             pairs = apart.join(pivot, "key").where("comp <> other").groupBy(F.col("rep").alias("u")).agg(nearest.alias("p")).select("u", F.explode("p.v").alias("v"))
         else:
