@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 
 _own: dict[str, str] = {}
+#: Scratch tables that nothing has deleted, in the order of their writing.
+_made: list[str] = []
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(range(256)).lower()
@@ -43,15 +45,28 @@ def cut(df: DataFrame, what: str = "table") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh(spark, what)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, *kept: str) -> None:
+    """Delete the scratch tables written after ``since``, but for ``kept``: their readers have been written out."""
+    drop(spark, *(p for p in _made[since:] if p not in kept))
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if p in _made:
+            _made.remove(p)
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -160,11 +160,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     component_id is null and kept false. Repeated rows: each is returned; rows of one doc_id are one node.
     Empty table: empty result. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, common.mark()
     texts = docs.select("doc_id", "text")
-    signed, _ = common.cut(common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), "signatures")
+    signed, signed_at = common.cut(common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), "signatures")
     able = signed.where("doc_id is not null and digest is not null")
-    classes, classes_at = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes, _ = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
 
     # Half keys that more than one class holds, and the table keys that they complete.
     halves = classes.select("rep", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half"))))).alias("h")).select("rep", "h.side", "h.half")
@@ -174,20 +174,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     keys = sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
     keys, keys_at = common.cut(keys, "keys")
     full = _aside(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
-    members, members_at = common.cut(keys.join(full, "key"), "members")
+    members, _ = common.cut(keys.join(full, "key"), "members")
     common.drop(spark, keys_at)
 
     # A text can stand for several classes if rows of one doc_id differ; labels are by node.
     labels, _ = common.cut(classes.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets, sets_at = common.cut(common.map_arrow(texts.join(wanted, "doc_id"), _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    sets, _ = common.cut(common.map_arrow(texts.join(wanted, "doc_id"), _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
 
     # Rows of one doc_id are one node; where their texts differ, it stands for several sets.
     repeated = able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
-    used = [classes_at, members_at, sets_at]
     for turn, pivots in enumerate((1, 8, 0)):
-        apart, path = common.cut(_apart(members, labels), "apart")
-        used.append(path)
+        apart, _ = common.cut(_apart(members, labels), "apart")
         if apart.isEmpty():
             break
         if pivots:
@@ -211,8 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
         least = of.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("comp").alias("v"))
         joined = components(of.join(least, "doc_id").select(F.col("comp").alias("u"), "v"))
         placed = placed.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("doc_id", F.coalesce("root", "comp").alias("comp"))
-    placed, _ = common.cut(placed.groupBy("doc_id").agg(F.min("comp").alias("component_id")), "placed")
-    common.drop(spark, *used)
+    placed, placed_at = common.cut(placed.groupBy("doc_id").agg(F.min("comp").alias("component_id")), "placed")
+    common.release(spark, since, signed_at, placed_at)
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
