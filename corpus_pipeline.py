@@ -50,10 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; a stage's table goes when the next one is written."""
+    docs, path = common.table(spark, sf_dir, "documents"), ""
     for at, (_, stage) in enumerate(STAGES):
+        since = common.mark()
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs, _ = common.cut(docs, "stage")
+            before = path
+            docs, path = common.cut(docs, "stage")
+            common.release(spark, since, path)
+            if before:
+                common.drop(spark, before)
     return docs
