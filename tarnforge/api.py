@@ -28,7 +28,7 @@ class Tools:
     def __init__(self):
         self._known: dict[str, tuple[Callable, str]] = {}
 
-    def register(self, name: str, call: Callable, category: str = "rag") -> None:
+    def register(self, name: str, call: Callable, category: str = "retrieval") -> None:
         if name in self._known:
             raise ValueError(f"{name} is there already")
         self._known[name] = (call, category)
@@ -90,7 +90,7 @@ class Engine:
     def index(self, path: str, project: str | None = None, now: str = "1970-01-01 00:00:00", rules: list[str] = ()) -> dict:
         """All files below ``path`` into the store, over what it had of the project."""
         project = project or path
-        scanned = files.scan(self.spark, path, self.settings.file_glob, list(rules))
+        scanned = files.scan(self.spark, path, self.settings.file_glob, [*files.project_rules(self.spark, path), *rules])
         self._swap("store", stores.without_project(self.store(), project).unionByName(self._chunks(project, scanned, now)))
         self._swap("snapshot", self._snapshot(project, scanned, keep=True))
         return self.store().where(F.col("project_path") == project).agg(F.count("*").alias("chunks"), F.countDistinct(text.clean_path(F.col("file_path"))).alias("files")).first().asDict()
@@ -106,7 +106,7 @@ class Engine:
         at = self._current("snapshot")
         if at is None:
             return self.index(path, project, now, rules)
-        scanned = files.scan(self.spark, path, self.settings.file_glob, list(rules))
+        scanned = files.scan(self.spark, path, self.settings.file_glob, [*files.project_rules(self.spark, path), *rules])
         before = self.spark.read.parquet(str(at)).where(F.col("project_path") == project)
         found = stores.incremental_diff(before, self._snapshot(project, scanned))
         counts = {r.status: r["count"] for r in found.groupBy("status").count().collect()}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DEFAULT_GLOB = "*.{js,ts,py,md,txt,json,yaml,yml,html,css,scss}"
+#: A project's own rules (fixed value).
+RULE_FILE = ".ragignore"
 #: Paths that are never indexed (fixed values).
 BUILT_IN = ("node_modules/", ".git/", "dist/", "build/", "coverage/", "__pycache__/", ".venv/", "*.log", "*.lock", "*.csv", "*.parquet", "*.pyc", "*.min.js", "*.map", ".DS_Store")
 
@@ -53,10 +55,20 @@ def ignored(path: Column, *rule_sets: list[str]) -> Column:
         for r in rules:
             if (p := rule_pattern(r)) is not None:
                 out = F.when(path.rlike(p), F.lit(not r.strip().startswith("!"))).otherwise(out)
-    return out & ~path.rlike(r"(?:^|/)\.ragignore$")
-
-
-def read_rules(text: str) -> list[str]:
+    return out & ~path.rlike(rf"(?:^|/){re.escape(RULE_FILE)}$")
+
+
+def project_rules(spark: SparkSession, root: str) -> list[str]:
+    """The rules of a project's own rule file, in its order; none if it has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{RULE_FILE}")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return []
+    # Spark leaves out files whose names start with a dot, so the file's own reader is used.
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
     return [x for x in text.splitlines() if x.strip() and not x.startswith("#")]
 
 

@@ -98,6 +98,16 @@ def test_scan(spark, tmp_path):
     assert {(r.extension, r.files) for r in files.extensions(found).collect()} == {("ts", 1), ("md", 1)}
 
 
+def test_project_rules(spark, tmp_path):
+    assert files.project_rules(spark, str(tmp_path)) == []
+    (tmp_path / files.RULE_FILE).write_text("# note\n\n*.md\n!keep.md\n")
+    for n in ("a.md", "keep.md", "b.ts"):
+        (tmp_path / n).write_text("long enough to keep")
+    rules = files.project_rules(spark, str(tmp_path))
+    assert rules == ["*.md", "!keep.md"]
+    assert {r.relative_path for r in files.scan(spark, str(tmp_path), rules=rules).collect()} == {"keep.md", "b.ts"}
+
+
 def test_graph_file_and_missing_entity(spark, tmp_path):
     e = spark.createDataFrame([("a", "t", ["x", "x", "y"]), ("b", "t", [])], "name string, entityType string, observations array<string>")
     r = spark.createDataFrame([("a", "b", "k")], "`from` string, `to` string, relationType string")
