@@ -1,4 +1,10 @@
+import re
+
 import corpus_pipeline
+import test_decontaminate
+import test_mixing
+import test_neardup
+import test_pii
 from tarnforge.llm import decontaminate, mixing, neardup, pii, registry, toxicity
 
 
@@ -22,6 +28,61 @@ def test_stages_in_turn(spark, sf):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()} == {tuple(r) for r in mixed.collect()}
 
 
+def without_passages(text, items):
+    """A text without its runs of hit words, and whether more than half of its words are hit: by definition."""
+    plain = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    places = [m.span() for m in test_decontaminate.WORD.finditer(plain)]
+    w, hit = [plain[a:b] for a, b in places], set()
+    for own in items:
+        k = min(10, len(own))
+        grams = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if k else set()
+        for i in range(len(w) - k + 1):
+            if tuple(w[i : i + k]) in grams:
+                hit |= set(range(i, i + k))
+    out, at = [], 0
+    for i in sorted(hit):
+        if i - 1 not in hit:
+            out.append(text[at : places[i][0]])
+        at = places[i][1]
+    return "".join(out) + text[at:], 2 * len(hit) > len(w)
+
+
+def masked(text):
+    spans = [(int(x[2].split(":")[1]), int(x[2].split(":")[2]), x[3]) for x in test_pii.brute(text)]
+    spans += [(m.start(), m.end(), "secret") for m in re.finditer(r"(?<![A-Za-z0-9_+/=-])[0-9a-f]{40}(?![A-Za-z0-9_+/=-])", text)]
+    out, at = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += [text[at:a], f"<{kind.upper()}>"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_stages_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [test_decontaminate.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = {r.doc_id: r for r in docs.collect()}
+    run = lambda f, d: spark.createDataFrame(f(spark, d, sf).collect(), docs.schema)
+
+    low = run(corpus_pipeline.drop_toxic, docs)
+    unique = run(corpus_pipeline.drop_near_duplicates, low)
+    kept = {i for i, *_, k in test_neardup.brute([(r.doc_id, r.text) for r in low.collect()]) if k}
+    assert {r.doc_id for r in unique.collect()} == kept and all(rows[r.doc_id] == r for r in unique.collect())
+
+    clean = run(corpus_pipeline.cut_benchmark, unique)
+    want = {i: without_passages(rows[i].text, items) for i in kept}
+    assert {r.doc_id: r.text for r in clean.collect()} == {i: t for i, (t, most) in want.items() if not most}
+    assert all(r.n_chars == (len(r.text) if r.text != rows[r.doc_id].text else rows[r.doc_id].n_chars) for r in clean.collect())
+
+    private = run(corpus_pipeline.mask_personal_data, clean)
+    assert {r.doc_id: r.text for r in private.collect()} == {r.doc_id: masked(r.text) for r in clean.collect()}
+
+    drawn = {r.doc_id: r.copies for r in corpus_pipeline.mix_sources(spark, private, sf).collect()}
+    left = [(r.doc_id, r.text, r.source) for r in private.collect()]
+    copies = test_mixing.brute(left, sum(len(t.split()) for _, t, _ in left))
+    assert drawn == {i: n for i, n in copies.items() if n}
+
+
 def test_registered():
     assert "pipeline" in registry.QUERIES
     assert {int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op")} == set(range(1, 11))
