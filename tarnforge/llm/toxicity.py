@@ -32,6 +32,8 @@ DRIFT, MOST = 0.75, 6.0
 ALPHA = 0.05
 #: Quantiles of clean texts' best scores that fix the law.
 TAIL = (0.8, 0.98)
+#: Words that a worker remembers before it starts anew.
+_MEMO = 300_000
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 
@@ -40,6 +42,8 @@ def _cells(word: bytes) -> tuple[int, int]:
     w = word.strip(_EDGE)
     if not w:
         return -1, -1
+    if w.isascii():  # in lower case already
+        return xxhash.xxh64_intdigest(w) % WORDS, xxhash.xxh64_intdigest(w[:STEM_CHARS], 1) % STEMS
     t = w.decode("utf-8", "surrogatepass").lower()
     return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) % WORDS, xxhash.xxh64_intdigest(t[:STEM_CHARS].encode("utf-8", "surrogatepass"), 1) % STEMS
 
@@ -85,40 +89,27 @@ class Model:
     curve: tuple[float, ...] = (0.0, 1.0, 0.0)
     memo: dict = field(default_factory=dict, repr=False)
 
-    def _odds(self, cells: tuple[int, int], own: int = -1) -> float:
-        """Log-odds of a token, without a document of label ``own`` (-1: none) that holds it."""
-        w, s = cells
-        if w < 0:
-            return 0.0
+    def _odds(self, cells: np.ndarray, own: int = -1) -> np.ndarray:
+        """Log-odds of tokens, at least 0, without a document of label ``own`` (-1: none) that holds them."""
+        w, s = cells[:, 0], cells[:, 1]
         out1, out0 = own == 1, own == 0
         sp, so = self.stem_positive[s] - out1, self.stem_other[s] - out0
         stem = (sp + STEM_PRIOR * self.base) / (sp + so + STEM_PRIOR)
         wp, wo = self.positive[w] - out1, self.other[w] - out0
         p = (wp + WORD_PRIOR * stem) / (wp + wo + WORD_PRIOR)
-        return min(MOST, math.log(p / (1 - p)) - math.log(self.base / (1 - self.base)))
-
-    def _score(self, word: bytes, own: int) -> float:
-        key = (word, own)
-        if (x := self.memo.get(key)) is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            x = self.memo[key] = max(0.0, self._odds(_cells(word), own))
-        return x
+        odds = np.log(p / (1 - p)) - math.log(self.base / (1 - self.base))
+        return np.where(w < 0, 0.0, np.clip(odds, 0.0, MOST))
 
     def passages(self, text: str | None, own: int = -1) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal scoring segments by word."""
         words = common.words_of(text)
-        if own < 0:
-            memo = self.memo
-            if missing := {w for w in words if w not in memo}:
-                if len(memo) > 300_000:
-                    memo.clear()
-                    missing = set(words)
-                for w in missing:
-                    memo[w] = max(0.0, self._odds(_cells(w)))
-            s = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-        else:
-            s = np.fromiter((self._score(w, own) for w in words), np.float64, len(words))
+        memo = self.memo.setdefault(own, {})
+        if missing := [w for w in set(words) if w not in memo]:
+            if len(memo) > _MEMO:
+                memo.clear()
+                missing = list(set(words))
+            memo.update(zip(missing, self._odds(np.array([_cells(w) for w in missing], np.int64), own).tolist(), strict=True))
+        s = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
         at = np.nonzero(s > 0)[0]
         # A word tells what it tells once: like the counts, which are of documents.
         told: set[bytes] = set()
@@ -150,7 +141,7 @@ def _counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 size[toxic] += 1
-                if len(memo) > 300_000:
+                if len(memo) > _MEMO:
                     memo.clear()
                 cells = set()
                 for w in set(common.words_of(text)):
