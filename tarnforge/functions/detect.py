@@ -72,18 +72,22 @@ def language_by_content(content: Column) -> Column:
 
 def detected(path: Column, content: Column) -> Column:
     """Struct of content_type, language, confidence and detected_by; extension and content weighed."""
-    by_ext = type_by_extension(path)
-    known = by_ext.isNotNull()
-    scores = {k: type_score(content, k) for k in SIGNS}
-    top = F.greatest(*scores.values())
-    kind = F.when(top <= 1, "other").when(top == scores["code"], "code").when(top == scores["doc"], "doc").otherwise("config")
-    sure = F.when(top <= 1, 0.5).otherwise(F.least(F.lit(0.9), top / 5))
     empty = content.isNull() | (content == "")
-    by_content = ~empty & F.when(known, (kind != by_ext) & (sure > 0.7)).otherwise(sure > 0.6)
-    final = F.when(by_content, kind).otherwise(F.coalesce(by_ext, F.lit("other")))
-    confidence = F.when(by_content, sure).when(known & ~empty & (kind == by_ext), 0.95).when(known, 0.9).otherwise(0.3)
-    language = F.coalesce(language_by_extension(path), F.when(~empty, language_by_content(content)), F.when(final.eqNullSafe("code") & ~empty, "unknown"))
-    return F.struct(final.alias("content_type"), language.alias("language"), confidence.alias("confidence"), F.when(by_content, "content").otherwise("extension").alias("detected_by"))
+    parts = F.struct(type_by_extension(path).alias("by_ext"), *(type_score(content, k).alias(k) for k in SIGNS), F.coalesce(language_by_extension(path), F.when(~empty, language_by_content(content))).alias("language"))
+
+    def weighed(x: Column) -> Column:
+        by_ext, known = x["by_ext"], x["by_ext"].isNotNull()
+        top = F.greatest(*(x[k] for k in SIGNS))
+        kind = F.when(top <= 1, "other").when(top == x["code"], "code").when(top == x["doc"], "doc").otherwise("config")
+        sure = F.when(top <= 1, 0.5).otherwise(F.least(F.lit(0.9), top / 5))
+        by_content = ~empty & F.when(known, (kind != by_ext) & (sure > 0.7)).otherwise(sure > 0.6)
+        final = F.when(by_content, kind).otherwise(F.coalesce(by_ext, F.lit("other")))
+        confidence = F.when(by_content, sure).when(known & ~empty & (kind == by_ext), 0.95).when(known, 0.9).otherwise(0.3)
+        language = F.coalesce(x["language"], F.when((final == "code") & ~empty, "unknown"))
+        return F.struct(final.alias("content_type"), language.alias("language"), confidence.alias("confidence"), F.when(by_content, "content").otherwise("extension").alias("detected_by"))
+
+    # Bound once: each score is used several times, and its patterns are what costs.
+    return F.element_at(F.transform(F.array(parts), weighed), 1)
 
 
 def role(path: Column, content: Column, content_type: Column) -> Column:

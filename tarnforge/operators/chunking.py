@@ -16,11 +16,13 @@ def word_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colum
     """Overlapping windows of ``size`` words, ``overlap`` shared; native, linear in the text."""
     if overlap >= size or size < 1 or overlap < 0:
         raise ValueError("overlap must be at least 0 and less than size")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - overlap) / (size - overlap)).cast("int") - 1)
-    starts = F.sequence(F.lit(0), last)
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * (size - overlap) + 1, F.lit(size)), " "))
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - overlap) / (size - overlap)).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * (size - overlap) + 1, F.lit(size)), " "))
+
+    # Bound once: a plain expression would split the text anew for each window.
+    once = F.array(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.element_at(F.transform(once, windows), 1)
 
 
 def exploded(docs: DataFrame, chunks: Column, *kept: str) -> DataFrame:
