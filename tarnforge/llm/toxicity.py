@@ -111,9 +111,6 @@ class Model:
             memo.update(zip(missing, self._odds(np.array([_cells(w) for w in missing], np.int64), own).tolist(), strict=True))
         s = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
         at = np.nonzero(s > 0)[0]
-        # A word tells what it tells once: like the counts, which are of documents.
-        told: set[bytes] = set()
-        at = np.array([i for i in at if not (words[i] in told or told.add(words[i]))], np.int64)
         return len(words), segments(at.tolist(), (s[at] - DRIFT).tolist(), DRIFT)
 
     def features(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:

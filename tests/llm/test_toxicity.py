@@ -57,3 +57,20 @@ def test_without_toxic(spark, sf):
     low = {r.doc_id for r in toxicity.toxicity(docs, labels).collect() if r.score < 0.5}
     out = toxicity.without_toxic(docs, labels)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == low
+
+
+def test_repeated_passage():
+    """A passage is found each time it stands, and though its words stood scattered before."""
+    insults = [f"insult{i}" for i in range(8)]
+    positive, other, stems = np.zeros(toxicity.WORDS), np.full(toxicity.WORDS, 500.0), np.zeros((2, toxicity.STEMS))
+    for w in insults:
+        cell = toxicity._cells(w.encode())[0]
+        positive[cell], other[cell] = 50, 0
+    model = toxicity.Model(positive, other, *stems, 0.1)
+    clean = [f"clean{i}" for i in range(600)]
+    twice = [*clean[:200], *insults, *clean[200:400], *insults, *clean[400:]]
+    spans = lambda words: [(a, b) for a, b, s in model.passages(" ".join(words))[1] if s > 10]
+    assert spans(twice) == [(200, 207), (408, 415)]
+    scattered = list(clean)
+    scattered[0:320:40] = insults
+    assert spans([*scattered, *insults]) == [(600, 607)]
