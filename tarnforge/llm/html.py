@@ -53,7 +53,7 @@ class Block:
     text: str
     links: int  # characters inside links
     apart: bool  # inside an element around the article
-    inside: bool  # inside what the page calls its article
+    inside: bool  # inside what the page calls its article, itself in no such element
     label: int = SHORT
 
 
@@ -75,7 +75,8 @@ class _Reader:
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append(Block(text, self.links, any(o.apart for o in self.open), any(o.article for o in self.open)))
+            outer = next((o for o in self.open if o.apart or o.article), None)
+            self.blocks.append(Block(text, self.links, any(o.apart for o in self.open), outer is not None and outer.article and not outer.apart))
         self.parts, self.links = [], 0
 
     def text(self, raw: str):
@@ -180,38 +181,37 @@ def _first(b: Block) -> int:
     return SHORT
 
 
+def _nearest(blocks: list[Block], labels: list[int]) -> list[int]:
+    """The label of the decided block before each; before one of the article, of those since the article's edge.
+
+    A box set into the article is bad for where it stands, and decides nothing around it.
+    """
+    out, last, inner = [], SHORT, SHORT
+    for b, x in zip(blocks, labels, strict=True):
+        if not b.inside:
+            inner = SHORT
+        out.append(inner if b.inside else last)
+        if not (b.apart and b.inside):
+            last = x or last
+            inner = last if b.inside and x else inner
+    return out
+
+
 def extract(page: str | None) -> str:
     """The page's main text, a block a line; empty if there is none."""
     blocks = blocks_of(page or "")
     first = [_first(b) for b in blocks]
-    n = len(blocks)
-    before, after = [(0, None)] * n, [(0, None)] * n
-    last, where = SHORT, None
-    for i in range(n):
-        before[i] = (last, where)
-        if first[i] != SHORT:
-            last, where = first[i], i
-    last, where = SHORT, None
-    for i in range(n - 1, -1, -1):
-        after[i] = (last, where)
-        if first[i] != SHORT:
-            last, where = first[i], i
+    before, after = _nearest(blocks, first), _nearest(blocks[::-1], first[::-1])[::-1]
     kept = []
     marked = any(b.inside for b in blocks)
-    for i, b in enumerate(blocks):
-        label = first[i]
+    for b, label, p, q in zip(blocks, first, before, after, strict=True):
         if label == SHORT:
-            (p, _), (q, _) = before[i], after[i]
-            if marked:
-                label = GOOD if b.inside else BAD if BAD in (p, q) else p or q
-            elif p == q:
-                label = p
+            if b.inside:
+                label = BAD if p == q == BAD else GOOD
+            elif p and q and p != q:
+                label = BAD
             else:
-                label = BAD if BAD in (p, q) else p or q
-            if label == SHORT:  # nothing is decided anywhere
-                label = GOOD if b.inside or not marked else BAD
-        elif label == GOOD and marked and not b.inside:
-            label = BAD
+                label = p or q or (BAD if marked else GOOD)  # the last if nothing is decided anywhere
         if label == GOOD:
             kept.append(b.text)
     return "\n".join(kept)

@@ -33,6 +33,15 @@ def test_article_with_apart_blocks():
     assert extract(page) == f"Title\n{PROSE}\nBe.\nWord | word | word\none\ntwo"
 
 
+def test_article_is_no_switch():
+    prose, links = f"<p>{PROSE}</p>", "<ul><li><a href=a>One of the links</a></ul>"
+    assert extract(f"<article>{prose}{links}<p>Next in line{links}{prose}</article>") == f"{PROSE}\n{PROSE}"  # bad on both sides
+    assert extract(f"<article>{prose}</article><section>{prose}</section>") == f"{PROSE}\n{PROSE}"  # good, though elsewhere
+    assert extract(f"<div>{prose}<p>Short.{prose}</div><aside><article><p>Teaser.</article></aside>") == f"{PROSE}\nShort.\n{PROSE}"
+    assert extract(f"<nav>{links}</nav><article><h1>Head</h1><p>Short.</article><footer>x</footer>") == "Head\nShort."
+    assert extract(f"<nav>{links}</nav><p>Out.<article><h1>Head</h1>{prose}<p>Last.</article><p>Out.<footer>x</footer>") == f"Head\n{PROSE}\nLast."
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (3, "u", "<nav>a</nav>", 1), (None, "u", "<p>" + PROSE + " " * 50, 1), (5, "u", "<article>" + "<p>x y</p>" * 20_000 + "</article>", 1), (6, "u", "<" * 5000, 1), (7, "u", "<p a='" + "x" * 100_000, 1), (8, "u", "<!--" * 1000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
