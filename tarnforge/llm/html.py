@@ -181,19 +181,20 @@ def _first(b: Block) -> int:
     return SHORT
 
 
-def _nearest(blocks: list[Block], labels: list[int]) -> list[int]:
-    """The label of the decided block before each; before one of the article, of those since the article's edge.
+def _nearest(blocks: list[Block], labels: list[int]) -> list[tuple[int, int]]:
+    """Label and distance of the decided block before each; before one of the article, of those since the article's edge.
 
     A box set into the article is bad for where it stands, and decides nothing around it.
     """
-    out, last, inner = [], SHORT, SHORT
-    for b, x in zip(blocks, labels, strict=True):
+    out, last, inner = [], (SHORT, 0), (SHORT, 0)
+    for i, (b, x) in enumerate(zip(blocks, labels, strict=True)):
         if not b.inside:
-            inner = SHORT
-        out.append(inner if b.inside else last)
-        if not (b.apart and b.inside):
-            last = x or last
-            inner = last if b.inside and x else inner
+            inner = SHORT, 0
+        label, at = inner if b.inside else last
+        out.append((label, i - at))
+        if x and not (b.apart and b.inside):
+            last = x, i
+            inner = last if b.inside else inner
     return out
 
 
@@ -204,12 +205,12 @@ def extract(page: str | None) -> str:
     before, after = _nearest(blocks, first), _nearest(blocks[::-1], first[::-1])[::-1]
     kept = []
     marked = any(b.inside for b in blocks)
-    for b, label, p, q in zip(blocks, first, before, after, strict=True):
+    for b, label, (p, far), (q, off) in zip(blocks, first, before, after, strict=True):
         if label == SHORT:
             if b.inside:
                 label = BAD if p == q == BAD else GOOD
             elif p and q and p != q:
-                label = BAD
+                label = BAD if marked or (far < off if p == BAD else off < far) else GOOD
             else:
                 label = p or q or (BAD if marked else GOOD)  # the last if nothing is decided anywhere
         if label == GOOD:

@@ -42,6 +42,13 @@ def test_article_is_no_switch():
     assert extract(f"<nav>{links}</nav><p>Out.<article><h1>Head</h1>{prose}<p>Last.</article><p>Out.<footer>x</footer>") == f"Head\n{PROSE}\nLast."
 
 
+def test_nearer_neighbour():
+    nav, prose, foot = "<nav><a href=a>Home</a></nav>", f"<p>{PROSE}</p>", "<footer>x</footer>"
+    assert extract(f"{nav}<h1>Head</h1>{prose}<p>Last.</p>{foot}") == f"Head\n{PROSE}\nLast."
+    assert extract(f"{nav}<p>a<p>b<p>c{prose}<p>d<p>e<p>f<p>g</p>{foot}") == f"b\nc\n{PROSE}\nd\ne"
+    assert extract(f"{prose}<p>a</p>") == f"{PROSE}\na" and extract(f"{nav}<p>a</p>") == ""
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (3, "u", "<nav>a</nav>", 1), (None, "u", "<p>" + PROSE + " " * 50, 1), (5, "u", "<article>" + "<p>x y</p>" * 20_000 + "</article>", 1), (6, "u", "<" * 5000, 1), (7, "u", "<p a='" + "x" * 100_000, 1), (8, "u", "<!--" * 1000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
