@@ -96,3 +96,56 @@ def materialised(view: DataFrame, path: str) -> DataFrame:
     """Write a view's rows over what ``path`` holds, and read them: refreshing is computing anew."""
     view.write.mode("overwrite").parquet(path)
     return view.sparkSession.read.parquet(path)
+
+
+def pairwise(vectors: DataFrame, block: int = 1024) -> DataFrame:
+    """``label, pairs, least, greatest, mean, deviation`` of the cosine distances of all pairs ``a.id < b.id`` of a label.
+
+    ``vectors`` are ``label, id, vector``. A label's rows are dealt into blocks by a hash of their id; each two blocks are
+    one matrix product in some worker, of which counts, sums and extremes leave it. A pair with a zero or null vector,
+    or of two lengths, counts and has no distance; null labels and ids pair with nothing.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.select("label", "id", F.col("vector").cast("array<double>").alias("vector")).where("label is not null and id is not null")
+    blocks = rows.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Rows of one id share a block, so that any two rows of different blocks are one pair.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "id", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def partial(group: pa.Table) -> pa.Table:
+        label, i, j = (group.column(c)[0] for c in ("label", "i", "j"))
+        one = i == j
+        own, given = group.column("own").to_numpy(), group.column("vector").to_pylist()
+        ids = np.unique(group.column("id").to_numpy(), return_inverse=True)[1] if one else None
+        # A size of 0 is of a vector without direction.
+        sizes = np.array([len(v) if v and None not in v and any(v) else 0 for v in given])
+        left, right = (np.arange(len(own)),) * 2 if one else (np.nonzero(own == i.as_py())[0], np.nonzero(own == j.as_py())[0])
+        pairs, n, least, greatest, total, squares = 0, 0, np.inf, -np.inf, 0.0, 0.0
+        if one:
+            counts = np.bincount(ids)
+            pairs = (len(ids) ** 2 - int((counts.astype(np.int64) ** 2).sum())) // 2
+        else:
+            pairs = len(left) * len(right)
+        for size in set(sizes.tolist()) - {0}:
+            a, b = left[sizes[left] == size], right[sizes[right] == size]
+            if not len(a) or not len(b):
+                continue
+            u, v = (np.array([given[k] for k in x], np.float64) for x in (a, b))
+            u, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (u, v))
+            for k in range(0, len(a), 256):
+                cos = u[k : k + 256] @ v.T
+                cos = cos[ids[a[k : k + 256], None] < ids[b]] if one else cos.ravel()
+                if cos.size:
+                    n, total, squares = n + cos.size, total + float(cos.sum()), squares + float(cos @ cos)
+                    least, greatest = min(least, 1 - float(cos.max())), max(greatest, 1 - float(cos.min()))
+        out = {"label": pa.array([label.as_py()], label.type), "pairs": pa.array([pairs], pa.int64()), "n": pa.array([n], pa.int64())}
+        return pa.table(out | {k: pa.array([x if n else None], pa.float64()) for k, x in (("least", least), ("greatest", greatest), ("total", total), ("squares", squares))})
+
+    kind = vectors.schema["label"].dataType.simpleString()
+    parts = dealt.groupBy("label", "i", "j").applyInArrow(partial, f"label {kind}, pairs long, n long, least double, greatest double, total double, squares double")
+    sums = parts.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("pairs", "n", "total", "squares")), F.min("least").alias("least"), F.max("greatest").alias("greatest")).where("pairs > 0")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") - F.col("total") * F.col("total") / F.col("n")) / (F.col("n") - 1))
+    return sums.select("label", "pairs", "least", "greatest", (1 - F.try_divide("total", "n")).alias("mean"), F.when(F.col("n") > 1, spread).alias("deviation"))

@@ -89,6 +89,13 @@ def pairwise_stats(spark, d):
     return _six(out, "least", "greatest", "mean", "deviation")
 
 
+@query("pairwise_stats_all", "select a.label, count(*) as pairs, round(min(s), 6) as least, round(max(s), 6) as greatest, round(avg(s), 6) as mean, round(stddev_samp(s), 6) as deviation from (select a.label, 1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) a group by a.label")
+def pairwise_stats_all(spark, d):
+    """Distances of all pairs inside a label."""
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return _six(stats.pairwise(e), "least", "greatest", "mean", "deviation")
+
+
 _TOP = "top as (select sim from scored order by sim desc, id limit 50), dist as (select count(*) as n, avg(sim) as mean, stddev_pop(sim) as std from top)"
 
 

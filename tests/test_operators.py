@@ -206,3 +206,38 @@ def test_bucketed_upsert(spark, tmp_path):
     kept = [p for p in stamps if p.exists()]
     assert len({p.parent for p in stamps}) - len({p.parent for p in kept}) == touched
     assert store.upsert_buckets(path, new.limit(0), 16) == 0
+
+
+def test_pairwise_covers_all_pairs(spark):
+    import math
+    import random
+    import statistics
+
+    import __spark_entry__ as entry
+
+    r = random.Random(7)
+    rows = [("abc"[i % 3], i, [r.gauss(0, 1) for _ in range(5)]) for i in range(150)]
+    rows += [("a", 3, [1.0] * 5), ("a", 200, [0.0] * 5), ("a", 201, None), ("a", 202, [1.0, 2.0]), ("b", 203, [1.0, None, 0.0, 0.0, 0.0])]
+    rows += [("d", 1, [1.0]), ("e", 1, [1.0]), ("e", 2, [-1.0]), ("f", 1, None), ("f", 2, None), (None, 1, [1.0]), (None, 2, [1.0]), ("e", None, [1.0])]
+
+    def distance(u, v):
+        if not u or not v or len(u) != len(v) or None in u + v or not any(u) or not any(v):
+            return None
+        return 1 - sum(x * y for x, y in zip(u, v)) / math.hypot(*u) / math.hypot(*v)
+
+    def brute(rows, label):
+        own = [(i, v) for k, i, v in rows if k == label and i is not None]
+        all_pairs = [distance(u, v) for x, u in own for y, v in own if x < y]
+        s = [x for x in all_pairs if x is not None]
+        return (len(all_pairs), min(s), max(s), sum(s) / len(s), statistics.stdev(s) if len(s) > 1 else None) if s else (len(all_pairs), None, None, None, None)
+
+    df = spark.createDataFrame(rows, "label string, id long, vector array<double>")
+    for block in (7, 1024):
+        got = {x.label: tuple(x)[1:] for x in stats.pairwise(df, block).collect()}
+        assert set(got) == set("abcef")
+        for label, found in got.items():
+            assert found == pytest.approx(brute(rows, label), abs=1e-9)
+    assert stats.pairwise(df.limit(0)).collect() == []
+    d = "/root/testdata/sf0.01"
+    n = {x.label: x["count"] for x in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
+    assert {x.label: x.pairs for x in entry.queries()["pairwise_stats_all"](spark, d).collect()} == {k: v * (v - 1) // 2 for k, v in n.items()}
