@@ -27,7 +27,9 @@ STOP_WORDS = frozenset(
 #: Elements whose start or end parts text into blocks (fixed values).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements without text of their own, skipped to their end (fixed values).
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video textarea select button title head".split())
+SILENT = frozenset("script style noscript template iframe object svg math canvas audio video textarea select button title".split())
+#: Those of them whose text goes on to the page's end if nothing ends it (fixed values).
+RAW = frozenset("script style textarea title".split())
 #: Elements that never hold content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and ARIA roles around the article (fixed values).
@@ -110,7 +112,7 @@ class _Reader:
             known = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
             named = f"{known.get('class', '')} {known.get('id', '')}"
             role = known.get("role", "").lower()
-            if name not in ("html", "body", "article", "main") and (role in APART_ROLES or _APART_NAMES.search(named)):
+            if name not in ("html", "head", "body", "article", "main") and (role in APART_ROLES or _APART_NAMES.search(named)):
                 apart = True
             article = role == "main" or known.get("itemprop", "") == "articleBody"
         article = article or name in ("article", "main")
@@ -134,14 +136,17 @@ class _Reader:
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, in order; scripts, styles, comments and markup are gone."""
-    r, at, silent = _Reader(), 0, ""
+    r, at, silent, endless = _Reader(), 0, "", set()
     n = len(page)
     while at < n:
         if silent:
-            end = re.compile(rf"</{silent}(?=[\s>/])", re.I).search(page, at)
-            silent = ""
+            end = None if silent in endless else re.compile(rf"</{silent}(?=[\s>/])", re.I).search(page, at)
+            name, silent = silent, ""
             if not end:
-                break
+                if name in RAW:
+                    break
+                endless.add(name)  # only the tag is skipped, and no later one is looked for an end
+                continue
             close = page.find(">", end.start())
             at = n if close < 0 else close + 1
             continue

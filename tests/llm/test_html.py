@@ -49,6 +49,17 @@ def test_nearer_neighbour():
     assert extract(f"{prose}<p>a</p>") == f"{PROSE}\na" and extract(f"{nav}<p>a</p>") == ""
 
 
+def test_missing_end_tags():
+    prose = f"<p>{PROSE}</p>"
+    assert extract(f"<html><head class=nav><title>T</title><style>p {{}}</style><meta charset=x><body>{prose}") == PROSE
+    assert extract(f"<head><title>T</title>{prose}{prose}") == f"{PROSE}\n{PROSE}"
+    for name in ("button", "select", "svg", "object", "noscript", "iframe"):
+        assert extract(f"{prose}<{name}>{prose}<{name}>{prose}") == "\n".join([PROSE] * 3)
+        assert extract(f"{prose}<{name}>x</{name}><{name}>{prose}") == f"{PROSE}\n{PROSE}"
+    assert extract(f"{prose}<script>{prose}") == PROSE
+    assert extract("<svg>" * 20_000 + prose) == PROSE
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (3, "u", "<nav>a</nav>", 1), (None, "u", "<p>" + PROSE + " " * 50, 1), (5, "u", "<article>" + "<p>x y</p>" * 20_000 + "</article>", 1), (6, "u", "<" * 5000, 1), (7, "u", "<p a='" + "x" * 100_000, 1), (8, "u", "<!--" * 1000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
