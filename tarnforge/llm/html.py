@@ -1,15 +1,16 @@
 """Main text of HTML pages by two passes of block rules.
 
-The first pass looks at each block by itself: where it stands, its link density, its length and its share
-of stop words; it is good, bad or undecided. In the second pass an undecided block takes the label of its
-nearest decided neighbours; where they disagree, what the page itself calls its article decides.
+A linear scan parts a page into blocks of text. In the first pass rules vote on each block by itself: its
+link density, its length and share of stop words, the elements and names around it, and, as one vote among
+them, whether it stands in what the page marks as its article. That makes it good, bad or undecided. In the second
+pass an undecided block takes the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,202 +26,300 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements whose start or end parts text into blocks (fixed values).
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
+    "tfoot th thead title tr ul".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements without text of their own, skipped to their end (fixed values).
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video textarea select button title".split())
-#: Those of them whose text goes on to the page's end if nothing ends it (fixed values).
-RAW = frozenset("script style textarea title".split())
+#: Those of them that go on to the page's end if nothing ends them, and those that can hold one of their kind (fixed values).
+RAW, NESTED = frozenset("script style".split()), frozenset("template object svg math".split())
 #: Elements that never hold content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end where another of their kind starts (fixed values).
+ITEMS = frozenset("li dt dd tr td th option".split())
 #: Elements and ARIA roles around the article (fixed values).
-APART = frozenset("nav footer aside form menu dialog".split())
+APART = frozenset("nav footer aside menu dialog".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-#: Words in class and id that name what surrounds an article (fixed values).
+#: Words in class and id that name what surrounds an article, and those that an article's own parts may have too (fixed values).
 _APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|widget|footer|foot|masthead|topbar|header|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommended|trending|tags|tagcloud|pagination|pager|comment|comments|commentlist|disqus|respond|reply|replies|toolbar|copyright|disclaimer|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|"
+    r"breadcrumb|breadcrumbs|sidebar|widget|footer|masthead|topbar|cookie|cookies|consent|gdpr|notice|notification|popup|modal|"
+    r"newsletter|subscribe|signup|login|sharing|social|related|recommended|trending|pagination|pager|comment|comments|commentlist|"
+    r"disqus|respond|replies)(?:$|[\s_-])",
+    re.I,
+)
+_DOUBTFUL_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:alert|banner|copyright|disclaimer|foot|form|header|legal|overlay|reply|search|share|side|tagcloud|tags|toolbar)(?:$|[\s_-])",
     re.I,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)""", re.S)
+
+# A whole tag of the usual form; whatever it does not match is read attribute by attribute.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'>/=<]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'>`=<]++))?+)*+)\s*+/?+>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(\s*+=\s*+)?+")
+_BARE = re.compile(r"[^\s>]*+")
+_PAIR = re.compile(r"""([^\s=]++)=(?:"([^"]*+)"|'([^']*+)'|(\S++))|(\S++)""")
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in SILENT}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
-GOOD, BAD, SHORT = 1, -1, 0
-#: Link density from which a block is bad; stop-word density from which, with the length from which, it is good.
+GOOD, BAD, UNDECIDED = 1, -1, 0
+#: Link density from which a block is bad; stop-word density and length from which it reads as prose.
 MAX_LINKS, MIN_STOP, MIN_CHARS = 0.5, 0.12, 60
+#: Votes: of prose, of links, of names that an article's own parts may have, of standing in or beside a marked article.
+PROSE, LINKS, DOUBTFUL, MARKED = 2, -4, -2, 1
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     links: int  # characters inside links
+    heading: bool
     apart: bool  # inside an element around the article
-    inside: bool  # inside what the page calls its article, itself in no such element
-    label: int = SHORT
-
+    doubtful: bool  # inside an element whose name an article's own parts may have
+    inside: bool  # inside what the page marks as its article
 
-@dataclass
-class _Open:
-    name: str
-    apart: bool
-    article: bool
 
-
-@dataclass
 class _Reader:
-    blocks: list[Block] = field(default_factory=list)
-    open: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    links: int = 0
-    in_link: int = 0
+    """The blocks of a page, and the elements that are open: only counts of them are looked at for a block."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.links, self.linked, self.heading = 0, False, False
+        self.open: list[tuple] = []  # name, and the four counts before it
+        self.names: dict[str, int] = {}
+        self.apart = self.forms = self.doubtful = self.article = 0
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            outer = next((o for o in self.open if o.apart or o.article), None)
-            self.blocks.append(Block(text, self.links, any(o.apart for o in self.open), outer is not None and outer.article and not outer.apart))
+            apart = self.apart + self.forms > 0
+            self.blocks.append(Block(text, self.links, self.heading, apart, self.doubtful > 0, self.article > 0 and not apart))
         self.parts, self.links = [], 0
 
     def text(self, raw: str):
         if raw:
-            t = _html.unescape(raw)
+            t = _html.unescape(raw) if "&" in raw else raw
             self.parts.append(t)
-            if self.in_link:
+            if self.linked:
                 self.links += len("".join(t.split()))
 
-    def start(self, name: str, attributes: str):
-        if name in BLOCKS:
-            self.flush()
-            self.in_link = 0
-            if name == "p":  # a paragraph ends where the next one starts
-                self.end("p", implied=True)
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                if self.open and self.open[-1].name == name:
-                    self.open.pop()
-        if name == "a":
-            self.in_link = 1
-        elif name == "br":
-            self.parts.append(" ")
-        if name in VOID or attributes.endswith("/") or name not in BLOCKS:
+    def start(self, name: str, attributes: dict[str, str]):
+        self.flush()
+        if self.open and self.open[-1][0] == "p" or name in ITEMS and self.open and self.open[-1][0] == name:
+            self._pop()
+        if name in VOID:
             return
-        apart = article = False
-        if name in APART:
-            apart = True
-        elif name == "header":  # the page's, not that of its article
-            apart = not any(o.article for o in self.open)
-        if attributes:
-            known = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-            named = f"{known.get('class', '')} {known.get('id', '')}"
-            role = known.get("role", "").lower()
-            if name not in ("html", "head", "body", "article", "main") and (role in APART_ROLES or _APART_NAMES.search(named)):
-                apart = True
-            article = role == "main" or known.get("itemprop", "") == "articleBody"
-        article = article or name in ("article", "main")
-        self.open.append(_Open(name, apart, article))
-
-    def end(self, name: str, implied: bool = False):
-        if name == "a":
-            self.in_link = 0
-        if name not in BLOCKS:
-            return
-        if not implied:
-            self.flush()
-            self.in_link = 0
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name == name:
-                del self.open[i:]
-                return
-            if implied and self.open[i].name not in ("p",):
-                return
+        self.heading = name in HEADINGS
+        self.open.append((name, self.apart, self.forms, self.doubtful, self.article))
+        self.names[name] = self.names.get(name, 0) + 1
+        role = attributes.get("role", "").lower()
+        if name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody":
+            self.article += 1
+            self.forms = 0  # a form around the page's article is no form that belongs to it
+        elif name in APART or role in APART_ROLES or name == "header" and not self.article:
+            self.apart += 1
+        elif name == "form":
+            self.forms += 1
+        elif name not in ("html", "head", "body"):
+            own, at = attributes.get("class", ""), attributes.get("id", "")
+            if own and _APART_NAMES.search(own) or at and _APART_NAMES.search(at):
+                self.apart += 1
+            # A section's or heading's id names its subject.
+            elif own and _DOUBTFUL_NAMES.search(own) or at and name != "section" and not self.heading and _DOUBTFUL_NAMES.search(at):
+                self.doubtful += 1
+
+    def end(self, name: str):
+        self.flush()
+        self.heading = False
+        if self.names.get(name):
+            while self._pop() != name:
+                pass
+
+    def _pop(self) -> str:
+        name, self.apart, self.forms, self.doubtful, self.article = self.open.pop()
+        self.names[name] -= 1
+        return name
+
+
+def _slow_tag(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """Where the tag whose attributes start at ``at`` ends, and they; the page's end if it never does.
+
+    A quote opens a value after ``=`` alone. One that nothing closes is read as a value without quotes.
+    """
+    out: dict[str, str] = {}
+    n = len(page)
+    while at < n:
+        m = _ATTRIBUTE.match(page, at)
+        at, value = m.end(), ""
+        if m[2]:
+            mark = page[at : at + 1]
+            close = page.find(mark, at + 1) if mark and mark in "\"'" else -1
+            if close >= 0:
+                value, at = page[at + 1 : close], close + 1
+            else:
+                value = _BARE.match(page, at)[0]
+                at += len(value)
+        if m[1]:
+            out.setdefault(m[1].lower(), value)
+        if page[at : at + 1] == ">":
+            return at + 1, out
+    return n, out
+
+
+def _pairs(raw: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, double, single, bare, alone in _PAIR.findall(raw):
+        out.setdefault((name or alone).lower(), double or single or bare)
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text, in order; scripts, styles, comments and markup are gone."""
-    r, at, silent, endless = _Reader(), 0, "", set()
-    n = len(page)
+    """The page's blocks of text, in order; scripts, styles, comments and markup are gone.
+
+    Each character is looked at a fixed number of times, whatever the markup.
+    """
+    r, at, n = _Reader(), 0, len(page)
+    unclosed: set[str] = set()
+    link_end = -1  # where the link that is open ends, if another link does not come first
     while at < n:
-        if silent:
-            end = None if silent in endless else re.compile(rf"</{silent}(?=[\s>/])", re.I).search(page, at)
-            name, silent = silent, ""
-            if not end:
-                if name in RAW:
-                    break
-                endless.add(name)  # only the tag is skipped, and no later one is looked for an end
-                continue
-            close = page.find(">", end.start())
-            at = n if close < 0 else close + 1
-            continue
-        m = _TOKEN.search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
             r.text(page[at:])
             break
-        r.text(page[at : m.start()])
-        at = m.end()
-        if (name := m[2]) is None:
+        follows = page[lt + 1 : lt + 2]
+        if follows in ("!", "?") or follows == "/" and not page[lt + 2 : lt + 3].isascii():
+            r.text(page[at:lt])
+            if page.startswith("<!--", lt):
+                close, width = (lt + 3, 2) if page.startswith("<!-->", lt) else (page.find("-->", lt + 4), 3)
+            else:
+                close, width = page.find(">", lt), 1
+            at = n if close < 0 else close + width
             continue
-        name = name.lower()
+        m = _TAG.match(page, lt)
+        if m:
+            after, attributes = m.end(), None
+        else:
+            m = _NAME.match(page, lt)
+            if not m:  # a sign in the text, or an end tag without a name
+                if follows == "/":
+                    r.text(page[at:lt])
+                    close = page.find(">", lt)
+                    at = n if close < 0 else close + 1
+                else:
+                    r.text(page[at : lt + 1])
+                    at = lt + 1
+                continue
+            after, attributes = _slow_tag(page, m.end())
+        r.text(page[at:lt])
+        at, name = after, m[2].lower()
         if m[1]:
-            r.end(name)
+            if name == "a":
+                r.linked = False
+            elif name in BLOCKS:
+                r.end(name)
+                r.linked = r.linked and at <= link_end
             continue
         if name in SILENT:
             if name in BLOCKS:
                 r.flush()
-            if not m[3].endswith("/"):
-                silent = name
+            if name not in unclosed:
+                depth, to = 1, None
+                for x in _SAME[name].finditer(page, at):
+                    depth += -1 if x[1] else 1
+                    if x[1] and (not depth or name not in NESTED):
+                        to = x.end()
+                        break
+                    if not x[1] and name not in NESTED and name not in RAW:
+                        to = at  # its end is missing: only the tag is skipped
+                        break
+                if to is None:
+                    unclosed.add(name)
+                    to = n if name in RAW else at
+                elif to != at:
+                    close = page.find(">", to)
+                    to = n if close < 0 else close + 1
+                at = to
             continue
-        r.start(name, m[3].strip())
+        if name == "a":
+            known = attributes if attributes is not None else _pairs(m[3])
+            r.linked = "href" in known
+            if r.linked:
+                x = _LINK.search(page, at)
+                link_end = x.start() if x and x[1] else -1
+        elif name == "br":
+            r.parts.append(" ")
+        elif name in BLOCKS:
+            r.start(name, attributes if attributes is not None else _pairs(m[3]) if m[3] else {})
+            r.linked = r.linked and at <= link_end
     r.flush()
     return r.blocks
 
 
-def _first(b: Block) -> int:
+def _first(b: Block, marked: bool) -> int:
+    """The label of a block by itself; ``marked`` says that the page marks an article."""
     if b.apart:
         return BAD
-    chars = len(b.text) - b.text.count(" ")
-    if b.links > MAX_LINKS * chars:
-        return BAD
-    words = [w.lower() for w in _WORD.findall(b.text)]
-    stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(b.text) >= MIN_CHARS and stop >= MIN_STOP:
-        return GOOD
-    return SHORT
+    votes = 0
+    if marked:
+        votes += MARKED if b.inside else -MARKED
+    if b.doubtful:
+        votes += DOUBTFUL
+    if b.links > MAX_LINKS * (len(b.text) - b.text.count(" ")):
+        votes += LINKS
+    elif len(b.text) >= MIN_CHARS:
+        words = _WORD.findall(b.text.lower())
+        if words and sum(w in STOP_WORDS for w in words) >= MIN_STOP * len(words):
+            votes += PROSE
+            if votes > 0:
+                return GOOD
+    return BAD if votes < 0 else UNDECIDED
 
 
 def _nearest(blocks: list[Block], labels: list[int]) -> list[tuple[int, int]]:
-    """Label and distance of the decided block before each; before one of the article, of those since the article's edge.
+    """Label and distance of the decided block before each, of the blocks that do not stand apart."""
+    out, last, since = [], UNDECIDED, 0
+    for b, x in zip(blocks, labels, strict=True):
+        out.append((last, since))
+        if b.apart:
+            continue
+        if x:
+            last, since = x, 0
+        since += 1
+    return out
+
+
+def labels_of(blocks: list[Block]) -> list[int]:
+    """``GOOD`` or ``BAD`` for each block.
 
-    A box set into the article is bad for where it stands, and decides nothing around it.
+    What stands apart is bad for its markup, which also says where it ends, so it decides no neighbour. Where both sides
+    differ the nearer one decides; at equal distance a heading goes with what follows, and any other block with the
+    good one. On a page where nothing else is decided, all that does not stand apart is good.
     """
-    out, last, inner = [], (SHORT, 0), (SHORT, 0)
-    for i, (b, x) in enumerate(zip(blocks, labels, strict=True)):
-        if not b.inside:
-            inner = SHORT, 0
-        label, at = inner if b.inside else last
-        out.append((label, i - at))
-        if x and not (b.apart and b.inside):
-            last = x, i
-            inner = last if b.inside else inner
+    marked = any(b.inside for b in blocks)
+    labels = [_first(b, marked) for b in blocks]
+    before = _nearest(blocks, labels)
+    after = _nearest(blocks[::-1], labels[::-1])[::-1]
+    out = []
+    for b, label, (p, far), (q, off) in zip(blocks, labels, before, after, strict=True):
+        if label == UNDECIDED:
+            if p and q and p != q:
+                label = q if off < far or off == far and b.heading else p if far < off else GOOD
+            else:
+                label = p or q or GOOD
+        out.append(label)
     return out
 
 
 def extract(page: str | None) -> str:
     """The page's main text, a block a line; empty if there is none."""
     blocks = blocks_of(page or "")
-    first = [_first(b) for b in blocks]
-    before, after = _nearest(blocks, first), _nearest(blocks[::-1], first[::-1])[::-1]
-    kept = []
-    marked = any(b.inside for b in blocks)
-    for b, label, (p, far), (q, off) in zip(blocks, first, before, after, strict=True):
-        if label == SHORT:
-            if b.inside:
-                label = BAD if p == q == BAD else GOOD
-            elif p and q and p != q:
-                label = BAD if marked or (far < off if p == BAD else off < far) else GOOD
-            else:
-                label = p or q or (BAD if marked else GOOD)  # the last if nothing is decided anywhere
-        if label == GOOD:
-            kept.append(b.text)
-    return "\n".join(kept)
+    return "\n".join(b.text for b, label in zip(blocks, labels_of(blocks), strict=True) if label == GOOD)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
