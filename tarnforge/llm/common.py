@@ -4,59 +4,86 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows that a Python worker gets at once; texts can be long.
+#: Rows that a function over Arrow data gets at once. What a worker receives at once Spark itself bounds by bytes.
 BATCH_ROWS = 512
 
 _own: dict[str, str] = {}
-#: Scratch tables that nothing has deleted, in the order of their writing.
-_made: list[str] = []
+#: By thread, the scratch tables of each open ``scratch`` block.
+_open = threading.local()
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(range(256)).lower()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """This application's folder in the one that driver and executors share.
+
+    That is ``spark.checkpoint.dir``, else the context's checkpoint folder, else one in the warehouse. A folder of this
+    machine serves only a session that runs on this machine alone.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = tempfile.mkdtemp(prefix="tarnforge-")
-        sc.setCheckpointDir(_own[sc.applicationId])
-    return _own[sc.applicationId]
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _own.get(sc.applicationId)
+    if not root:
+        if sc.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="tarnforge-")
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        _own[sc.applicationId] = root
+    return f"{root.rstrip('/')}/tarnforge-{sc.applicationId}"
 
 
 def fresh(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used; listed in the open ``scratch`` block, if there is one."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if _blocks():
+        _blocks()[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame, what: str = "table") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: later steps survive lost executors."""
-    spark = df.sparkSession
-    path = fresh(spark, what)
+    path = fresh(df.sparkSession, what)
     df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _blocks() -> list[list[str]]:
+    if not hasattr(_open, "blocks"):
+        _open.blocks = []
+    return _open.blocks
 
 
-def mark() -> int:
-    """A point in time for ``release``."""
-    return len(_made)
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the scratch tables that this thread makes in the block.
 
+    Those still there at its end belong to the block around it, if there is one.
+    """
+    made: list[str] = []
+    blocks = _blocks()
+    blocks.append(made)
+    try:
+        yield made
+    finally:
+        blocks.pop()
+        if blocks:
+            blocks[-1].extend(made)
 
-def release(spark: SparkSession, since: int, *kept: str) -> None:
-    """Delete the scratch tables written after ``since``, but for ``kept``: their readers have been written out."""
-    drop(spark, *(p for p in _made[since:] if p not in kept))
+
+def release(spark: SparkSession, made: list[str], *kept: str) -> None:
+    """Delete the scratch tables in ``made``, but for ``kept``: their readers have been written out."""
+    drop(spark, *(p for p in made if p not in kept))
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -65,19 +92,59 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        if p in _made:
-            _made.remove(p)
+        for made in _blocks():
+            if p in made:
+                made.remove(p)
+
+
+def map_tasks(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``f`` over the Arrow data of each task, in slices of at most ``BATCH_ROWS`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``f`` over the Arrow batches of ``df``, in batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``f`` over each slice of the Arrow data of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from f(b)
 
-    return df.mapInArrow(run, schema)
+    return map_tasks(df, run, schema)
+
+
+#: A key that more than this part of the rows share is joined apart from the others; there are fewer such than one in it.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row a ``key``; ``how`` is inner or left.
+
+    Rows of keys that are shared by very many meet a broadcast of those keys' values alone, fewer than ``HOT`` of them, where they are;
+    all others are joined by a shuffle. ``rows`` is read three times.
+    """
+    n = rows.count()
+    often = rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") * HOT > n) & F.col(key).isNotNull()).select(key)
+    often, _ = cut(often, "hot")
+    of_often, _ = cut(values.join(F.broadcast(often), key), "hot")
+    hot = rows.join(F.broadcast(often), key, "left_semi").join(F.broadcast(of_often), key, how)
+    rest = rows.join(F.broadcast(often), key, "left_anti").join(values, key, how)
+    return hot.unionByName(rest)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,6 +23,9 @@ from tarnforge.llm import common
 #: Rows of hashes that are reduced at once, for very long texts.
 _BLOCK = 16384
 
+#: Ids of texts that meet others which are broadcast to the texts; with more of them the texts are shuffled.
+BROADCAST_IDS = 1_000_000
+
 
 def _signer(m: int, shingle: int, seed: int):
     draw = np.random.default_rng(seed)
@@ -160,57 +163,58 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     component_id is null and kept false. Repeated rows: each is returned; rows of one doc_id are one node.
     Empty table: empty result. Other columns are ignored, whatever their names.
     """
-    spark, since = docs.sparkSession, common.mark()
-    texts = docs.select("doc_id", "text")
-    signed, signed_at = common.cut(common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), "signatures")
-    able = signed.where("doc_id is not null and digest is not null")
-    classes, _ = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-
-    # Half keys that more than one class holds, and the table keys that they complete.
-    halves = classes.select("rep", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half"))))).alias("h")).select("rep", "h.side", "h.half")
-    often = halves.groupBy("side", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("side", "half")
-    often = _aside(often)
-    sides = halves.join(often, ["side", "half"]).groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("b"))
-    keys = sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
-    keys, keys_at = common.cut(keys, "keys")
-    full = _aside(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
-    members, _ = common.cut(keys.join(full, "key"), "members")
-    common.drop(spark, keys_at)
-
-    # A text can stand for several classes if rows of one doc_id differ; labels are by node.
-    labels, _ = common.cut(classes.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets, _ = common.cut(common.map_arrow(texts.join(wanted, "doc_id"), _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
-
-    # Rows of one doc_id are one node; where their texts differ, it stands for several sets.
-    repeated = able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
-    for turn, pivots in enumerate((1, 8, 0)):
-        apart, _ = common.cut(_apart(members, labels), "apart")
-        if apart.isEmpty():
-            break
-        if pivots:
-            members = apart.select("key", "rep")
-            # A text that shares many tables lies in the middle of its group: it comes first.
-            weight = apart.groupBy("rep").agg((-F.count("*")).alias("o"))
-            pivot = apart.join(weight, "rep").groupBy("key").agg(F.min(F.struct("o", F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")).select("key", "p.*")
-            pivot = _aside(pivot)
-            nearest = F.slice(F.array_sort(F.collect_set(F.struct("o", "v"))), 1, pivots)
-            pairs = apart.join(pivot, "key").where("comp <> other").groupBy(F.col("rep").alias("u")).agg(nearest.alias("p")).select("u", F.explode("p.v").alias("v"))
-        else:
-            pairs = _prefix_pairs(apart, sets, percent)
-        labels = _merged(labels, _confirmed(pairs, sets, percent))
-
-    # Rows of one doc_id are one node; where their texts differ, it stands for several sets.
-    repeated = able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
-    by_class = classes.select("digest", "rep").join(labels.select("rep", "comp"), "rep")
-    placed = able.select("doc_id", "digest").join(by_class, "digest").select("doc_id", "comp")
-    if not repeated.isEmpty():
-        of = placed.distinct()
-        least = of.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("comp").alias("v"))
-        joined = components(of.join(least, "doc_id").select(F.col("comp").alias("u"), "v"))
-        placed = placed.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("doc_id", F.coalesce("root", "comp").alias("comp"))
-    placed, placed_at = common.cut(placed.groupBy("doc_id").agg(F.min("comp").alias("component_id")), "placed")
-    common.release(spark, since, signed_at, placed_at)
+    spark = docs.sparkSession
+    with common.scratch() as made:
+        texts = docs.select("doc_id", "text")
+        signed, signed_at = common.cut(common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), "signatures")
+        able = signed.where("doc_id is not null and digest is not null")
+        classes, _ = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+
+        # Half keys that more than one class holds, and the table keys that they complete.
+        halves = classes.select("rep", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half"))))).alias("h")).select("rep", "h.side", "h.half")
+        often = halves.groupBy("side", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("side", "half")
+        often = _aside(often)
+        sides = halves.join(often, ["side", "half"]).groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("b"))
+        keys = sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
+        keys, keys_at = common.cut(keys, "keys")
+        full = _aside(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
+        members, _ = common.cut(keys.join(full, "key"), "members")
+        common.drop(spark, keys_at)
+
+        # A text can stand for several classes if rows of one doc_id differ; labels are by node.
+        labels, _ = common.cut(classes.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
+        wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+        wanted = _aside(wanted)
+        few = wanted.count() <= BROADCAST_IDS
+        sets, _ = common.cut(common.map_arrow(texts.join(F.broadcast(wanted) if few else wanted, "doc_id"), _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+
+        for pivots in (1, 8, 0):
+            apart, _ = common.cut(_apart(members, labels), "apart")
+            if apart.isEmpty():
+                break
+            if pivots:
+                members = apart.select("key", "rep")
+                # A text that shares many tables lies in the middle of its group: it comes first.
+                weight = apart.groupBy("rep").agg((-F.count("*")).alias("o"))
+                pivot = apart.join(weight, "rep").groupBy("key").agg(F.min(F.struct("o", F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")).select("key", "p.*")
+                pivot = _aside(pivot)
+                nearest = F.slice(F.array_sort(F.collect_set(F.struct("o", "v"))), 1, pivots)
+                pairs = apart.join(pivot, "key").where("comp <> other").groupBy(F.col("rep").alias("u")).agg(nearest.alias("p")).select("u", F.explode("p.v").alias("v"))
+            else:
+                pairs = _prefix_pairs(apart, sets, percent)
+            labels = _merged(labels, _confirmed(pairs, sets, percent))
+
+        # Rows of one doc_id are one node; where their texts differ, it stands for several sets.
+        repeated = able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
+        by_class = classes.select("digest", "rep").join(labels.select("rep", "comp"), "rep")
+        placed = able.select("doc_id", "digest").join(by_class, "digest").select("doc_id", "comp")
+        if not repeated.isEmpty():
+            of = placed.distinct()
+            least = of.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("comp").alias("v"))
+            joined = components(of.join(least, "doc_id").select(F.col("comp").alias("u"), "v"))
+            placed = placed.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("doc_id", F.coalesce("root", "comp").alias("comp"))
+        placed, placed_at = common.cut(placed.groupBy("doc_id").agg(F.min("comp").alias("component_id")), "placed")
+        common.release(spark, made, signed_at, placed_at)
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -218,7 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, columns as they are.
 
-    Rows without a doc_id cannot be told apart and stay; rows that share a doc_id stay or go together.
+    Rows without a doc_id cannot be told apart and stay; rows that share a doc_id stay or go together. Null and
+    wordless texts stay. Empty table: empty result. Other columns play no part, whatever their names.
     """
     found = near_duplicates(docs, **options)
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()

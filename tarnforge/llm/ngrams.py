@@ -81,8 +81,7 @@ def counts(docs: DataFrame, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(kind), pa.array(bucket), pa.array(total[which, kind, bucket])], ["which", "kind", "bucket", "n"])
 
     df = docs.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    found = df.mapInArrow(count, "which long, kind long, bucket long, n long").groupBy("which", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = common.map_tasks(df, count, "which long, kind long, bucket long, n long").groupBy("which", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, 2, BUCKETS), np.int64)
     out[tuple(found.column(c).to_numpy() for c in ("which", "kind", "bucket"))] = found.column("n").to_numpy()
     return out
@@ -107,10 +106,24 @@ def score(text: str | None, ratios: np.ndarray, kinds: tuple[int, ...] = (CHARS,
     return total, n
 
 
-def labelled(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
-    """``doc_id`` and ``column`` of at most about ``max_rows`` labelled documents, chosen by a hash of the id."""
-    one = labels.where(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(F.max(column).alias(column))
-    n = one.count()
+#: Labels that are broadcast; more of them are joined by a shuffle, with the same result.
+BROADCAST_LABELS = 1_000_000
+
+
+def labels_of(labels: DataFrame, column: str) -> DataFrame:
+    """``doc_id`` and the greatest ``column`` of each labelled document."""
+    return labels.where(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(F.max(column).alias(column))
+
+
+def joined(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """``docs`` with the labels ``known``, which are broadcast only if there are few."""
+    small = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.join(F.broadcast(known) if small else known, "doc_id", how)
+
+
+def sampled(known: DataFrame, max_rows: int) -> DataFrame:
+    """At most about ``max_rows`` of the labels ``known``, chosen by a hash of the id."""
+    n = known.count()
     if n > max_rows:
-        one = one.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    return one
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    return known
