@@ -26,7 +26,7 @@ WORDS, STEMS = 1 << 20, 1 << 18
 STEM_CHARS = 4
 #: Strength of the priors, in documents: of a word's stem on the word, of the corpus on the stem.
 WORD_PRIOR, STEM_PRIOR = 12.0, 40.0
-#: What each token costs, so that segments end: below any useful log-odds.
+#: What each token costs, so that segments end, and the greatest log-odds of either sign.
 DRIFT, MOST = 0.75, 6.0
 #: A segment counts if chance gives its score less often than this in a clean text of its length.
 ALPHA = 0.05
@@ -48,31 +48,28 @@ def _cells(word: bytes) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) % WORDS, xxhash.xxh64_intdigest(t[:STEM_CHARS].encode("utf-8", "surrogatepass"), 1) % STEMS
 
 
-def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments ``(first, last, score)``, in linear time.
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments ``(first, last, score)`` of a sequence of scores, in linear time.
 
-    ``places`` are the positions with a score above 0 before the drift is taken, ascending; every other position scores
-    ``-drift``. A segment is maximal if no overlapping one scores more and its every prefix and suffix is positive.
+    A segment is maximal if no overlapping one scores more and its every prefix and suffix is positive. Runs of
+    scores above 0 are taken as one step each; the sums before and through them come from one cumulative sum.
     """
-    stack: list[list] = []  # first, last, sum before it, sum through it, the one below with a smaller sum before
-    through, before = 0.0, -1
-    for at, s in zip(places, scores, strict=True):
-        start = through - drift * (at - before - 1)
-        through, before = start + s, at
-        if s <= 0:
-            continue
-        first, low = at, start
+    up = np.nonzero(np.diff(np.concatenate(([0], (scores > 0).view(np.int8), [0]))))[0]
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
+    firsts, ends = up[0::2], up[1::2]
+    stack: list[tuple] = []  # first, end, sum before it, sum through it, the one below with a smaller sum before
+    for first, end, low, through in zip(firsts.tolist(), ends.tolist(), sums[firsts].tolist(), sums[ends].tolist(), strict=True):
         j = len(stack) - 1
         while True:
             while j >= 0 and stack[j][2] >= low:
                 j = stack[j][4]
             if j < 0 or stack[j][3] >= through:
-                stack.append([first, at, low, through, j])
+                stack.append((first, end, low, through, j))
                 break
             first, _, low, _, up = stack[j]
             del stack[j:]
             j = up
-    return [(a, b, hi - lo) for a, b, lo, hi, _ in stack]
+    return [(a, b - 1, hi - lo) for a, b, lo, hi, _ in stack]
 
 
 @dataclass
@@ -87,10 +84,11 @@ class Model:
     rate: float = 1.0  # of the extreme-value law, by score
     place: float = 0.0  # log of its constant
     curve: tuple[float, ...] = (0.0, 1.0, 0.0)
+    drift: float = DRIFT
     memo: dict = field(default_factory=dict, repr=False)
 
     def _odds(self, cells: np.ndarray, own: int = -1) -> np.ndarray:
-        """Log-odds of tokens, at least 0, without a document of label ``own`` (-1: none) that holds them."""
+        """Log-odds of tokens, without a document of label ``own`` (-1: none) that holds them."""
         w, s = cells[:, 0], cells[:, 1]
         out1, out0 = own == 1, own == 0
         sp, so = self.stem_positive[s] - out1, self.stem_other[s] - out0
@@ -98,7 +96,7 @@ class Model:
         wp, wo = self.positive[w] - out1, self.other[w] - out0
         p = (wp + WORD_PRIOR * stem) / (wp + wo + WORD_PRIOR)
         odds = np.log(p / (1 - p)) - math.log(self.base / (1 - self.base))
-        return np.where(w < 0, 0.0, np.clip(odds, 0.0, MOST))
+        return np.where(w < 0, 0.0, np.clip(odds, -MOST, MOST))
 
     def passages(self, text: str | None, own: int = -1) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal scoring segments by word."""
@@ -109,9 +107,7 @@ class Model:
                 memo.clear()
                 missing = list(set(words))
             memo.update(zip(missing, self._odds(np.array([_cells(w) for w in missing], np.int64), own).tolist(), strict=True))
-        s = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-        at = np.nonzero(s > 0)[0]
-        return len(words), segments(at.tolist(), (s[at] - DRIFT).tolist(), DRIFT)
+        return len(words), segments(np.fromiter(map(memo.__getitem__, words), np.float64, len(words)) - self.drift)
 
     def features(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
         """By how much the best passage exceeds what chance gives, and the sum over significant passages."""
@@ -155,8 +151,7 @@ def _counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if len(label):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), kind)), pa.array(label), pa.array(bucket), pa.array(table[label, bucket].astype(np.int64))], ["kind", "label", "bucket", "n"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    found = docs.mapInArrow(count, "kind long, label long, bucket long, n long").groupBy("kind", "label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = common.map_tasks(docs, count, "kind long, label long, bucket long, n long").groupBy("kind", "label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     kind, label, bucket, n = (found.column(c).to_numpy() for c in ("kind", "label", "bucket", "n"))
     out = []
     for k, width in ((0, WORDS), (1, STEMS), (2, 1)):
@@ -186,37 +181,57 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
     At most about ``max_rows`` labelled documents are used, chosen by a hash of their id; that bounds the
     broadcast of their labels and the features that come to the driver for the calibration.
     """
-    spark = docs.sparkSession
-    known = ngrams.labelled(labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "toxic", max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    taught = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    known = ngrams.sampled(ngrams.labels_of(taught, "toxic"), max_rows)
+    rows = ngrams.joined(docs.select("doc_id", "text"), known, "inner").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     size, words, stems = _counted(rows)
     model = Model(words[1], words[0], stems[1], stems[0], (size[1] + 0.5) / (size.sum() + 1))
     if not size.all():  # one label alone, or none: the share is all there is to say
         model.curve = (math.log(model.base / (1 - model.base)), 0.0, 0.0)
         return model
-    sent = spark.sparkContext.broadcast(model)
+    with common.scratch() as made:
+        _calibrate(model, rows)
+        common.release(docs.sparkSession, made)
+    model.memo = {}
+    return model
 
-    def features(batch: pa.RecordBatch):
-        out = []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, found = sent.value.passages(text, toxic)
-            out.append((toxic, n, [s for *_, s in found]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([sorted(x[2]) for x in out], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
-    seen = common.map_arrow(rows, features, "toxic long, n long, scores array<double>").toArrow()
-    toxic, n, scores = seen.column("toxic").to_numpy(), seen.column("n").to_numpy(), seen.column("scores").to_pylist()
-    best = np.array([s[-1] if s else 0.0 for s in scores])
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Fit the law of chance and the curve to ``rows (text, toxic)``, each scored without itself.
+
+    The segments' scores stay in a table. Label, length and best score of each row come to the driver for the law, and
+    its two features for the curve.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batch: pa.RecordBatch):
+        n, scores = [], []
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words, found = sent.value.passages(text, toxic)
+            n.append(words)
+            scores.append([s for *_, s in found])
+        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+
+    kept, _ = common.cut(common.map_arrow(rows, scored, "toxic long, n long, scores array<double>"), "segments")
+    seen = kept.where("n > 0 and toxic = 0").select("n", F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best")).toArrow()
+    n, best = seen.column("n").to_numpy(), seen.column("best").to_numpy()
+    if not len(n):  # no clean text has words: nothing says what chance gives
+        model.curve = (math.log(model.base / (1 - model.base)), 0.0, 0.0)
+        return
     # Gumbel law of clean texts' best scores, fitted to the upper quantiles, where it has to hold: rate * best - log n
     # has the place, and best has the spread, of a standard one.
-    clean = (toxic == 0) & (n > 0)
-    high, higher = np.quantile(best[clean], TAIL)
+    high, higher = np.quantile(best, TAIL)
     gumbel = [-math.log(-math.log(q)) for q in TAIL]
     model.rate = (gumbel[1] - gumbel[0]) / max(float(higher - high), 0.05)
-    model.place = float(np.quantile(model.rate * best[clean] - np.log(n[clean]), TAIL[0])) - gumbel[0]
-    x = np.log1p(np.array([model.features(int(k), [(0, 0, v) for v in s]) for k, s in zip(n, scores, strict=True)]).reshape(-1, 2))
-    model.curve = _logistic(x, toxic.astype(float))
-    model.memo = {}
-    return model
+    model.place = float(np.quantile(model.rate * best - np.log(n), TAIL[0])) - gumbel[0]
+    law = Model(*(np.zeros(0),) * 4, model.base, model.rate, model.place)
+
+    def features(batch: pa.RecordBatch):
+        both = [law.features(n, [(0, 0, s) for s in scores]) for n, scores in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in both], pa.float64()) for i in (0, 1))], ["toxic", "over", "total"])
+
+    x = common.map_arrow(kept, features, "toxic long, over double, total double").toArrow()
+    model.curve = _logistic(np.log1p(np.column_stack([x.column(c).to_numpy() for c in ("over", "total")])), x.column("toxic").to_numpy().astype(float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> DataFrame:
@@ -227,7 +242,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Dat
 
     Null, empty or wordless text: no passages, the score of a text without any. Null doc_id: held_out is
     null. Repeated rows: each is returned; of repeated labels of a document the largest counts. Labels of
-    one kind only, or none: every score is the smoothed share of toxic labels. Empty table: empty result.
+    one kind only, or none, or clean training texts without any word: every score is the smoothed share of toxic labels. Empty
+    table: empty result.
     Very long texts are scored whole, in one linear scan. Other columns are ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))
@@ -249,7 +265,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Dat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 200_000) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, columns as they are; null and empty texts stay."""
+    """The rows of ``docs`` that score below ``threshold``, columns as they are.
+
+    Null and empty texts stay, as do rows with a null doc_id that score below it. Repeated rows stay or go together. Empty
+    table: empty result. Columns other than doc_id and text play no part, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))
     at = docs.columns.index("text")
 
