@@ -70,19 +70,34 @@ _NEAR = 40
 _SPAN = "array<struct<kind:string,start:int,end:int,piece:string,before:string,fits:boolean>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _found(text: Column, pattern: str, kind: Column, fits) -> Column:
-    """All leftmost, non-overlapping matches of ``pattern`` as spans by code point, in order."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    """All leftmost, non-overlapping matches of ``pattern`` as spans by code point, in order.
+
+    The gaps between the matches give their places; a text without a match is not split.
+    """
+    none = F.array().cast(_SPAN)
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, z: Column) -> Column:
         hit = z["hits"]
         start = acc["at"] + F.length(z["gaps"])
         end = start + F.length(hit)
-        span = F.struct(kind(hit).alias("kind"), start.alias("start"), end.alias("end"), hit.alias("piece"), F.right(z["gaps"], F.lit(_NEAR)).alias("before"), fits(hit).alias("fits"))
+        span = F.struct(
+            kind(hit).alias("kind"), start.alias("start"), end.alias("end"), hit.alias("piece"),
+            F.right(z["gaps"], F.lit(_NEAR)).alias("before"), fits(hit).alias("fits"),
+        )
         return F.when(hit.isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(F.arrays_zip(hits.alias("hits"), gaps.alias("gaps")), zero, step, lambda acc: acc["out"])
+    def placed(hits: Column) -> Column:
+        both = F.arrays_zip(hits.alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+        return F.when(F.size(hits) == 0, none).otherwise(F.aggregate(both, zero, step, lambda acc: acc["out"]))
+
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _digits(piece: Column) -> Column:
@@ -97,11 +112,11 @@ def _proposals(text: Column) -> list[Column]:
     phone = lambda x: F.length(_digits(x)).between(10, 15)
     wide = lambda x: F.when(x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(x.rlike(r"[(\[]at[)\]]"), "email").when(x.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone").when(x.rlike(r" "), "name").when(x.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "iban").otherwise("secret")
     return [
-        F.when(F.contains(text, F.lit("@")), _found(text, EMAIL, as_is("email"), lambda x: F.lit(True))).otherwise(none).alias("_pii_email"),
-        F.when(text.rlike(r"[0-9]\.[0-9]"), _found(text, IP, as_is("ip"), lambda x: x.rlike(_IP_FITS))).otherwise(none).alias("_pii_ip"),
-        F.when(text.rlike(r"[0-9][\x20-]?[0-9]"), _found(text, CARD, as_is("card"), card)).otherwise(none).alias("_pii_card"),
-        F.when(F.contains(text, F.lit("+")), _found(text, PHONE, as_is("phone"), phone)).otherwise(none).alias("_pii_phone"),
-        _found(text, WIDE, wide, lambda x: F.lit(False)).alias("_pii_wide"),
+        F.when(F.contains(text, F.lit("@")), _found(text, EMAIL, as_is("email"), lambda x: F.lit(True))).otherwise(none).alias("email"),
+        F.when(text.rlike(r"[0-9]\.[0-9]"), _found(text, IP, as_is("ip"), lambda x: x.rlike(_IP_FITS))).otherwise(none).alias("ip"),
+        F.when(text.rlike(r"[0-9][\x20-]?[0-9]"), _found(text, CARD, as_is("card"), card)).otherwise(none).alias("card"),
+        F.when(F.contains(text, F.lit("+")), _found(text, PHONE, as_is("phone"), phone)).otherwise(none).alias("phone"),
+        _found(text, WIDE, wide, lambda x: F.lit(False)).alias("wide"),
     ]
 
 
@@ -150,15 +165,14 @@ def _votes(s: Column) -> Column:
 
 
 def proposals(docs: DataFrame, *kept: str) -> DataFrame:
-    """``kept`` columns, the base spans, and what else the method is to decide on, each with its ``key``."""
-    own = [F.col(f"`{c}`") for c in kept]
-    df = docs.select(*own, *_proposals(F.coalesce(F.col("text"), F.lit(""))))
-    first = [f"_pii_{k}" for k in BASE]
-    df = df.withColumn("_pii_base", F.concat(*(F.filter(k, lambda s: s["fits"]) for k in first)))
-    failed = F.filter(F.concat(*first), lambda s: ~s["fits"])
-    df = df.withColumn("_pii_more", _clear_of(F.concat(F.col("_pii_wide"), failed), F.col("_pii_base")))
+    """The ``kept`` columns as the struct ``row``, the ``base`` spans, and ``more`` that the method is to decide on, each with its ``key``."""
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
+    df = docs.select(own.alias("row"), *_proposals(F.coalesce(F.col("text"), F.lit(""))))
+    df = df.withColumn("base", F.concat(*(F.filter(k, lambda s: s["fits"]) for k in BASE)))
+    failed = F.filter(F.concat(*BASE), lambda s: ~s["fits"])
+    df = df.withColumn("more", _clear_of(F.concat(F.col("wide"), failed), F.col("base")))
     key = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.concat(s["kind"], F.lit(":"), _votes(s)).alias("key"))
-    return df.select(*own, F.transform("_pii_base", key).alias("_pii_base"), F.transform("_pii_more", key).alias("_pii_more"))
+    return df.select("row", F.transform("base", key).alias("base"), F.transform("more", key).alias("more"))
 
 
 def estimate(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
@@ -215,7 +229,7 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
 
 def accepted(found: DataFrame) -> list[str]:
     """Keys of the proposals that the classifier accepts, learnt from all rows of ``proposals``."""
-    keys = found.select(F.explode(F.concat("_pii_base", "_pii_more")).alias("s")).groupBy("s.key").count().collect()
+    keys = found.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.key").count().collect()
     post = estimate({r["key"]: r["count"] for r in keys})
     return sorted(k for k, p in post.items() if p >= 0.5)
 
@@ -227,8 +241,10 @@ def _listed(spans: Column) -> Column:
     return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), word(s).alias("word"))))
 
 
-def _chosen(found: DataFrame, keys: list[str]) -> DataFrame:
-    return found.withColumn("_pii_more", F.filter("_pii_more", lambda s: s["key"].isin(keys) if keys else F.lit(False)))
+def _chosen(found: DataFrame) -> DataFrame:
+    """``found`` with those of the ``more`` spans that the classifier accepts."""
+    keys = accepted(found)
+    return found.withColumn("more", F.filter("more", lambda s: s["key"].isin(keys) if keys else F.lit(False)))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -240,35 +256,42 @@ def personal_data(docs: DataFrame) -> DataFrame:
     start, kinds go in the order of ``KINDS``. Empty table: empty result. Very long texts are read whole.
     Other columns are ignored, whatever their names.
     """
-    found, _ = common.cut(proposals(docs, "doc_id"), "spans")
-    chosen = _chosen(found, accepted(found))
-    count = lambda k: F.size(F.filter("_pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    chosen = _chosen(common.cut(proposals(docs, "doc_id"), "spans")[0])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda spans: F.array_join(F.transform(_listed(spans), lambda s: s["word"]), ",")
-    return chosen.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(F.col("_pii_base")), 256).alias("base_sha256"), joined(F.concat("_pii_base", "_pii_more")).alias("spans"))
+    digest = F.sha2(joined(F.col("base")), 256).alias("base_sha256")
+    return chosen.select("row.doc_id", *(count(k) for k in BASE), digest, joined(F.concat("base", "more")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with each span replaced by its kind, as ``<EMAIL>``; columns as they are.
 
     ``n_chars``, where there is such a column, follows. Overlapping spans are replaced as one, under the first one's
-    kind. Null texts and texts without spans come back unchanged.
+    kind. The patterns run once: rows and proposals are written, learnt from, and redacted from that table.
+
+    Null texts and texts without spans come back unchanged. Null or repeated doc_id: each row is returned by itself.
+    Empty table: empty result. Very long texts are read whole. Other columns come back as they are, whatever their names.
     """
-    learnt, path = common.cut(proposals(docs), "spans")
-    keys = accepted(learnt)
-    common.drop(docs.sparkSession, path)
     names = docs.columns
-    found = _chosen(proposals(docs, *names), keys)
-    spans = _listed(F.concat("_pii_base", "_pii_more"))
+    found = _chosen(common.cut(proposals(docs, *names), "spans")[0])
+    text = F.col("row").getField("text")
     # Text between the spans, and each span's mark unless one before covers its start.
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(F.col("_pii_spans"), zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = F.size("_pii_spans") > 0
-    out = found.withColumn("_pii_spans", spans).withColumn("_pii_clean", F.when(changed, clean).otherwise(F.col("text")))
-    fixed = {"text": F.col("_pii_clean")} | ({"n_chars": F.when(changed, F.length("_pii_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    return out.select(*(fixed.get(c, F.col(f"`{c}`")).alias(c) for c in names))
+        new = s["start"] >= acc["at"]
+        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    changed = F.size("spans") > 0
+    out = found.select("row", _listed(F.concat("base", "more")).alias("spans"))
+    out = out.withColumn("clean", F.when(changed, F.aggregate("spans", zero, step, rest)).otherwise(text))
+
+    def value(c: str) -> Column:
+        if c == "text":
+            return F.col("clean")
+        own = F.col("row").getField(c)
+        return F.when(changed, F.length("clean").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own
+
+    return out.select(*(value(c).alias(c) for c in names))

@@ -78,6 +78,18 @@ def test_repeats_nulls_other_columns_and_empty(spark):
     assert pii.personal_data(df.limit(0)).collect() == []
 
 
+def test_redacted_edges(spark):
+    """Clashing column names, null ids, repeated rows, long texts and an empty table."""
+    rows = [(1, "a@b.cd", "x", 1, "r"), (1, "a@b.cd", "x", 1, "r"), (None, None, None, None, None), (2, "", "y", 2, ""), (3, "w " * 100_000 + "1.2.3.4", "z", 3, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _pii_base string, spans int, row string")
+    want = [(1, "<EMAIL>", "x", 1, "r")] * 2 + [(None, None, None, None, None), (2, "", "y", 2, ""), (3, "w " * 100_000 + "<IP>", "z", 3, "s")]
+    out = pii.redacted(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert pii.redacted(df.limit(0)).collect() == []
+    odd = spark.createDataFrame([(1, "a@b.cd", "k")], ["doc_id", "text", "a.b"])
+    assert tuple(pii.redacted(odd).first()) == (1, "<EMAIL>", "k")
+
+
 def test_redacted(spark, sf):
     docs = spark.createDataFrame([(1, "mail a@b.cd or 1.2.3.4!", "k", 23), (2, None, None, None), (3, "plain", "k", 5), (4, "é 😀 x@y.zz", "k", 10)], "doc_id long, text string, email string, n_chars long")
     out = {r.doc_id: tuple(r) for r in pii.redacted(docs).collect()}
