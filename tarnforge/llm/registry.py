@@ -42,7 +42,7 @@ def op3(spark, sf_dir):
 @_query("op4_temperature_mixing")
 def op4(spark, sf_dir):
     found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return found.select("doc_id", "source", "n_tokens", "weight", "copies", "kept")
+    return found.select("doc_id", "source", "n_tokens", "weight", "copies", "draws", "kept")
 
 
 @_query("op5_importance_resampling")
