@@ -79,3 +79,23 @@ def test_decontaminated(spark):
     out = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.decontaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     clean = f"A. , b {rest}"
     assert out == {1: (clean, len(clean)), 3: (rest, 9), 4: (None, None)}
+
+
+def test_decontaminated_by_several_automata(spark, sf):
+    """Parts of a benchmark in turn give what one automaton gives; null texts, copies and clashing columns included."""
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    odd = spark.createDataFrame([(None, None, None, None, 1), (7, "", None, None, 0), (7, "", None, None, 0)], docs.schema)
+    hot = docs.where("text is not null").limit(1).crossJoin(spark.range(300)).drop("id")
+    docs = docs.unionByName(odd).unionByName(hot).withColumnsRenamed({"lang": "digest", "source": "spans"})
+    whole = sorted(map(tuple, decontaminate.decontaminated(docs, bench).collect()), key=str)
+    assert sorted(map(tuple, decontaminate.decontaminated(docs, bench, max_words=300).collect()), key=str) == whole
+    assert decontaminate.decontaminated(docs.limit(0), bench, max_words=300).collect() == []
+    assert decontaminate.decontaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_parts_hold_all_items(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    groups, parts = decontaminate._groups(bench, 300)
+    sizes = groups.groupBy("part").count().collect()
+    assert parts > 3 and len(sizes) <= parts and sum(r["count"] for r in sizes) == bench.count()
+    assert sum(len(decontaminate._sent(groups, p).value[1]) for p in range(parts)) == bench.count()
