@@ -45,23 +45,25 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
     return low, above
 
 
-def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11, max_rows: int = 200_000) -> DataFrame:
+def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11) -> DataFrame:
     """``doc_id, log_weight, key, kept`` for every row of ``docs (doc_id, text, ...)``.
 
-    Target documents are those that ``labels (doc_id, quality)`` call good, at most about ``max_rows``, chosen
-    by a hash of their id; the raw model covers all rows. ``share`` of the rows, rounded to whole rows, are kept: by default the share of
-    good ones among the labels. Noise is a function of seed, doc_id and text, so a run can be repeated; among equal keys the rows with the
-    smallest hash of doc_id are kept first, and rows that are equal in that too stay or go together.
+    Target documents are all those that ``labels (doc_id, quality)`` call good; the raw model covers all rows. ``share`` of
+    the rows, rounded to whole rows, are kept: by default the share of good ones among the labels. Noise is a function of
+    seed, doc_id and text, so a run can be repeated; among equal keys the rows with the smallest hash of doc_id are kept
+    first, and rows that are equal in that too stay or go together.
 
-    Null, empty or wordless text: no n-grams, log_weight 0, a null key, never kept. Null doc_id: as any other row. Empty table: empty result; no labels: the
-    weights are those of equal models and everything with words is kept. Other columns are ignored, whatever their names.
+    Null, empty or wordless text: no n-grams, log_weight 0, a null key, never kept. Null doc_id: as any other row. Empty
+    table: empty result; no labels: the weights are those of equal models and everything with words is kept. Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    known = ngrams.labelled(labels.where("quality is not null"), "quality", max_rows)
+    known = ngrams.labels_of(labels, "quality")
     good, of = known.agg(F.coalesce(F.sum(F.when(F.col("quality") > 0, 1)), F.lit(0)), F.count("*")).first()
     share = share if share is not None else good / of if of else 1.0
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.where("quality > 0")), "doc_id", "left").select("text", F.col("quality").isNotNull().alias("target"))
-    sent = spark.sparkContext.broadcast(ngrams.log_ratios(ngrams.counts(rows)))
+    rows = ngrams.joined(docs.select("doc_id", "text"), known.where("quality > 0"), "left")
+    total = ngrams.counts(rows.select("text", F.col("quality").isNotNull().alias("target")))
+    sent = spark.sparkContext.broadcast(ngrams.log_ratios(total))
 
     def weigh(batch: pa.RecordBatch):
         out = [ngrams.score(t, sent.value) for t in batch.column(1).to_pylist()]

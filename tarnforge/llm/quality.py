@@ -1,7 +1,8 @@
 """Quality rules: text statistics and a log-likelihood ratio against the raw corpus.
 
 The base rules look at one text. The verdict compares two hashed n-gram multinomials, of trusted target
-documents and of the whole raw corpus: the ratio of a text's likelihoods, by n-gram, against one threshold.
+documents and of the whole raw corpus: the ratio of a text's likelihoods, by n-gram, against one threshold. The threshold
+comes from trusted documents that the multinomials have not seen.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnforge.llm import common, ngrams
+from tarnforge.llm import common, importance, ngrams
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 _WHITE = " \t\n\x0b\x0c\r"
-#: The verdict's n-grams.
-KINDS = (ngrams.CHARS,)
+#: The verdict's n-grams: character runs and word pairs.
+KINDS = (ngrams.CHARS, ngrams.PAIRS)
 #: Share of trusted documents that the threshold may turn away, and what is taken off beside it.
-TRUSTED_LOSS, MARGIN = 0.001, 0.02
+TRUSTED_LOSS, MARGIN = 0.002, 0.02
+#: One in so many trusted documents, by a hash of the id, sets the threshold and teaches nothing.
+HELD = 5
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -53,17 +56,17 @@ def fails(n_words: int, n_repeat: int) -> bool:
     return n_words < 10 or 100 * n_repeat > 20 * n_words
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Log ratios of the n-grams, and the threshold.
 
-    Raw counts cover all rows of ``docs``; the target's cover at most about ``max_rows`` documents that
-    ``labels (doc_id, quality)`` trust (quality above 0), chosen by a hash of their id. The threshold lies below all but
-    ``TRUSTED_LOSS`` of their ratios, by ``MARGIN``.
+    Raw counts cover all rows of ``docs``. Of the documents that ``labels (doc_id, quality)`` trust (quality above 0) one in
+    ``HELD`` sets the threshold: it lies below all but ``TRUSTED_LOSS`` of their ratios, by ``MARGIN``. All others are
+    the target's counts.
     """
-    known = ngrams.labelled(labels.where("quality > 0"), "quality", max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").select("text", F.col("quality").isNotNull().alias("target"))
-    total = ngrams.counts(rows, KINDS)
-    ratios = ngrams.log_ratios(total)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(HELD)) == 0
+    known = ngrams.labels_of(labels.where("quality > 0"), "quality").select("doc_id", held.alias("held"))
+    rows = ngrams.joined(docs.select("doc_id", "text"), known, "left")
+    ratios = ngrams.log_ratios(ngrams.counts(rows.select("text", (F.col("held") == F.lit(False)).alias("target")), KINDS))
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def rate(batch: pa.RecordBatch):
@@ -73,20 +76,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> tuple[np
             if not fails(n, repeat):
                 s, k = ngrams.score(text, sent.value, KINDS)
                 out.append(s / k)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["ratio"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["key"])
 
-    trusted = common.map_arrow(rows.where("target").select("text"), rate, "ratio double").toArrow().column("ratio").to_numpy()
-    return ratios, float(np.quantile(trusted, TRUSTED_LOSS)) - MARGIN if len(trusted) else -np.inf
+    with common.scratch() as made:
+        trusted, _ = common.cut(common.map_arrow(ngrams.joined(docs.select("doc_id", "text"), known.where("held"), "inner").select("text"), rate, "key double"), "ratios")
+        n = trusted.count()
+        found = importance.kth_largest(trusted, n - int(TRUSTED_LOSS * n))
+        common.release(docs.sparkSession, made)
+    return ratios, found[0] - MARGIN if found else -np.inf
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The base statistics, ``base_failed``, ``log_ratio`` and ``kept`` of every row of ``docs (doc_id, text, ...)``.
 
     Null, empty or wordless text: all counts 0, base_failed, log_ratio 0. Without trusted labels no document falls by
     the verdict. Null or repeated doc_id: each row is returned by itself. Empty table: empty result. Very
     long texts are read whole. Other columns are ignored, whatever their names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batch: pa.RecordBatch):
