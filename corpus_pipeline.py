@@ -50,15 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; a stage's table goes when the next one is written."""
+    """All stages over the documents of ``sf_dir``; a stage's table, and what it made, goes when the next one is written."""
     docs, path = common.table(spark, sf_dir, "documents"), ""
-    for at, (_, stage) in enumerate(STAGES):
-        since = common.mark()
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
+    for _, stage in STAGES[:-1]:
+        with common.scratch() as made:
             before = path
-            docs, path = common.cut(docs, "stage")
-            common.release(spark, since, path)
-            if before:
-                common.drop(spark, before)
-    return docs
+            docs, path = common.cut(stage(spark, docs, sf_dir), "stage")
+            common.release(spark, made, path)
+        if before:
+            common.drop(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
