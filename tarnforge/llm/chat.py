@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions only.
 
-A conversation's turns are collected as structs, sorted, and concatenated; neighbouring turns of one role
-share one message. Control strings inside texts and roles are escaped, so the output can be read back
+A conversation's turns are collected as structs and sorted, neighbouring turns of one role are merged into one
+message by array functions, and the messages are concatenated. Control strings inside texts and roles are escaped, so the output can be read back
 without loss. The loss mask comes as segments: pieces of the output with a flag, in order.
 """
 
@@ -22,6 +22,27 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def messages(turns: Column) -> Column:
+    """Sorted turns with neighbours of one role merged: structs of ``role`` and ``texts``, linear in the turns."""
+    place = F.sequence(F.lit(1), F.size(turns))
+    starts = F.filter(place, lambda i: (i == 1) | (F.element_at(turns, i)["role"] != F.element_at(turns, F.greatest(i - 1, F.lit(1)))["role"]))
+
+    def merged(at: Column) -> Column:
+        def one(start: Column, k: Column) -> Column:
+            end = F.when(k + 1 < F.size(at), F.get(at, k + 1)).otherwise(F.size(turns) + 1)
+            texts = F.transform(F.slice(turns, start, end - start), lambda t: t["text"])
+            return F.struct(F.element_at(turns, start)["role"].alias("role"), texts.alias("texts"))
+
+        return F.transform(at, one)
+
+    return _once(starts, merged)
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """``conv_id, formatted, segments`` for every conversation of ``turns (conv_id, turn, role, text, ...)``.
 
@@ -36,14 +57,15 @@ def formatted(turns: DataFrame) -> DataFrame:
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
-    def head(t: Column, i: Column) -> Column:
-        before = F.col("turns")[F.greatest(i - 1, F.lit(0))]
-        opening = F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP))
-        return F.when(i == 0, opening).when(before["role"] == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), opening))
+    piece = lambda text, loss: F.struct(text.alias("piece"), loss.alias("loss"))
+
+    def pieces(m: Column) -> Column:
+        learnt = m["role"] == "assistant"
+        opening = F.concat(F.lit(START), escaped(m["role"]), F.lit(SEP))
+        each = F.transform(m["texts"], lambda t, i: F.array(piece(F.when(i == 0, opening).otherwise(NEXT), F.lit(False)), piece(escaped(t), learnt)))
+        return F.concat(F.flatten(each), F.array(piece(F.lit(END), F.lit(False))))
 
-    pieces = F.transform("turns", lambda t, i: F.array(F.struct(head(t, i).alias("piece"), F.lit(False).alias("loss")), F.struct(escaped(t["text"]).alias("piece"), (t["role"] == "assistant").alias("loss"))))
-    end = F.array(F.struct(F.lit(END).alias("piece"), F.lit(False).alias("loss")))
-    out = sorted_turns.select("conv_id", F.concat(F.flatten(pieces), end).alias("segments"))
+    out = sorted_turns.select("conv_id", F.flatten(F.transform(messages(F.col("turns")), pieces)).alias("segments"))
     return out.select("conv_id", F.array_join(F.transform("segments", lambda s: s["piece"]), "").alias("formatted"), "segments")
 
 
