@@ -26,7 +26,7 @@ def main() -> None:
         engine.init()
         print(json.dumps(getattr(engine, a.command)(a.what or detect().path)))
     elif a.command == "search":
-        print(as_text(engine.search(a.what or "", a.mode, a.limit), engine.store()))
+        print(as_text(engine.search(a.what or "", a.mode, a.limit), engine.store(), engine.settings.result_chars))
     elif a.command == "projects":
         print("\n".join(engine.projects()))
     else:

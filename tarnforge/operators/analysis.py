@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnforge.operators import syntax
 from tarnforge.operators.chunking import symbols
 
 #: Which unit comes first where several begin on a line (fixed values).
@@ -64,23 +65,26 @@ class Unit:
 
 
 def units(path: str, language: str | None, text: str) -> list[Unit]:
-    """Declarations, runs of imports and of comments, outermost first; a unit names the class around it."""
-    lines, found = text.split("\n"), [(k, n, a, b) for k, n, a, b in symbols(text)]
-    for kind, pattern in (("import", r"\s*(?:import\b|from\s+\S+\s+import\b|(?:const|let|var)\b.*\brequire\()"), ("comment", r"\s*(?://|#(?!!)|/\*|\*)")):
-        at = 0
-        while at < len(lines):
-            end = at
-            while end < len(lines) and re.match(pattern, lines[end]):
-                end += 1
-            if end > at:
-                found.append((kind, kind, at + 1, end))
-            at = max(end, at + 1)
+    """Declarations, exports, types, blocks, runs of imports and of comments, outermost first; a unit names the class around it."""
+    tree = syntax.Tree(text, language)
+    lines, found = text.split("\n"), []
+    declared = {n.start for n in tree.nodes if n.kind in PRIORITY and n.kind != "export"}
+    for n in tree.nodes:
+        if n.kind == "export" and n.start in declared:  # the declaration says so itself
+            continue
+        around = n.parent
+        while around and around.kind != "class":
+            around = around.parent
+        if n.kind == "import" and found and found[-1][0] == "import" and found[-1][4] is around and found[-1][3] == n.first - 1:
+            found[-1][3] = n.last
+        else:
+            found.append([n.kind, n.name, n.first, n.last, around])
     out: list[Unit] = []
-    for kind, name, first, last in sorted(found, key=lambda f: (f[2], -PRIORITY[f[0]], -f[3])):
+    for kind, name, first, last, around in sorted(found, key=lambda f: (f[2], -PRIORITY[f[0]], -f[3])):
         code = "\n".join(lines[first - 1 : last])
-        around = [u for u in out if u.kind == "class" and u.first < first and last <= u.last]
         level = complexity(code, language) if kind in ("function", "method", "class") else 1
-        out.append(Unit(f"{path}:{kind}:{name}:{first}", kind, name, first, last, around[-1].id if around else None, code, documentation(code), level, tags(kind, language, lines[first - 1], level)))
+        parent = f"{path}:class:{around.name}:{around.first}" if around else None
+        out.append(Unit(f"{path}:{kind}:{name}:{first}", kind, name, first, last, parent, code, documentation(code), level, tags(kind, language, lines[first - 1], level)))
     return out
 
 
@@ -197,31 +201,21 @@ def optimised(text: str, chunks: list[str], found: list[tuple[int, int, str, flo
     return parts if sum(map(len, parts)) >= 0.8 * len(text) else chunks
 
 
-_MEMBER = re.compile(r"^\s*(?:(public|private|protected)\s+)?(?:(?:static|async|readonly|abstract|get|set)\s+)*(?:def\s+)?([A-Za-z_#]\w*)\s*(?:<[^>]*>)?\(", re.M)
-
-
 def class_parts(code: str, group: int = 3) -> list[tuple[str, str]]:
     """A class as ``(kind, code)``: its head with the fields, then its methods by visibility in groups.
 
     The head is what stands outside the methods. Methods keep their order inside a visibility.
     """
+    tree = syntax.Tree(code)
+    top = next((n for n in tree.nodes if n.kind == "class"), None)
     lines = code.split("\n")
-    from tarnforge.operators.chunking import _extent
-
     taken: set[int] = set()
     methods: dict[str, list[str]] = {"public": [], "protected": [], "private": []}
-    at = 1
-    while at < len(lines):
-        m = _MEMBER.match(lines[at])
-        opens = m and (lines[at].rstrip().endswith((":", "{", "}")) and m[2] not in ("if", "for", "while", "switch", "return", "catch"))
-        if not opens:
-            at += 1
-            continue
-        end = _extent(lines, at)
-        hidden = m[1] or ("private" if m[2].startswith(("#", "__")) and not m[2].endswith("__") else "protected" if m[2].startswith("_") and not m[2].startswith("__") else "public")
-        methods[hidden].append("\n".join(lines[at:end]))
-        taken |= set(range(at, end))
-        at = end
+    for n in top.children if top else ():
+        if n.kind == "method":
+            first = n.first - len(syntax.decorators(tree, n))
+            methods[syntax.visibility(tree, n)].append("\n".join(lines[first - 1 : n.last]))
+            taken |= set(range(first - 1, n.last))
     out = [("definition", "\n".join(x for i, x in enumerate(lines) if i not in taken))]
     for kind, own in methods.items():
         out += [(f"{kind} methods", "\n".join(own[i : i + group])) for i in range(0, len(own), group)]

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnforge.operators import syntax
+
 SIZE, OVERLAP = 1000, 200
 
 
@@ -91,53 +93,9 @@ def configuration(text: str, size: int = SIZE) -> list[str]:
     return paragraphs(text, size)
 
 
-_DECLARED = re.compile(
-    r"^(?P<indent>[ \t]*)(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|static|abstract|async)\s+)*"
-    r"(?:(?P<def>def|function\*?|class|interface)\s+(?P<name>\w+)|(?:const|let|var)\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>)",
-    re.M,
-)
-
-
-def _extent(lines: list[str], start: int) -> int:
-    """The line after a declaration's last: by its braces if it opens any, else by indentation."""
-    depth, opened = 0, False
-    head = lines[start]
-    if not head.rstrip().endswith(":"):
-        for i in range(start, len(lines)):
-            bare = re.sub(r"""(["'`])(?:\\.|(?!\1).)*\1|//.*""", "", lines[i])
-            depth += bare.count("{") - bare.count("}")
-            opened = opened or "{" in bare
-            if opened and depth <= 0:
-                return i + 1
-            if not opened and (bare.rstrip().endswith(";") or i - start > 3):
-                break
-        if opened:
-            return len(lines)
-    indent = len(head) - len(head.lstrip())
-    end = start + 1
-    for i in range(start + 1, len(lines)):
-        if lines[i].strip():
-            if len(lines[i]) - len(lines[i].lstrip()) <= indent:
-                break
-            end = i + 1
-    return end
-
-
-def symbols(text: str) -> list[tuple[str, str, int, int]]:
+def symbols(text: str, language: str | None = None) -> list[tuple[str, str, int, int]]:
     """``(kind, name, first line, last line)`` of functions, methods, classes and interfaces; lines from 1."""
-    lines, out, classes = text.split("\n"), [], []
-    starts = {}
-    for m in _DECLARED.finditer(text):
-        starts[text.count("\n", 0, m.start()) + (1 if text[m.start() : m.end()].startswith("\n") else 0)] = m
-    for at, m in sorted(starts.items()):
-        end = _extent(lines, at)
-        kind = {"def": "function", "class": "class", "interface": "interface"}.get((m["def"] or "def").rstrip("*"), "function")
-        if kind == "function" and any(a < at < b for a, b in classes):
-            kind = "method"
-        if kind == "class":
-            classes.append((at, end))
-        out.append((kind, m["name"] or m["arrow"], at + 1, end))
-    return out
+    return [(n.kind, n.name, n.first, n.last) for n in syntax.Tree(text, language).nodes if n.kind in ("function", "method", "class", "interface")]
 
 
 def code(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -209,6 +167,39 @@ def symbol_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").cast("string").alias("id"), "content").mapInArrow(run, "id string, kind string, name string, first_line int, last_line int")
 
 
+_METADATA = (
+    "struct<parameters:array<string>,return_type:string,visibility:string,static:boolean,async:boolean,decorators:array<string>,"
+    "properties:array<string>,bases:array<string>,methods:array<string>,modules:array<string>,names:array<string>>"
+)
+
+
+def symbol_metadata(docs: DataFrame) -> DataFrame:
+    """``id, kind, name, owner, first_line, last_line, metadata`` of the declarations, imports and exports of ``docs (id, content)``.
+
+    ``owner`` is the class around a method. ``metadata`` has the fields of its kind; the others are null.
+    """
+    kinds = ("function", "method", "class", "interface", "import", "export")
+
+    def run(batches):
+        t, n = pa.string(), pa.int32()
+        many = pa.list_(t)
+        inner = pa.struct([
+            ("parameters", many), ("return_type", t), ("visibility", t), ("static", pa.bool_()), ("async", pa.bool_()), ("decorators", many),
+            ("properties", many), ("bases", many), ("methods", many), ("modules", many), ("names", many),
+        ])
+        for b in batches:
+            rows = []
+            for i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tree = syntax.Tree(text or "")
+                for x in syntax.of_kind(tree, *kinds):
+                    rows.append((i, x.kind, x.name, x.parent.name if x.parent else None, x.first, x.last, syntax.metadata(tree, x)))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((t, t, t, t, n, n, inner))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "kind", "name", "owner", "first_line", "last_line", "metadata"])
+
+    schema = f"id string, kind string, name string, owner string, first_line int, last_line int, metadata {_METADATA}"
+    return docs.select(F.col("id").cast("string").alias("id"), "content").mapInArrow(run, schema)
+
+
 def imports(content: Column) -> Column:
     """Modules that a source text imports, JS, TS and Python forms, without repeats."""
     js = F.regexp_extract_all(content, F.lit(r"(?m)(?:from|require\(|import)\s*[\"']([^\"']+)[\"']"), F.lit(1))

@@ -12,13 +12,19 @@ def _names(*names: str):
     return F.array(*(F.lit(n) for n in names))
 
 
+def _contents_of(rows: DataFrame) -> DataFrame:
+    """``name, contents``: one row a name, the contents of its rows one after the other, in order of their values."""
+    return rows.groupBy("name").agg(F.flatten(F.array_sort(F.collect_list(F.coalesce("contents", F.array().cast("array<string>"))))).alias("contents"))
+
+
 def create_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
-    """Entities with those of ``new`` whose name is not there yet."""
-    return entities.unionByName(new.join(entities.select("name"), "name", "left_anti").select(*entities.columns))
+    """Entities with those of ``new`` whose name is not there yet; of several of one name, one."""
+    return entities.unionByName(new.dropDuplicates(["name"]).join(entities.select("name"), "name", "left_anti").select(*entities.columns))
 
 
 def create_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
-    return relations.unionByName(new.join(relations.select(*KEYS), KEYS, "left_anti").select(*relations.columns))
+    """Relations with those of ``new`` that are not there yet, each once."""
+    return relations.unionByName(new.dropDuplicates(KEYS).join(relations.select(*KEYS), KEYS, "left_anti").select(*relations.columns))
 
 
 def add_observations(entities: DataFrame, new: DataFrame) -> DataFrame:
@@ -26,6 +32,7 @@ def add_observations(entities: DataFrame, new: DataFrame) -> DataFrame:
     missing = new.join(entities, "name", "left_anti").select("name").limit(5).collect()
     if missing:
         raise KeyError(f"no such entity: {', '.join(sorted(r.name for r in missing))}")
+    new = _contents_of(new)
     added = F.filter(F.coalesce("contents", F.array().cast("array<string>")), lambda x: ~F.array_contains("observations", x))
     return entities.join(new, "name", "left").select("name", "entityType", F.concat("observations", F.array_distinct(added)).alias("observations"))
 
@@ -39,6 +46,7 @@ def delete_entities(entities: DataFrame, relations: DataFrame, names: DataFrame)
 
 def delete_observations(entities: DataFrame, gone: DataFrame) -> DataFrame:
     """Entities without observations ``(name, contents)``; repeats of the others stay."""
+    gone = _contents_of(gone)
     unwanted = F.coalesce("contents", F.array().cast("array<string>"))
     return entities.join(gone, "name", "left").withColumn("_gone", unwanted).select("name", "entityType", F.filter("observations", lambda x: ~F.array_contains("_gone", x)).alias("observations"))
 
@@ -61,6 +69,10 @@ def search(entities: DataFrame, relations: DataFrame, query: str) -> tuple[DataF
     return found, _within(relations, found)
 
 
-def open_nodes(entities: DataFrame, relations: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    found = entities.where(F.array_contains(_names(*names), F.col("name")) if names else F.lit(False))
+def open_nodes(entities: DataFrame, relations: DataFrame, names: list[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entities of ``names``, a list or a table ``(name)`` of any length, and the relations among them."""
+    if isinstance(names, DataFrame):
+        found = entities.join(names.select("name").distinct(), "name", "left_semi").select(*entities.columns)
+    else:
+        found = entities.where(F.array_contains(_names(*names), F.col("name")) if names else F.lit(False))
     return found, _within(relations, found)

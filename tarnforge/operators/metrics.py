@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LEVELS = {"debug": 0, "info": 1, "warn": 2, "error": 3}
 
@@ -92,3 +93,9 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     both = mean(a, "a").join(mean(b, "b"), "query_id", "full").fillna(0)
     better = F.when(F.col("points_a") > F.col("points_b"), "a").when(F.col("points_a") < F.col("points_b"), "b").otherwise("even")
     return both.withColumn("better", better)
+
+
+def rolling(rows: DataFrame, per: str, order: list[str], value: str, n: int = 100) -> DataFrame:
+    """``rows`` with ``n`` and ``total`` of the last ``n`` values of each ``per``, the row's own included."""
+    last = Window.partitionBy(per).orderBy(*order).rowsBetween(1 - n, 0)
+    return rows.select(*rows.columns, F.count("*").over(last).alias("n"), F.sum(value).over(last).alias("total"))

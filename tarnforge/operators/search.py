@@ -18,6 +18,14 @@ def clamp_limit(limit: int | None, default: int = 20, most: int = 50) -> int:
     return min(max(default if limit is None else limit, 1), most)
 
 
+#: The column of the store that each filter looks at.
+_COLUMN = {
+    "project": "project_path", "content_type": "content_type", "role": "role", "extension": "file_extension", "language": "language",
+    "min_bytes": "file_size_bytes", "max_bytes": "file_size_bytes", "min_lines": "lines_count", "max_lines": "lines_count",
+    "created_from": "created_at", "created_to": "created_at", "compressed": "is_compressed", "exclude_compressed": "is_compressed",
+}
+
+
 @dataclass(frozen=True)
 class Filters:
     """Metadata filters; None or an empty list leaves a column alone, 0 is a bound."""
@@ -51,7 +59,13 @@ class Filters:
         return out
 
     def apply(self, store: DataFrame) -> DataFrame:
-        """Rows that pass; plain predicates on columns, so they reach the scan."""
+        """Rows that pass; plain predicates on columns, so they reach the scan.
+
+        A store of the older schema has no such columns but project_path and created_at: asking for others fails by name.
+        """
+        asked = {f: c for f, c in _COLUMN.items() if getattr(self, f) not in (None, [], (), False)}
+        if missing := sorted({c for c in asked.values() if c not in store.columns}):
+            raise ValueError(f"the store has no {', '.join(missing)}: bring it into the current schema first")
         for p in self.predicates():
             store = store.where(p)
         return store
@@ -120,51 +134,65 @@ def shaped(store: DataFrame, results: DataFrame, content_chars: int = 500) -> Da
     return results.join(store, "id").select("id", "file_path", T.shortened(F.col("content"), content_chars).alias("content"), "content_type", "language")
 
 
+#: Bytes of queries that are broadcast at once; more of them are searched in further passes over the store.
+QUERY_BYTES = 128 << 20
+
+
 def for_queries(queries: DataFrame, store: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
     """``query_id, id, sim``: the ``k`` nearest vectors of ``store (id, vector)`` for each of ``queries (query_id, vector)``.
 
-    Queries come to the driver in blocks of bounded size; a block's matrix is broadcast, each batch of vectors is one
-    matrix product, and only its ``k`` best leave the worker, so what is shuffled is ``k`` rows a batch and query.
+    The queries' matrix is broadcast, at most ``QUERY_BYTES`` of it a pass over the store. In a task a block of queries and a batch of vectors are
+    one matrix product, and only the task's ``k`` best of each query leave it. Null and zero vectors have no
+    direction: such queries find nothing, and such rows are not found.
     """
     import numpy as np
     import pyarrow as pa
     from pyspark.sql.window import Window
 
-    def unit(rows) -> np.ndarray:
-        m = np.array(rows, np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows as a matrix, scaled to length 1, and which of them have a direction."""
+        width = len(column[0].as_py()) if len(column) else 0
+        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(size > 0, size, 1), size[:, 0] > 0
 
-    def nearest(ids, q):
+    def nearest(sent):
         def run(batches):
+            ids, q = sent.value
+            best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
             for b in batches:
                 if not b.num_rows:
                     continue
-                sims = unit(b.column(1).to_pylist()) @ q.T
-                own = np.array(b.column(0).to_pylist(), object)
-                top = min(k, len(own))
-                best = np.argpartition(-sims, top - 1, axis=0)[:top]
-                # Ties at the cut stay, so that ids can break them.
-                keep = sims >= np.take_along_axis(sims, best, 0).min(axis=0)
-                r, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in c], pa.int64()), pa.array(list(own[r]), pa.int64()), pa.array(sims[r, c])], ["query_id", "id", "sim"])
+                v, there = unit(b.column(1))
+                own, v = b.column(0).to_numpy()[there], v[there]
+                for at in range(0, len(ids), block):
+                    sims = q[at : at + block] @ v.T
+                    for i, row in enumerate(sims, at):
+                        known, scores = best[i]
+                        known, scores = np.concatenate([known, own]), np.concatenate([scores, row])
+                        if len(known) > k:
+                            order = np.lexsort((known, -scores))[:k]
+                            known, scores = known[order], scores[order]
+                        best[i] = known, scores
+            sizes = [len(x) for x, _ in best]
+            if sum(sizes):
+                columns = np.repeat(ids, sizes), np.concatenate([x for x, _ in best]), np.concatenate([x for _, x in best])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "sim"])
 
         return run
 
-    out, rows = None, queries.select("query_id", "vector").where("vector is not null").orderBy("query_id").toLocalIterator()
-    group: list = []
-
-    def flush():
-        nonlocal out, group
-        found = store.select("id", "vector").where("vector is not null").mapInArrow(nearest([r.query_id for r in group], unit([r.vector for r in group])), "query_id long, id long, sim double")
-        out, group = found if out is None else out.unionByName(found), []
-
-    for r in rows:
-        group.append(r)
-        if len(group) == block:
-            flush()
-    if group:
-        flush()
-    if out is None:
-        return store.sparkSession.createDataFrame([], "query_id long, id long, sim double")
+    spark = store.sparkSession
+    rows = store.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null and size(vector) > 0")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null and size(vector) > 0")
+    n, width = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    passes = max(1, -(-n * 8 * (width or 1) // QUERY_BYTES))
+    out = spark.createDataFrame([], "query_id long, id long, sim double")
+    for i in range(passes if n else 0):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow().combine_chunks()
+        if not own.num_rows:
+            continue
+        q, there = unit(own.column("vector").chunk(0))
+        sent = spark.sparkContext.broadcast((own.column("query_id").to_numpy()[there], q[there]))
+        out = out.unionByName(rows.mapInArrow(nearest(sent), "query_id long, id long, sim double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

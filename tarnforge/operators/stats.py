@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnforge.functions.text import clean_path
+from tarnforge.sources import storage
 
 #: Upper bounds in bytes of the size classes (fixed values).
 SIZES = (("tiny", 1024), ("small", 10_240), ("medium", 102_400), ("large", 1_048_576))
@@ -92,10 +93,19 @@ def version_stats(history: DataFrame) -> DataFrame:
     return history.groupBy("chunk_id").agg(F.count("*").alias("versions"), F.min("version").alias("first_version"), F.max("version").alias("last_version"), *kinds.values(), _mean(F.get_json_object("metadata", "$.change_percentage").cast("double")).alias("avg_change"))
 
 
-def materialised(view: DataFrame, path: str) -> DataFrame:
-    """Write a view's rows over what ``path`` holds, and read them: refreshing is computing anew."""
-    view.write.mode("overwrite").parquet(path)
-    return view.sparkSession.read.parquet(path)
+def materialised(view: DataFrame, path: str, name: str = "view") -> DataFrame:
+    """Write a view's rows as a new version of the table ``name`` below ``path``, and read them: refreshing is computing anew.
+
+    A view may be computed from its own last version; readers of that go on until ``storage.Versioned.swept``.
+    """
+    tables = storage.Versioned(view.sparkSession, path)
+    tables.commit(**{name: view})
+    return view.sparkSession.read.schema(view.schema).parquet(tables.path(name))
+
+
+def versions_by_total(history: DataFrame, limit: int = 50) -> DataFrame:
+    """Versions with the number of chunks that have them, the commonest first."""
+    return history.groupBy("version").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "version").limit(limit)
 
 
 def pairwise(vectors: DataFrame, block: int = 1024) -> DataFrame:

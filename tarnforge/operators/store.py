@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tarnforge.functions import detect, text
 from tarnforge.functions.diff import content_diff
+from tarnforge.sources import storage
 
 #: What an upsert replaces; id, paths, chunk places, version and the creation time stay.
 REPLACED = ("content", "content_type", "role", "file_extension", "file_size_bytes", "lines_count", "language", "vector", "is_compressed", "original_size_bytes", "updated_at")
 
 
+def last_of(rows: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
+    """One row a key: the last by ``order``, if there is such a column; of equal ones that whose values, as text, are greatest."""
+    every = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    by = F.struct(*([order] if order in rows.columns else []), F.to_json(every))
+    return rows.groupBy(key).agg(F.max_by(every, by).alias("_last")).select("_last.*")
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` with the rows of ``new`` by id: replaced where known, added where not."""
+    """``old`` with the rows of ``new`` by id: replaced where known, added where not.
+
+    Of rows of ``new`` that share an id the last by ``updated_at`` counts. Rows of ``old`` that share an id are all replaced. Null ids
+    match nothing: those rows of either stay, in ``new`` one of them.
+    """
     names = old.columns
-    there = F.col("n.id").isNotNull()
-    both = old.alias("o").join(new.alias("n"), F.col("o.id") == F.col("n.id"), "full")
+    new = last_of(new).withColumn("_new", F.lit(True))
+    both = old.withColumn("_old", F.lit(True)).alias("o").join(new.alias("n"), F.col("o.id") == F.col("n.id"), "full")
+    there, known = F.col("n._new").isNotNull(), F.col("o._old").isNotNull()
 
     def value(c: str) -> Column:
         if c in REPLACED:
             return F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-        return F.when(F.col("o.id").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+        return F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
 
     return both.select(*(value(c).alias(c) for c in names))
 
@@ -42,6 +59,12 @@ def without_expired(cache: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     return cache.where(F.col("expires_at") >= at), cache.where(F.col("expires_at") < at).agg(F.count("*").alias("removed"))
 
 
+def newest(cache: DataFrame, per: str, order: list[str], n: int) -> DataFrame:
+    """What a cache of ``n`` entries a ``per`` keeps: its last ones by ``order``, the rest being evicted."""
+    rank = F.row_number().over(Window.partitionBy(per).orderBy(*(F.desc(c) for c in order)))
+    return cache.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``id, change_type`` of every created, updated or deleted chunk; content or vector decide on an update."""
     o, n = old.select("id", F.col("content").alias("c0"), F.col("vector").alias("v0"), F.lit(True).alias("in0")), new.select("id", F.col("content").alias("c1"), F.col("vector").alias("v1"), F.lit(True).alias("in1"))
@@ -104,6 +127,19 @@ def migrated(legacy: DataFrame) -> DataFrame:
     return legacy.select("id", "project_path", "file_path", "content", kind.alias("content_type"), detect.indexed_role(kind).alias("role"), F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1).alias("file_extension"), F.octet_length("content").alias("file_size_bytes"), text.line_count(F.col("content")).alias("lines_count"), F.when(index == "", 0).otherwise(F.try_to_number(index, F.lit("999999999")).cast("int")).alias("chunk_index"), F.lit(False).alias("is_compressed"), F.lit(1).alias("version"))
 
 
+def as_current(legacy: DataFrame, schema: str) -> DataFrame:
+    """A store of the old schema as one of ``schema``: what it has, what ``migrated`` derives, nulls for the rest."""
+    extra = [c for c in ("vector", "created_at", "updated_at") if c in legacy.columns]
+    derived = migrated(legacy).join(legacy.select("id", *extra), "id") if extra else migrated(legacy)
+    want = StructType.fromDDL(schema)
+    return derived.select(*((F.col(f.name) if f.name in derived.columns else F.lit(1 if f.name == "total_chunks" else None)).cast(f.dataType).alias(f.name) for f in want))
+
+
+def is_current(store: DataFrame) -> bool:
+    """Whether a store has the columns that only the newer schema has: without them their filters cannot be asked for."""
+    return {"content_type", "role", "file_extension", "chunk_index"} <= set(store.columns)
+
+
 def errors(store: DataFrame) -> DataFrame:
     """``id, problems`` of the rows that break the schema's rules."""
     rules = {
@@ -122,23 +158,63 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
 
 
-def write_buckets(store: DataFrame, path: str, buckets: int = 256) -> None:
-    """Write a store as ``buckets`` partitions by a hash of the id, each by one task or a few."""
-    _bucketed(store, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+class BucketStore:
+    """A store below ``path`` as partitions by a hash of the id, and a manifest that says which folder holds each.
 
-
-def upsert_buckets(path: str, new: DataFrame, buckets: int = 256) -> int:
-    """Upsert ``new`` into a store of ``write_buckets``, reading and rewriting only the buckets that it touches; returns how many.
-
-    Each bucket is written aside and moved into place, so a failed run leaves the old ones; run again, it gives the same store.
-    What comes to the driver are bucket numbers, at most ``buckets``.
+    An upsert rewrites only the buckets that it touches, into a folder of its own, and then puts a new manifest in place by one
+    rename. Until then, and after a failed run, readers see the old one; folders that no manifest names any more are deleted
+    by ``swept``. The manifest has the number of buckets, so they cannot be counted otherwise later.
     """
-    spark = new.sparkSession
-    rows = _bucketed(new, buckets)
-    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
-    if not touched:
-        return 0
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-    merged = _bucketed(upsert(old, rows.select(*old.columns)), buckets)
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    return len(touched)
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, store: DataFrame, buckets: int = 256) -> None:
+        folder = self._put(store, buckets)
+        self._name({"buckets": buckets, "schema": store.schema.json(), "folders": {str(b): folder for b in range(buckets)}})
+
+    def upsert(self, new: DataFrame) -> int:
+        """Returns how many buckets were rewritten. Bucket numbers are all that comes to the driver."""
+        now = self._manifest()
+        rows = _bucketed(new, now["buckets"])
+        touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+        if touched:
+            old = self._read(now, touched)
+            folder = self._put(upsert(old, rows.select(*old.columns)), now["buckets"])
+            self._name(now | {"folders": now["folders"] | {str(b): folder for b in touched}})
+        return len(touched)
+
+    def read(self) -> DataFrame:
+        return self._read(self._manifest(), None)
+
+    def swept(self) -> int:
+        """Delete what the manifest does not name; for when no reader of an older one is left."""
+        held = set(self._manifest()["folders"].values())
+        gone = [n for n in storage.names(self.spark, self.path) if n.startswith("part-") and n not in held]
+        for n in gone:
+            storage.delete(self.spark, f"{self.path}/{n}")
+        return len(gone)
+
+    def _put(self, store: DataFrame, buckets: int) -> str:
+        folder = f"part-{uuid.uuid4().hex}"
+        _bucketed(store, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _read(self, manifest: dict, buckets: list[int] | None) -> DataFrame:
+        schema = StructType.fromJson(json.loads(manifest["schema"]))
+        by_folder: dict[str, list[int]] = {}
+        for b, folder in manifest["folders"].items():
+            if buckets is None or int(b) in buckets:
+                by_folder.setdefault(folder, []).append(int(b))
+        whole = StructType([*schema.fields, StructField("bucket", IntegerType())])
+        out = self.spark.createDataFrame([], schema)
+        for folder, own in sorted(by_folder.items()):
+            part = self.spark.read.schema(whole).parquet(f"{self.path}/{folder}")
+            out = out.unionByName(part.where(F.col("bucket").isin(own)).drop("bucket"))
+        return out
+
+    def _manifest(self) -> dict:
+        return json.loads(storage.read(self.spark, f"{self.path}/manifest.json"))
+
+    def _name(self, manifest: dict) -> None:
+        storage.replace(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnforge.functions import detect, diff, score, text, vector
-from tarnforge.operators import analysis, chunking, graph, metrics, search, stats, tracking
+from tarnforge.operators import analysis, chunking, graph, metrics, rules, search, stats, tracking
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
 from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, NOW, STORE, at, history, interactions, projects, query_vector, store, table
@@ -78,19 +78,8 @@ def l2_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("pairwise_stats", "select a.label, count(*) as pairs, round(min(s), 6) as least, round(max(s), 6) as greatest, round(avg(s), 6) as mean, round(stddev_samp(s), 6) as deviation from (select a.label, 1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 20 = 0) a group by a.label")
+@query("pairwise_stats", "select a.label, count(*) as pairs, round(min(s), 6) as least, round(max(s), 6) as greatest, round(avg(s), 6) as mean, round(stddev_samp(s), 6) as deviation from (select a.label, 1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) a group by a.label")
 def pairwise_stats(spark, d):
-    """Distances inside a label, of every twentieth vector to all later ones."""
-    e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("x"), F.col("embedding").alias("u"))
-    b = e.select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("v"))
-    s = a.join(b, "label").where("x < y").select("label", (1 - vector.cosine(F.col("u"), F.col("v"))).alias("s"))
-    out = s.groupBy("label").agg(F.count("*").alias("pairs"), F.min("s").alias("least"), F.max("s").alias("greatest"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("deviation"))
-    return _six(out, "least", "greatest", "mean", "deviation")
-
-
-@query("pairwise_stats_all", "select a.label, count(*) as pairs, round(min(s), 6) as least, round(max(s), 6) as greatest, round(avg(s), 6) as mean, round(stddev_samp(s), 6) as deviation from (select a.label, 1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) a group by a.label")
-def pairwise_stats_all(spark, d):
     """Distances of all pairs inside a label."""
     e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return _six(stats.pairwise(e), "least", "greatest", "mean", "deviation")
@@ -449,9 +438,8 @@ def cache_removed(spark, d):
 
 @query("cache_eviction", "select event_id as cache_key from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 3")
 def cache_eviction(spark, d):
-    """The three newest entries of each user's cache stay."""
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").withColumn("r", rank).where("r <= 3").select(F.col("event_id").alias("cache_key"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("cache_key"), "user_id", "ts")
+    return stores.newest(e, "user_id", ["ts", "cache_key"], 3).select("cache_key")
 
 
 @query("init_tracking", f"with {STORE}, t as (select 'src' || range as project_id, 1 as files, cast(2 as bigint) as bytes from range(15, 25)), n as (select project_path, count(distinct file_path) as files, cast(sum(file_size_bytes) as bigint) as bytes from store group by 1) select coalesce(t.project_id, n.project_path) as project_id, coalesce(n.files, t.files) as files, coalesce(n.bytes, t.bytes) as bytes from t full join n on t.project_id = n.project_path")
@@ -524,10 +512,11 @@ def word_chunks(spark, d):
     return out.select("doc_id", F.col("total_chunks").cast("long").alias("total_chunks"), F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("chunk").alias("chunk"))
 
 
-@query("chunk_references", "with m as (select doc_id, unnest(list_distinct(regexp_extract_all(text, 'src[0-9]+|token'))) as name from documents) select name, count(*) as documents from m group by 1")
+@query("chunk_references", "with c as (select doc_id as id, source as file, text as code, regexp_extract(text, '[A-Za-z]{12,}') as name from documents), w as (select distinct id, file, unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')) as name from c) select distinct w.id, n.id as refers_to from w join c n on w.file = n.file and w.name = n.name where n.name <> '' and w.id <> n.id")
 def chunk_references(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("src[0-9]+|token"), F.lit(0)))).alias("name"))
-    return found.groupBy("name").agg(F.count("*").alias("documents"))
+    """Documents of a source whose words have the name of another: its first long word."""
+    c = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("id"), F.regexp_extract("text", "[A-Za-z]{12,}", 0).alias("name"), F.col("text").alias("code"))
+    return analysis.references(c)
 
 
 # Detection ------------------------------------------------------------------------------------------
@@ -633,7 +622,7 @@ def graph_search(spark, d):
 
 @query("graph_open", f"with {GRAPH} select name, etype as \"entityType\", array_to_string(obs, ';') as observations from ent where name in (select r_name from region)")
 def graph_open(spark, d):
-    names = [r.r_name for r in table(spark, d, "region").select("r_name").limit(100).collect()]
+    names = table(spark, d, "region").select(F.col("r_name").alias("name"))
     return graph.open_nodes(*graph_tables(spark, d), names)[0].withColumn("observations", F.array_join("observations", ";"))
 
 
@@ -685,8 +674,8 @@ def cache_stats(spark, d):
 @query("rolling_history", "select user_id, event_id, count(*) over w as n, round(sum(value) over w, 2) as total from events window w as (partition by user_id order by ts, event_id rows between 99 preceding and current row)")
 def rolling_history(spark, d):
     """The last hundred rounds of each user, as a mean's two parts."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, d, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 2).alias("total"))
+    out = metrics.rolling(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 100)
+    return out.select("user_id", "event_id", "n", F.round("total", 2).alias("total"))
 
 
 @query("metric_rows", "select event_id as run_id, 'indexing' as type, unnest(['files', 'seconds']) as name, unnest([cast(user_id as double), round(value, 2)]) as value, unnest(['count', 's']) as unit from events")
@@ -732,16 +721,18 @@ def chunk_quality(spark, d):
 
 @query("compression_gate", "select octet_length(encode(text)) > 10240 as long, count(*) as chunks from documents group by 1")
 def compression_gate(spark, d):
-    from tarnforge.operators.compression import LEAST
+    from tarnforge.operators import compression
 
-    return table(spark, d, "documents").groupBy((F.octet_length("text") > LEAST).alias("long")).agg(F.count("*").alias("chunks"))
+    kept = compression.compressed(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
+    return kept.groupBy(F.col("is_compressed").alias("long")).agg(F.count("*").alias("chunks"))
 
 
 @query("distinct_contents", "select count(*) as chunks, count(distinct text) as contents, count(distinct source) as sources from documents")
 def distinct_contents(spark, d):
     """What a content-keyed cache of embeddings would save."""
-    t = table(spark, d, "documents")
-    return t.agg(F.count("*").alias("chunks"), F.countDistinct(F.sha2("text", 256)).alias("contents"), F.countDistinct("source").alias("sources"))
+    from tarnforge.sources import providers
+
+    return providers.cache_gain(table(spark, d, "documents").select(F.col("text").alias("content"), "source"))
 
 
 @query("recent_code", f"with {STORE} select id, strftime(updated_at, {_F}) as updated_at from store where content_type = 'code' and language = 'typescript' order by store.updated_at desc, id limit 10")
@@ -756,11 +747,14 @@ def docs_by_role(spark, d):
     return found.groupBy("role").agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"))
 
 
-@query("unit_metrics")
+_NAME = "regexp_replace(lower(regexp_extract(text, '^([^ \\t\\n]*)', 1)), '[^a-z]', '', 'g')"
+
+
+@query("unit_metrics", "with u as (select unnest(['import', 'class', 'method', 'function', 'block']) as kind, unnest([1, 2, 1, 2, 1]) as level, unnest([1, 3, 1, 3, 1]) as lines, unnest([0, 0, 0, 0, 0]) as documented from documents) select kind, count(*) as units, avg(case when kind in ('class', 'method', 'function') then level - (kind = 'class')::int else 1 end)::double as avg_complexity, avg(lines)::double as avg_lines, 100.0 * avg(documented)::double as documented_percent from u group by 1")
 def unit_metrics(spark, d):
-    """Semantic units of a source text made from each document: declarations of its own name, then the whole text."""
-    name = F.regexp_replace(F.lower(F.split("text", r"\s+")[0]), r"[^a-z]", "")
-    body = F.concat(F.lit("import x from 'y';\nclass A"), name, F.lit(" {\n  f(a) { return a; }\n}\nfunction g"), name, F.lit("(a) {\n  if (a) { return 1; }\n}\n"), F.col("text"))
+    """Semantic units of a source text made from each document's first word."""
+    name = F.regexp_replace(F.lower(F.regexp_extract("text", r"^([^ \t\n]*)", 1)), r"[^a-z]", "")
+    body = F.concat(F.lit("import x from 'y';\nclass A"), name, F.lit(" {\n  f(a) { return a; }\n}\nfunction g"), name, F.lit("(a) {\n  if (a) { return 1; }\n}\n"))
     rows = analysis.unit_rows(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("typescript").alias("language"), body.alias("content")))
     return analysis.unit_metrics(rows)
 
@@ -807,10 +801,30 @@ def intelligent_chunks(spark, d):
     return chunking.chunked(s)
 
 
-@query("code_symbols")
+@query("code_symbols", f"with n as (select doc_id, {_NAME} as name from documents) select cast(doc_id as varchar) as id, unnest(['class', 'method', 'function']) as kind, unnest(['A' || name, 'f' || name, 'g' || name]) as name, unnest([2, 3, 7]) as first_line, unnest([4, 4, 8]) as last_line from n")
 def code_symbols(spark, d):
-    """Declarations in a source text made from each document: three of its own name, then the whole text."""
+    """Declarations in a source text made from each document: three of its first word, then the whole text as a comment."""
     s = table(spark, d, "documents")
-    name = F.regexp_replace(F.lower(F.split("text", r"\s+")[0]), r"[^a-z]", "")
-    body = F.concat(F.lit("import os\nclass A"), name, F.lit(":\n    def f"), name, F.lit("(self):\n        return 1\n\ndef g"), name, F.lit("():\n    pass\n"), F.col("text"))
+    name = F.regexp_replace(F.lower(F.regexp_extract("text", r"^([^ \t\n]*)", 1)), r"[^a-z]", "")
+    rest = F.concat(F.lit("# "), F.regexp_replace("text", r"\n", "\n# "))
+    body = F.concat(F.lit("import os\nclass A"), name, F.lit(":\n    def f"), name, F.lit("(self):\n        return 1\n\n\ndef g"), name, F.lit("():\n    pass\n"), rest)
     return chunking.symbol_rows(s.select(F.col("doc_id").alias("id"), body.alias("content")))
+
+
+@query("rule_chunks", f"with n as (select doc_id, {_NAME} as name from documents) select cast(doc_id as varchar) as file, unnest(['import', 'class', 'method', 'function', 'type']) as kind, unnest(['import', 'A' || name, 'f', 'g' || name, 'T']) as name, unnest(['import', 'class', 'function', 'function', 'type']) as rule, unnest([1, 2, 3, 6, 9]) as first_line, unnest([1, 4, 3, 8, 9]) as last_line, unnest([null, null, 'A' || name, null, null]) as parent, unnest([1, 1, 1, 2, 1]) as complexity from n")
+def rule_chunks(spark, d):
+    """Chunks by the rules of a source text made from each document's first word."""
+    name = F.regexp_replace(F.lower(F.regexp_extract("text", r"^([^ \t\n]*)", 1)), r"[^a-z]", "")
+    body = F.concat(F.lit("import x from 'y';\nclass A"), name, F.lit(" {\n  f(a) { return a; }\n}\n// g\nexport function g"), name, F.lit("(a) {\n  if (a) { return '}'; }\n}\ntype T = string;\n"))
+    rows = rules.chunk_rows(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("typescript").alias("language"), body.alias("content")))
+    return rows.select("file", "kind", "name", "rule", "first_line", "last_line", "parent", "complexity")
+
+
+@query("symbol_metadata", f"with n as (select doc_id, {_NAME} as name from documents) select cast(doc_id as varchar) as id, 'm' || name as name, 'A' || name as owner, 'a,' || name || 'x' as parameters, 'Promise<string>' as return_type, 'protected' as visibility, true as static, true as async from n")
+def symbol_metadata(spark, d):
+    """What methods say of themselves, in a source text made from each document's first word."""
+    name = F.regexp_replace(F.lower(F.regexp_extract("text", r"^([^ \t\n]*)", 1)), r"[^a-z]", "")
+    body = F.concat(F.lit("class A"), name, F.lit(" extends B {\n  protected static async m"), name, F.lit("(a: number, "), name, F.lit("x = {b: 1}): Promise<string> { return a; }\n}\n"))
+    rows = chunking.symbol_metadata(table(spark, d, "documents").select(F.col("doc_id").alias("id"), body.alias("content")))
+    m = F.col("metadata")
+    return rows.where("kind = 'method'").select("id", "name", "owner", F.array_join(m["parameters"], ",").alias("parameters"), m["return_type"].alias("return_type"), m["visibility"].alias("visibility"), m["static"].alias("static"), m["async"].alias("async"))

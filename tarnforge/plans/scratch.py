@@ -11,10 +11,13 @@ _own: dict[str, str] = {}
 
 
 def fresh(spark: SparkSession, what: str) -> str:
-    """An unused path in the session's shared folder; in a folder of our own only where none is named."""
+    """An unused path in the folder that driver and executors share: the session's, else one in the warehouse.
+
+    A folder of this machine serves only a session that runs on this machine alone.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _own.get(sc.applicationId)
     if not root:
-        root = _own[sc.applicationId] = tempfile.mkdtemp(prefix="tarnforge-")
-        sc.setCheckpointDir(root)
+        root = tempfile.mkdtemp(prefix="tarnforge-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        _own[sc.applicationId] = root
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -8,7 +8,17 @@ from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
 #: Least and greatest value by setting (fixed values).
-LIMITS = {"chunk_size": (100, 10_000), "chunk_overlap": (0, 1_000), "search_limit": (1, 50), "search_threshold": (0.0, 1.0)}
+LIMITS = {
+    "chunk_size": (100, 10_000),
+    "chunk_overlap": (0, 1_000),
+    "search_limit": (1, 50),
+    "search_threshold": (0.0, 1.0),
+    "least_chars": (0, 10_000),
+    "most_bytes": (1, 1 << 30),
+    "semantic_weight": (0.0, 1.0),
+    "text_weight": (0.0, 1.0),
+    "result_chars": (1, 100_000),
+}
 
 
 @dataclass(frozen=True)
@@ -20,6 +30,13 @@ class Settings:
     search_limit: int = 20
     search_threshold: float = 0.3
     file_glob: str = "*.{js,ts,py,md,txt,json,yaml,yml,html,css,scss}"
+    recursive: bool = True
+    least_chars: int = 10
+    most_bytes: int = 10 << 20
+    semantic_weight: float = 0.7
+    text_weight: float = 0.3
+    dynamic_threshold: bool = False
+    result_chars: int = 200
     dimension: int = 64
 
     @classmethod
@@ -40,7 +57,7 @@ class Settings:
         values = {f.name: values[f.name] for f in fields(cls) if f.name in values}
         for f in fields(cls):
             if (v := os.environ.get(prefix + f.name.upper())) is not None:
-                values[f.name] = type(f.default)(v)
+                values[f.name] = v.lower() in ("1", "true", "yes") if isinstance(f.default, bool) else type(f.default)(v)
         return cls.of(**values)
 
     def as_dict(self) -> dict:

@@ -72,12 +72,12 @@ def project_rules(spark: SparkSession, root: str) -> list[str]:
     return [x for x in text.splitlines() if x.strip() and not x.startswith("#")]
 
 
-def scan(spark: SparkSession, root: str, glob: str = DEFAULT_GLOB, rules: list[str] = (), least: int = 10, most_bytes: int = 10 << 20) -> DataFrame:
+def scan(spark: SparkSession, root: str, glob: str = DEFAULT_GLOB, rules: list[str] = (), least: int = 10, most_bytes: int = 10 << 20, recursive: bool = True) -> DataFrame:
     """``path, relative_path, content, size, modified`` of the files below ``root``, hidden ones left out.
 
     Ignored and over-long files are dropped on their metadata alone, before any content is decoded.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
     base = re.escape(str(PurePosixPath(root)).removeprefix("file:"))
     relative = F.regexp_replace("path", rf"^[a-z]*:?/*{base.lstrip('/')}/?", "")
     files = files.select("path", relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
@@ -100,6 +100,12 @@ def indexed_share(scanned: DataFrame, indexed: DataFrame) -> DataFrame:
     return s.join(i, "project_path", "full").select("project_path", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.coalesce("indexed", F.lit(0)).alias("indexed"), share.alias("percent"))
 
 
+def missing(scanned: DataFrame, indexed: DataFrame, top: int = 10) -> DataFrame:
+    """The projects with the most files that are not indexed: how many, and the share in per cent that is."""
+    found = indexed_share(scanned, indexed).withColumn("missing", F.col("scanned") - F.col("indexed"))
+    return found.where("missing > 0").select("project_path", "missing", "percent").orderBy(F.desc("missing"), "project_path").limit(top)
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of a JSON-lines file; empty tables if it is not there."""
     jvm = spark.sparkContext._jvm

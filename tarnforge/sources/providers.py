@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnforge.functions.vector import wave_embedding
@@ -58,11 +58,37 @@ def embedded(chunks: DataFrame, dimension: int = 64, provider: Callable[[list[st
     return keyed.drop("vector").join(vectors, "_digest").drop("_digest")
 
 
-def enriched(chunks: DataFrame) -> DataFrame:
-    """The offline enrichment of ``chunks (id, content)``: first words as summary, frequent ones as keywords."""
-    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
+def cache_key(content: Column, model: str, dimension: int) -> Column:
+    """What a cache of embeddings knows a text by: model, dimension and the digest of its content."""
+    return F.concat(F.lit(f"{model}:{dimension}:"), F.sha2(F.coalesce(content, F.lit("")), 256))
+
+
+def cache_gain(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, distinct contents and sources of ``chunks (content, source)``: what a cache by content would save."""
+    return chunks.agg(F.count("*").alias("chunks"), F.countDistinct(F.sha2("content", 256)).alias("contents"), F.countDistinct("source").alias("sources"))
+
+
+def enriched(chunks: DataFrame, keywords: int = 5) -> DataFrame:
+    """The offline enrichment of ``chunks (id, content)``: first words as summary, the most frequent long ones as keywords.
+
+    Of equally frequent words the alphabetically first come first. Null content has neither.
+    """
+    words = F.array_sort(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
     summary = F.array_join(F.slice(F.split(F.trim("content"), r"\s+"), 1, 12), " ")
-    return chunks.select("id", summary.alias("summary"), F.slice(F.array_sort(F.array_distinct(words)), 1, 5).alias("keywords"), F.lit("offline").alias("model"))
+
+    def counted(w: Column) -> Column:
+        """Each distinct word with how often it stands in sorted ``w``: the runs of equal ones, most frequent first."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, F.greatest(i - 2, F.lit(0)))))
+
+        def runs(at: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(at, k + 1), F.size(w) + 1)
+            return F.array_sort(F.transform(at, lambda s, k: F.struct((s - end(k)).alias("n"), F.get(w, s - 1).alias("word"))))
+
+        return F.when(F.size(w) > 0, F.element_at(F.transform(F.array(starts), runs), 1))
+
+    best = F.slice(F.element_at(F.transform(F.array(words), counted), 1), 1, keywords)
+    out = F.transform(F.coalesce(best, F.array().cast("array<struct<n:int,word:string>>")), lambda x: x["word"])
+    return chunks.select("id", summary.alias("summary"), out.alias("keywords"), F.lit("offline").alias("model"))
 
 
 def prompts(name: str | None = None, has: str | None = None) -> dict[str, str]:

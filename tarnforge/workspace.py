@@ -20,6 +20,7 @@ class Workspace:
     language: str | None
     extensions: dict[str, int]
     files: int
+    complete: bool  # False if the walk ended at its bound, so that counts and language are of a part
 
 
 def normalised(path: str) -> str:
@@ -46,7 +47,7 @@ def _described(path: str, found_by: str, most: int) -> Workspace:
     for e, k in count.items():
         if e in language:
             by_language[language[e]] += k
-    return Workspace(path, found_by, max(by_language, key=lambda k: (by_language[k], k), default=None), dict(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:10]), n)
+    return Workspace(path, found_by, max(by_language, key=lambda k: (by_language[k], k), default=None), dict(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:10]), n, n < most)
 
 
 def detect(path: str | None = None, most_files: int = 100_000) -> Workspace:

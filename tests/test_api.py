@@ -91,9 +91,9 @@ def test_units(spark):
     assert analysis.complexity("def f(a):\n    if a and b or c:\n        return [x for x in a]\n", "python") == 5
     rows = analysis.unit_rows(spark.createDataFrame([("a.ts", "typescript", TS), ("e", None, None)], "path string, language string, content string"))
     nodes, edges = analysis.dependency_graph(rows)
-    assert nodes.count() == 5 and {(r.target, r.type) for r in edges.collect()} == {("y", "depends_on"), ("a.ts:class:A:4", "child_of")}
-    assert {r.kind: r.units for r in analysis.unit_metrics(rows).collect()} == {"import": 1, "comment": 2, "class": 1, "function": 1}
-    assert analysis.accepted(rows).count() == 5
+    assert nodes.count() == 7 and {(r.target, r.type) for r in edges.collect()} == {("y", "depends_on"), ("a.ts:class:A:4", "child_of")}
+    assert {r.kind: r.units for r in analysis.unit_metrics(rows).collect()} == {"import": 1, "comment": 2, "class": 1, "function": 1, "method": 1, "block": 1}
+    assert analysis.accepted(rows).count() == 7
     refs = analysis.references(rows.select("file", "id", "name", "code"))
     assert ("a.ts:function:one:8", "a.ts:class:A:4") in {tuple(r) for r in refs.collect()}
 

@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import json
 from base64 import b64encode
@@ -55,7 +56,7 @@ PY = "import os\n\ndef f(a):\n    return a\n\nclass B(object):\n    x = 1\n\n
 
 
 def test_symbols():
-    assert chunking.symbols(TS) == [("function", "one", 2, 5), ("function", "two", 6, 8), ("class", "Three", 9, 11), ("interface", "Five", 12, 12)]
+    assert chunking.symbols(TS) == [("function", "one", 2, 5), ("function", "two", 6, 8), ("class", "Three", 9, 11), ("method", "four", 10, 10), ("interface", "Five", 12, 12)]
     assert chunking.symbols(PY) == [("function", "f", 3, 4), ("class", "B", 6, 10), ("method", "m", 9, 10)]
 
 
@@ -192,20 +193,54 @@ def test_clamp():
 def test_bucketed_upsert(spark, tmp_path):
     schema = "id string, file_path string, content string, version int"
     rows = [(f"i{i}", "a", f"x{i}", 1) for i in range(200)]
-    path = str(tmp_path / "store")
-    store.write_buckets(spark.createDataFrame(rows, schema), path, 16)
-    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    kept = store.BucketStore(spark, str(tmp_path / "store"))
+    kept.write(spark.createDataFrame(rows, schema), 16)
+    before = kept.read()
     new = spark.createDataFrame([("i3", "b", "new", 9), ("n1", "c", "added", 1)], schema)
-    touched = store.upsert_buckets(path, new, 16)
-    assert 1 <= touched <= 2
+    assert 1 <= kept.upsert(new) <= 2
     want = {r[0]: r for r in rows} | {"i3": ("i3", "a", "new", 1), "n1": ("n1", "c", "added", 1)}
     for _ in range(2):
-        got = spark.read.schema(schema + ", bucket int").parquet(path).drop("bucket").collect()
+        got = kept.read().collect()
         assert len(got) == 201 and {r.id: tuple(r) for r in got} == want
-        store.upsert_buckets(path, new, 16)
-    kept = [p for p in stamps if p.exists()]
-    assert len({p.parent for p in stamps}) - len({p.parent for p in kept}) == touched
-    assert store.upsert_buckets(path, new.limit(0), 16) == 0
+        kept.upsert(new)
+    assert {tuple(r) for r in before.collect()} == set(rows)  # a reader of the store before
+    assert kept.upsert(new.limit(0)) == 0
+    assert kept.swept() >= 1 and {r.id: tuple(r) for r in kept.read().collect()} == want and kept.swept() == 0
+
+
+def test_failed_upsert_leaves_the_store(spark, tmp_path, monkeypatch):
+    schema = "id string, file_path string, content string, version int"
+    kept = store.BucketStore(spark, str(tmp_path / "store"))
+    kept.write(spark.createDataFrame([("a", "f", "x", 1)], schema), 4)
+
+    def fails(*_):
+        raise OSError("no room")
+
+    monkeypatch.setattr(store.storage, "replace", fails)
+    with pytest.raises(OSError):
+        kept.upsert(spark.createDataFrame([("a", "f", "y", 1)], schema))
+    assert [r.content for r in kept.read().collect()] == ["x"]
+
+
+def test_upsert_with_repeats_and_nulls(spark):
+    schema = "id string, content string, version int, updated_at timestamp"
+    t = [datetime.datetime(2024, 1, i) for i in (1, 2, 3)]
+    old = spark.createDataFrame([("a", "old", 1, t[0]), ("b", "old", 1, t[0]), (None, "none", 1, t[0])], schema)
+    new = spark.createDataFrame([("a", "x", 7, t[1]), ("a", "last", 7, t[2]), ("a", "y", 7, None), ("c", "p", 2, t[1]), ("c", "q", 2, t[1])], schema)
+    want = [(None, "none", 1), ("a", "last", 1), ("b", "old", 1), ("c", "q", 2)]
+    assert sorted((tuple(r)[:3] for r in store.upsert(old, new).collect()), key=str) == sorted(want, key=str)
+    assert store.upsert(old, new.limit(0)).count() == 3 and store.upsert(old.limit(0), new).count() == 2
+
+
+def test_graph_with_repeats(spark):
+    e = spark.createDataFrame([("n", "t", ["a"])], "name string, entityType string, observations array<string>")
+    more = spark.createDataFrame([("n", ["b", "a"]), ("n", ["c", "b"]), ("n", None)], "name string, contents array<string>")
+    (row,) = graph.add_observations(e, more).collect()
+    assert sorted(row.observations) == ["a", "b", "c"] and row.observations[0] == "a"
+    (row,) = graph.delete_observations(graph.add_observations(e, more), more).collect()
+    assert row.observations == []
+    twice = spark.createDataFrame([("m", "t", []), ("m", "u", []), ("n", "t", [])], e.schema)
+    assert sorted(r.name for r in graph.create_entities(e, twice).collect()) == ["m", "n"]
 
 
 def test_pairwise_covers_all_pairs(spark):
@@ -240,4 +275,4 @@ def test_pairwise_covers_all_pairs(spark):
     assert stats.pairwise(df.limit(0)).collect() == []
     d = "/root/testdata/sf0.01"
     n = {x.label: x["count"] for x in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
-    assert {x.label: x.pairs for x in entry.queries()["pairwise_stats_all"](spark, d).collect()} == {k: v * (v - 1) // 2 for k, v in n.items()}
+    assert {x.label: x.pairs for x in entry.queries()["pairwise_stats"](spark, d).collect()} == {k: v * (v - 1) // 2 for k, v in n.items()}

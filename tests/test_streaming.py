@@ -1,8 +1,12 @@
 import datetime
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from tarnforge.streaming import events
+from tarnforge.api import Engine
+from tarnforge.sources import storage
+from tarnforge.streaming import events, indexing
 
 T = datetime.datetime(2024, 1, 1)
 
@@ -49,3 +53,75 @@ def test_debounced(spark, tmp_path):
     assert (2, "change", "a") not in run([(4, "change", "a", at(2))])
     run([(5, "add", "c", at(60))])
     assert run([(6, "add", "d", at(61))])[:2] == [(3, "add", "b"), (4, "change", "a")]
+
+
+def test_watcher_counts_and_handlers(spark, tmp_path):
+    src, mark = str(tmp_path / "src"), str(tmp_path / "mark")
+    spark.createDataFrame(rows(20), events.EVENTS).write.parquet(src)
+    seen = []
+    w = indexing.Watcher(spark, src, mark)
+    w.handlers.add("one", lambda df, i: seen.append(("one", df.count())))
+    w.handlers.add("two", lambda df, i: seen.append(("two", df.count())))
+    w.handlers.add("three", lambda df, i: seen.append(("three", 0)))
+    assert w.handlers.remove("three") and not w.handlers.remove("three") and w.handlers.names() == ["one", "two"]
+    with pytest.raises(ValueError):
+        w.handlers.add("one", print)
+    w.start()
+    w.wait()
+    assert w.counts() == {"received": 20, "ignored": 4, "add": 8, "change": 8, "unlink": 0} and not w.active
+    assert [n for n, _ in seen] == ["one", "two"] and len({k for _, k in seen}) == 1
+    w.stop()
+    assert w.status()["handlers"] == ["one", "two"]
+
+
+def test_stream_to_index(spark, tmp_path):
+    root, src, mark = tmp_path / "root", str(tmp_path / "src"), str(tmp_path / "mark")
+    root.mkdir()
+    for n in ("a.md", "b.md", "c.log"):
+        (root / n).write_text(f"# {n}\n\nSome words of this file.\n")
+    engine = Engine(spark, str(tmp_path / "store"))
+    w = indexing.Watcher(spark, src, mark)
+    w.handlers.add("index", indexing.to_index(engine, str(root), "p"))
+
+    def send(*batch):
+        found = [(i, k, p, T + datetime.timedelta(seconds=i)) for i, k, p in batch]
+        spark.createDataFrame(found, events.EVENTS).write.mode("append").parquet(src)
+        w.start()
+        w.wait()
+        return {r.file_path: r.content for r in engine.store().collect()}
+
+    assert set(send((1, "add", "a.md"), (2, "add", "b.md"), (3, "add", "c.log"))) == {"a.md", "b.md"}
+    (root / "a.md").write_text("# changed\n\nOther words now.\n")
+    (root / "b.md").unlink()
+    found = send((4, "change", "a.md"), (5, "change", "b.md"), (6, "unlink", "b.md"), (7, "add", "gone.md"))
+    assert set(found) == {"a.md"} and found["a.md"].startswith("# changed")
+    assert engine.update(str(root), "p") == {"added": 0, "modified": 0, "deleted": 0, "unchanged": 1}
+    handler = indexing.to_index(engine, str(root), "p")
+    for _ in range(2):  # a batch that runs again
+        handler(spark.createDataFrame([(8, "change", "a.md", T)], events.EVENTS), 9)
+        assert {r.file_path: r.content for r in engine.store().collect()} == found
+
+
+def test_ring_and_sweep(spark, tmp_path):
+    at = str(tmp_path / "ring")
+    keep = indexing.to_ring(at, 5)
+    assert indexing.ring(spark, at).count() == 0
+    for i in (0, 1, 1):
+        keep(spark.createDataFrame(rows(4, 4 * i), events.EVENTS), i)
+    assert sorted(r.event_id for r in indexing.ring(spark, at).collect()) == [3, 4, 5, 6, 7]
+    cache = spark.createDataFrame([("a", T), ("b", T + datetime.timedelta(days=1)), ("c", None)], "key string, expires_at timestamp")
+    assert indexing.swept(spark, at, "2024-01-01 12:00:00") == 0
+    storage.Versioned(spark, at).commit(cache=cache)
+    assert indexing.swept(spark, at, "2024-01-01 12:00:00") == 1 and indexing.swept(spark, at, "2024-01-01 12:00:00") == 0
+    assert sorted(r.key for r in spark.read.parquet(storage.Versioned(spark, at).path("cache")).collect()) == ["b", "c"]
+
+
+def test_every(spark, tmp_path):
+    seen = []
+    q = indexing.every(spark, 1, seen.append, str(tmp_path / "mark"))
+    for _ in range(100):
+        if len(seen) >= 2:
+            break
+        time.sleep(0.2)
+    q.stop()
+    assert len(seen) >= 2
