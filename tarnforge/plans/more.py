@@ -21,7 +21,11 @@ def _vectors(spark, d):
     return e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
-@query("index_search_exact", f"select q.vec_id as query_id, v.vec_id as id, round({_SIM}, 5) as sim from embeddings q, embeddings v where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by {_SIM} desc, v.vec_id) <= 5")
+@query(
+    "index_search_exact",
+    f"select q.vec_id as query_id, v.vec_id as id, round({_SIM}, 5) as sim from embeddings q, embeddings v where q.vec_id % 20 = 0 qualify row_number() "
+    f"over (partition by q.vec_id order by {_SIM} desc, v.vec_id) <= 5",
+)
 def index_search_exact(spark, d):
     """Five nearest vectors of every twentieth one by the inverted file, then by the cells that could hold better ones."""
     e, asked = _vectors(spark, d)
@@ -41,7 +45,12 @@ def versions_by_total(spark, d):
     return stats.versions_by_total(stores.replayed_versions(history(spark, d))).withColumn("version", F.col("version").cast("long"))
 
 
-@query("missing_files", "with s as (select source as p, count(distinct doc_id) as scanned, count(distinct case when doc_id % 3 > 0 then doc_id end) as indexed from documents group by 1) select p as project_path, scanned - indexed as missing, round(100.0 * indexed / scanned, 6) as percent from s where scanned > indexed order by missing desc, p limit 10")
+@query(
+    "missing_files",
+    "with s as (select source as p, count(distinct doc_id) as scanned, count(distinct case when doc_id % 3 > 0 then doc_id end) as indexed from documents "
+    "group by 1) select p as project_path, scanned - indexed as missing, round(100.0 * indexed / scanned, 6) as percent from s where scanned > indexed "
+    "order by missing desc, p limit 10",
+)
 def missing_files(spark, d):
     all_files = table(spark, d, "documents").select(F.col("source").alias("project_path"), F.col("doc_id").alias("path"))
     return files.missing(all_files, all_files.where("path % 3 > 0")).withColumn("percent", F.round("percent", 6))
@@ -62,19 +71,33 @@ def embedding_cache_keys(spark, d):
     return t.groupBy(providers.cache_key(F.col("text"), "text", 64).alias("key")).agg(F.count("*").alias("chunks"))
 
 
-@query("offline_keywords", "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{4,}')) as word from documents), n as (select doc_id, word, count(*) as n from w group by 1, 2 qualify row_number() over (partition by doc_id order by n desc, word) <= 5) select d.doc_id, coalesce(k.keywords, '') as keywords from documents d left join (select doc_id, string_agg(word, ' ' order by n desc, word) as keywords from n group by 1) k using (doc_id)")
+@query(
+    "offline_keywords",
+    "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{4,}')) as word from documents), n as (select doc_id, word, count(*) "
+    "as n from w group by 1, 2 qualify row_number() over (partition by doc_id order by n desc, word) <= 5) select d.doc_id, coalesce(k.keywords, '') as "
+    "keywords from documents d left join (select doc_id, string_agg(word, ' ' order by n desc, word) as keywords from n group by 1) k using (doc_id)",
+)
 def offline_keywords(spark, d):
     out = providers.enriched(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
     return out.select(F.col("id").alias("doc_id"), F.array_join("keywords", " ").alias("keywords"))
 
 
-@query("segmentation_density", "with l as (select doc_id, string_split(text, chr(10)) as lines from documents), s as (select doc_id, least(1.0, len(list_filter(lines, lambda x: regexp_matches(x, '\\S'))) / len(lines) * list_sum(list_transform(lines, lambda x: length(x))) / len(lines) / 100.0) as c from l) select cast(doc_id as varchar) as id, round(c, 6) as complexity, case when c > 0.4 then 700 else 1200 end as chunk_size, 'semantic' as strategy from s")
+@query(
+    "segmentation_density",
+    "with l as (select doc_id, string_split(text, chr(10)) as lines from documents), s as (select doc_id, least(1.0, len(list_filter(lines, lambda x: "
+    "regexp_matches(x, '\\S'))) / len(lines) * list_sum(list_transform(lines, lambda x: length(x))) / len(lines) / 100.0) as c from l) select cast(doc_id "
+    "as varchar) as id, round(c, 6) as complexity, case when c > 0.4 then 700 else 1200 end as chunk_size, 'semantic' as strategy from s",
+)
 def segmentation_density(spark, d):
     found = segmentation.segmented(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("other").alias("content_type")))
     return found.select("id", F.round("complexity", 6).alias("complexity"), "chunk_size", "strategy")
 
 
-@query("enrichment_checks", "select doc_id % 2 = 0 and trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' as answered, count(*) as chunks from documents group by 1")
+@query(
+    "enrichment_checks",
+    "select doc_id % 2 = 0 and trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' as answered, count(*) as chunks from documents "
+    "group by 1",
+)
 def enrichment_checks(spark, d):
     """Chunks that a stand-in model answers; it fails for every second one."""
     service = models.Service(_stand_in, batch=4)
@@ -90,18 +113,30 @@ def _stand_in(prompts: list[str]) -> list[str]:
 # Graph and tracking: what the other queries leave out -------------------------------------------------
 
 
-@query("graph_search_entities", f"with {GRAPH} select name, etype as \"entityType\", array_to_string(obs, ';') as observations from ent where contains(lower(name), 'region') or contains(lower(etype), 'region') or len(list_filter(obs, lambda x: contains(lower(x), 'region'))) > 0")
+@query(
+    "graph_search_entities",
+    f"with {GRAPH} select name, etype as \"entityType\", array_to_string(obs, ';') as observations from ent where contains(lower(name), 'region') or "
+    f"contains(lower(etype), 'region') or len(list_filter(obs, lambda x: contains(lower(x), 'region'))) > 0",
+)
 def graph_search_entities(spark, d):
     return graph.search(*graph_tables(spark, d), "Region")[0].withColumn("observations", F.array_join("observations", ";"))
 
 
-@query("graph_delete_entities", f"with {GRAPH} select name, etype as \"entityType\", array_to_string(obs, ';') as observations from ent where name not in (select n_name from nation where n_regionkey = 1)")
+@query(
+    "graph_delete_entities",
+    f"with {GRAPH} select name, etype as \"entityType\", array_to_string(obs, ';') as observations from ent where name not in (select n_name from nation "
+    f"where n_regionkey = 1)",
+)
 def graph_delete_entities(spark, d):
     gone = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name"))
     return graph.delete_entities(*graph_tables(spark, d), gone)[0].withColumn("observations", F.array_join("observations", ";"))
 
 
-@query("graph_open_relations", f"with {GRAPH}, own as (select name from ent where name in (select r_name from region) or name in (select n_name from nation where n_regionkey = 2)) select f as \"from\", t as \"to\", k as \"relationType\" from rel where f in (select name from own) and t in (select name from own)")
+@query(
+    "graph_open_relations",
+    f"with {GRAPH}, own as (select name from ent where name in (select r_name from region) or name in (select n_name from nation where n_regionkey = 2)) "
+    f"select f as \"from\", t as \"to\", k as \"relationType\" from rel where f in (select name from own) and t in (select name from own)",
+)
 def graph_open_relations(spark, d):
     names = table(spark, d, "region").select(F.col("r_name").alias("name"))
     return graph.open_nodes(*graph_tables(spark, d), names.unionByName(table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_name").alias("name"))))[1]
@@ -117,7 +152,11 @@ def recorded_interactions(spark, d):
 # Stream -----------------------------------------------------------------------------------------------
 
 
-@query("event_counters", "select count(*) as received, count(*) filter (user_id % 9 = 0) as ignored, count(*) filter (user_id % 9 <> 0 and event_id % 3 = 0) as \"add\", count(*) filter (user_id % 9 <> 0 and event_id % 3 = 1) as change, count(*) filter (user_id % 9 <> 0 and event_id % 3 = 2) as unlink from events")
+@query(
+    "event_counters",
+    "select count(*) as received, count(*) filter (user_id % 9 = 0) as ignored, count(*) filter (user_id % 9 <> 0 and event_id % 3 = 0) as \"add\", "
+    "count(*) filter (user_id % 9 <> 0 and event_id % 3 = 1) as change, count(*) filter (user_id % 9 <> 0 and event_id % 3 = 2) as unlink from events",
+)
 def event_counters(spark, d):
     """What a stream over the events received and left out, from its own counters."""
     src, mark = fresh(spark, "events"), fresh(spark, "mark")
@@ -130,7 +169,11 @@ def event_counters(spark, d):
     return spark.createDataFrame([tuple(int(found.get(n, 0)) for n in names)], ", ".join(f"`{n}` long" for n in names))
 
 
-@query("event_ring", f"select event_id, ['add', 'change', 'unlink'][event_id % 3 + 1] as type, strftime(ts, {_F}) as timestamp from events where user_id % 9 <> 0 order by ts desc, event_id desc limit 200")
+@query(
+    "event_ring",
+    f"select event_id, ['add', 'change', 'unlink'][event_id % 3 + 1] as type, strftime(ts, {_F}) as timestamp from events where user_id % 9 <> 0 order by "
+    f"ts desc, event_id desc limit 200",
+)
 def event_ring(spark, d):
     """The last 200 events that a handler kept, batch by batch."""
     src, mark, kept = fresh(spark, "events"), fresh(spark, "mark"), fresh(spark, "ring")
@@ -143,7 +186,14 @@ def event_ring(spark, d):
     return _stamp(indexing.ring(spark, kept).select("event_id", "type", "timestamp"), "timestamp")
 
 
-@query("chunk_events", f"with n as (select doc_id, cast(doc_id as varchar) as path, {_NAME} as name from documents) select path, path || ':function:g' || name || ':1:function' as id, 'added' as event from n where doc_id % 3 = 0 and doc_id % 4 > 1 union all select path, path || ':function:g' || name || ':1:function', 'changed' from n where doc_id % 3 < 2 and doc_id % 4 = 1 union all select path, path || ':function:g' || name || ':1:function', 'removed' from n where doc_id % 3 = 2 and doc_id % 4 < 2 union all select path, path || ':function:g' || name || ':1:function', 'added' from n where doc_id % 3 = 1 and doc_id % 4 > 1")
+@query(
+    "chunk_events",
+    f"with n as (select doc_id, cast(doc_id as varchar) as path, {_NAME} as name from documents) select path, path || ':function:g' || name || "
+    f"':1:function' as id, 'added' as event from n where doc_id % 3 = 0 and doc_id % 4 > 1 union all select path, path || ':function:g' || name || "
+    f"':1:function', 'changed' from n where doc_id % 3 < 2 and doc_id % 4 = 1 union all select path, path || ':function:g' || name || ':1:function', "
+    f"'removed' from n where doc_id % 3 = 2 and doc_id % 4 < 2 union all select path, path || ':function:g' || name || ':1:function', 'added' from n where "
+    f"doc_id % 3 = 1 and doc_id % 4 > 1",
+)
 def chunk_events(spark, d):
     """Chunk events of a batch that adds, changes and removes a small file for each document; some had their chunk before."""
     i = F.col("doc_id")
