@@ -3,6 +3,10 @@ import re
 import time
 
 import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarnforge.llm import html as html_rules
 
 from tarnforge.llm.html import extract, main_text
 
@@ -67,6 +71,41 @@ def test_nearer_neighbour():
     assert extract(f"{links}<p>a") == ""
 
 
+def brute_labels(blocks):
+    """The two passes by their definition: each block looks at all others."""
+    marked = any(b.inside for b in blocks)
+
+    def first(b):
+        letters = len(b.text.replace(" ", ""))
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        prose = len(b.text) >= html_rules.MIN_CHARS and words and sum(w in html_rules.STOP_WORDS for w in words) / len(words) >= html_rules.MIN_STOP
+        linked = b.links > letters / 2
+        votes = (0 if not marked else 1 if b.inside else -1) - 2 * b.doubtful + (-4 if linked else 2 if prose else 0)
+        return -1 if b.apart or votes < 0 else 1 if prose and not linked and votes > 0 else 0
+
+    labels, out = [first(b) for b in blocks], []
+    open_ones = [i for i, b in enumerate(blocks) if not b.apart]
+    for i, x in enumerate(labels):
+        if x == 0:
+            decided = [(abs(open_ones.index(i) - open_ones.index(j)), j) for j in open_ones if labels[j]]
+            before = min((d for d in decided if d[1] < i), default=None)
+            after = min((d for d in decided if d[1] > i), default=None)
+            if before and after and labels[before[1]] != labels[after[1]]:
+                near, far = sorted((before, after))
+                x = labels[near[1]] if near[0] < far[0] else labels[after[1]] if blocks[i].heading else 1
+            else:
+                x = labels[(before or after)[1]] if before or after else 1
+        out.append(x)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["Short.", PROSE, "x" * 80]), st.sampled_from([0, 4, 80]), *[st.booleans()] * 4), max_size=12))
+def test_labels(rows):
+    blocks = [html_rules.Block(t, n, heading, apart and doubtful, doubtful, inside and not (apart and doubtful)) for t, n, heading, apart, doubtful, inside in rows]
+    assert html_rules.labels_of(blocks) == brute_labels(blocks)
+
+
 def test_names():
     prose = f"<p>{PROSE}</p>"
     assert extract(f"<article><section id='legal'><h2>Head</h2>{prose}</section></article>") == f"Head\n{PROSE}"

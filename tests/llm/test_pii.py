@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 
 from tarnforge.llm import pii
@@ -109,6 +111,55 @@ def test_estimate_tells_good_labelers():
     assert lookalikes["card:++0+2n"] > 0.9 and lookalikes["card:-+0+2n"] < 0.5
 
 
+def brute_estimate(counts):
+    """The posteriors of one kind by the formulas, over arrays of votes."""
+    keys, n = list(counts), np.array(list(counts.values()), float)
+    votes = np.array([["+-0".index(v) for v in k[:4]] for k in keys])
+    post = 1 / (1 + np.exp(-1.5 * ((votes == 0).sum(1) - (votes == 1).sum(1))))
+    prior = np.array([[1.0, 6.0, 3.0], [6.0, 1.0, 3.0]])  # by class, counts of +, - and 0
+    for _ in range(50):
+        weight = np.stack([n * (1 - post), n * post])
+        rates = np.stack([[prior[c] + [weight[c][votes[:, i] == v].sum() for v in range(3)] for i in range(4)] for c in (0, 1)])
+        rates /= rates.sum(-1, keepdims=True)
+        share = (2 + weight[1].sum()) / (4 + n.sum())
+        z = np.log(share / (1 - share)) + sum(np.log(rates[1, i, votes[:, i]] / rates[0, i, votes[:, i]]) for i in range(4))
+        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    weight = np.stack([n * (1 - post), n * post])
+    z = np.full(len(keys), np.log((1 + weight[1].sum()) / (1 + weight[0].sum())))
+    for place in range(6):
+        own = np.array([k[place] for k in keys])
+        seen = sorted(set(own))
+        table = np.array([[1 + weight[c][own == v].sum() for v in seen] for c in (0, 1)])
+        table /= table.sum(1, keepdims=True)
+        z += np.log(table[1] / table[0])[[seen.index(v) for v in own]]
+    return dict(zip(keys, 1 / (1 + np.exp(-np.clip(z, -30, 30))), strict=True))
+
+
+def test_estimate_against_arrays():
+    draw = random.Random(4)
+    counts = {"".join(draw.choice("+-0") for _ in range(4)) + draw.choice("0123") + draw.choice("qn"): draw.randint(1, 400) for _ in range(60)}
+    got = pii.estimate({f"phone:{k}": c for k, c in counts.items()} | {"ssn:+0+00n": 4})
+    for k, p in brute_estimate(counts).items():
+        assert got[f"phone:{k}"] == pytest.approx(p, abs=1e-9)
+
+
+def test_decisions_on_planted_spans(spark):
+    """Spans beyond the base, true and false ones, over texts in which they are planted."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(3, 8)))
+    hexed = lambda n: "".join(draw.choices("0123456789abcdef", k=n))
+    true = [lambda: ("secret", 'token = "', hexed(40)), lambda: ("ssn", "social security ", f"{draw.randint(100, 600)}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}")]
+    false = [lambda: ("secret", "", "".join(draw.choices("abcdefghij", k=25))), lambda: ("ssn", "invoice ", f"000-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}")]
+    rows, good, bad = [], {}, {}
+    for i in range(300):
+        kind, lead, span = draw.choice(true if i % 2 else false)()
+        before = " ".join(word() for _ in range(6)) + " " + lead
+        rows.append((i, f"{before}{span} {word()}"))
+        (good if i % 2 else bad)[i] = f"{kind}:{len(before)}:{len(before) + len(span)}"
+    spans = {r.doc_id: r.spans.split(",") for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(x in spans[i] for i, x in good.items()) >= 0.95 * len(good) and sum(x in spans[i] for i, x in bad.items()) <= 0.05 * len(bad)
+
+
 @pytest.mark.parametrize("text", ["token = '0123456789abcdef0123456789abcdef01234567'"])
 def test_secret_alone(spark, text):
     assert pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans == "secret:9:49"
