@@ -9,7 +9,7 @@ from tarnforge.functions import detect, diff, score, text, vector
 from tarnforge.operators import analysis, chunking, graph, metrics, rules, search, stats, tracking
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
-from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, NOW, STORE, at, history, interactions, projects, query_vector, store, table
+from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, NOW, STORE, at, history, interactions, projects, query_vector, spread, store, table
 from tarnforge.plans.tables import graph as graph_tables
 
 _COS = "list_cosine_similarity(cast(vector as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0))"
@@ -177,7 +177,7 @@ def rerank(spark, d):
 def _text_query(name, words, where, operator="and", in_paths=False, columns=("id",), **options):
     @query(name, f"with {STORE} select id from store where {where}")
     def run(spark, d):
-        s = store(spark, d, vectors=False)
+        s = spread(store(spark, d, vectors=False))
         cols = [F.col("content")] + ([F.col("file_path")] if in_paths else [])
         return s.where(text.text_filter(cols, words, operator, **options)).select(*columns)
 
@@ -211,7 +211,7 @@ _TEXT = (
 
 @query("text_score", f"with {STORE}, {_TEXT} select id, round(text_score, 6) as text_score from texts order by texts.text_score desc, id limit 20")
 def text_score(spark, d):
-    return _six(search.text_search(store(spark, d, vectors=False), "token Idiot", 20, "or"), "text_score")
+    return _six(search.text_search(spread(store(spark, d, vectors=False)), "token Idiot", 20, "or"), "text_score")
 
 
 @query(
@@ -753,7 +753,7 @@ def quality_score(spark, d):
     "doc_id, total as total_chunks, chunk_index, md5(array_to_string(list_slice(ws, chunk_index * 80 + 1, chunk_index * 80 + 100), ' ')) as chunk from i",
 )
 def word_chunks(spark, d):
-    out = chunking.exploded(table(spark, d, "documents"), chunking.word_chunks(F.col("text"), 100, 20), "doc_id")
+    out = chunking.exploded(spread(table(spark, d, "documents")), chunking.word_chunks(F.col("text"), 100, 20), "doc_id")
     return out.select("doc_id", F.col("total_chunks").cast("long").alias("total_chunks"), F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("chunk").alias("chunk"))
 
 
@@ -795,7 +795,7 @@ _DET = (
     f"kind = content_type then 0.95 else 0.9 end, 6) as confidence from named",
 )
 def detect_type(spark, d):
-    s = store(spark, d, False)
+    s = spread(store(spark, d, False))
     out = s.select("id", detect.detected(text.clean_path(F.col("file_path")), F.col("content")).alias("x"))
     return out.select("id", F.col("x.content_type").alias("found_type"), "x.detected_by", F.round("x.confidence", 6).alias("confidence"))
 
@@ -806,7 +806,7 @@ def _sql_first(signs, column):
 
 @query("detect_language", f"select doc_id, {_sql_first(detect.LANGUAGE_SIGNS, 'text')} as language from documents")
 def detect_language(spark, d):
-    return table(spark, d, "documents").select("doc_id", detect.language_by_content(F.col("text")).alias("language"))
+    return spread(table(spark, d, "documents")).select("doc_id", detect.language_by_content(F.col("text")).alias("language"))
 
 
 @query("html_language", f"select page_id, {_sql_first(detect.LANGUAGE_SIGNS, 'html')} as language from pages")
@@ -823,8 +823,8 @@ _PATHS = (
     "then 'src/core/app.ts' else 'lib/b.ts' end"
 )
 _BODY = (
-    "case doc_id % 5 when 0 then 'export function formatDate() {} // util' when 1 then 'describe(x)' when 2 then 'a demo' when 3 then 'export class A' "
-    "else content end"
+    "case doc_id % 5 when 0 then 'export function formatDate() {} // util ' when 1 then 'describe(x) ' when 2 then 'a demo ' when 3 then 'export class A ' "
+    "else '' end || content"
 )
 
 
@@ -835,7 +835,8 @@ _BODY = (
 def detect_role(spark, d):
     i = F.col("doc_id")
     path = F.element_at(F.array(*map(F.lit, ("src/test/a.ts", "examples/demo.ts", "templates/base.ts", "src/utils/Helper.ts", "src/core/app.ts", "lib/b.ts"))), (i % 6 + 1).cast("int"))
-    body = F.when(i % 5 == 0, "export function formatDate() {} // util").when(i % 5 == 1, "describe(x)").when(i % 5 == 2, "a demo").when(i % 5 == 3, "export class A").otherwise(F.col("content"))
+    lead = F.when(i % 5 == 0, "export function formatDate() {} // util ").when(i % 5 == 1, "describe(x) ").when(i % 5 == 2, "a demo ")
+    body = F.concat(lead.when(i % 5 == 3, "export class A ").otherwise(""), F.col("content"))
     return store(spark, d, False).select("id", detect.role(path, body, F.col("content_type")).alias("role"))
 
 
@@ -1161,7 +1162,7 @@ def file_event_stream(spark, d):
 def gzip_roundtrip(spark, d):
     from tarnforge.operators import compression
 
-    s = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    s = spread(table(spark, d, "documents")).select("doc_id", F.col("text").alias("content"))
     back = compression.decoded(compression.compressed(s))
     return back.select("doc_id", F.sha2("content", 256).alias("content_sha256"), F.col("is_compressed").alias("was_compressed"))
 
@@ -1169,7 +1170,7 @@ def gzip_roundtrip(spark, d):
 @query("intelligent_chunks")
 def intelligent_chunks(spark, d):
     """Chunks by type of every document, with blank lines after every sentence line so that paragraphs occur."""
-    s = store(spark, d, False).select("id", F.replace("content", F.lit(".\n"), F.lit(".\n\n")).alias("content"), "content_type")
+    s = spread(store(spark, d, False)).select("id", F.replace("content", F.lit(".\n"), F.lit(".\n\n")).alias("content"), "content_type")
     return chunking.chunked(s)
 
 
