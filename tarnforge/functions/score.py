@@ -55,6 +55,12 @@ class AdaptiveThreshold:
                 self.multiplier = min(max(m * (1 + (past / t - 1) * self.params.rate), 0.2), 1.5)
         return t
 
+    def stats(self) -> dict:
+        """How many scores and rounds there were, the multiplier in use, and means over the rounds that are kept."""
+        means = [sum(x) / len(x) for x in zip(*self.history)] or [None] * 3
+        now = self.multiplier if self.multiplier is not None else self.params.multiplier
+        return {"samples": self.samples, "rounds": len(self.history), "multiplier": now, **dict(zip(("mean", "std", "threshold"), means, strict=True))}
+
     def reset(self) -> None:
         self.history, self.multiplier, self.samples = [], None, 0
 

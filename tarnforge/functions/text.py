@@ -127,3 +127,13 @@ def human_size(size: Column) -> Column:
     power = F.when(size > 0, F.least(F.floor(F.log(size) / math.log(1024)), F.lit(4))).otherwise(0)
     unit = F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB"))), (power + 1).cast("int"))
     return F.concat_ws(" ", F.format_string("%.2f", (size / F.pow(F.lit(1024.0), power)).cast("double")), unit)
+
+
+def summary(content: Column, kind: Column, chars: int = 150) -> Column:
+    """What a text is about: of code the names that it declares, else its first sentence; at most ``chars`` characters."""
+    names = F.regexp_extract_all(content, F.lit(r"\b(?:function|def|class|interface|enum)\s+(\w+)"), F.lit(1))
+    declared = F.concat(F.lit("Declares "), F.array_join(F.array_distinct(names), ", "))
+    plain = F.trim(F.regexp_replace(content, r"\s+", " "))
+    first = F.regexp_extract(plain, r"^(.*?[.!?])(?: |$)", 1)
+    out = F.when((kind == "code") & (F.size(names) > 0), declared).when(first != "", first).otherwise(plain)
+    return F.when(F.length(out) > chars, F.concat(F.left(out, F.lit(chars)), F.lit("..."))).otherwise(out)

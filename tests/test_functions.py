@@ -1,9 +1,10 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnforge.functions import detect, diff, score, text, vector
+from tarnforge.functions import detect, diff, score, sql, text, vector
 
 
 def one(spark, *columns):
@@ -124,7 +125,6 @@ def test_density_and_comments(spark):
 
 
 def test_sql_functions(spark):
-    from tarnforge.functions import sql
 
     assert "tf_cosine" in sql.register(spark)
     r = spark.sql("select tf_cosine(array(3D, 4D), array(3D, 4D)) a, tf_cosine(array(0D), array(1D)) b, tf_clean_path('a.ts#chunk3') c, tf_lines('a\\nb') d, tf_change_percent('', 'x') e, tf_tokens('abcde') f").first()
@@ -132,3 +132,31 @@ def test_sql_functions(spark):
     store = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", None)], "id string, vector array<float>")
     sql.register_search(spark, store)
     assert [tuple(x) for x in spark.sql("select * from tf_search(array(1D, 0D), 0.5D)").collect()] == [("x", 1.0)]
+
+
+def test_more_sql_functions(spark):
+    sql.register(spark)
+    r = spark.sql("select tf_significant('abcdefghij', 'abcdefghijk', 10D) a, tf_content_diff('a\\nb', 'a') b, tf_message_relevance('The Alpha', 'alpha') c, tf_message_relevance('my code', 'x') d, tf_extension('a/b.ts#chunk2') e").first()
+    assert r.a and r.c == 0.9 and r.d == 0.7 and r.e == "ts"
+    assert r.b == one(spark, diff.content_diff(F.lit("a\nb"), F.lit("a")))[0]
+    t = datetime.datetime(2024, 1, 1)
+    rows = [("c", v, "x" * v, "updated" if v > 1 else "created", t) for v in (1, 2, 3)] + [("d", 1, "y", "created", t)]
+    sql.register_history(spark, spark.createDataFrame(rows, "chunk_id string, version int, content string, change_type string, changed_at timestamp"))
+    assert [x.version for x in spark.sql("select * from tf_chunk_history('c', 2) order by version desc").collect()] == [3, 2]
+    found = {x.field: (x.value1, x.value2, x.different) for x in spark.sql("select * from tf_compare_versions('c', 1, 3)").collect()}
+    assert found == {"content": ("x", "xxx", True), "content_length": ("1", "3", True), "change_type": ("created", "updated", True)}
+    assert spark.sql("select * from tf_compare_versions('d', 1, 2)").collect() == []
+
+
+def test_threshold_stats():
+    a = score.AdaptiveThreshold(score.THRESHOLDS["other"])
+    assert a.stats() == {"samples": 0, "rounds": 0, "multiplier": 0.5, "mean": None, "std": None, "threshold": None} or a.stats()["multiplier"] == a.params.multiplier
+    t = a.update(10, 0.5, 0.1)
+    assert a.stats()["rounds"] == 1 and a.stats()["threshold"] == t and a.stats()["mean"] == 0.5
+    a.reset()
+    assert a.stats()["samples"] == 0
+
+
+def test_summary(spark):
+    found = one(spark, *(text.summary(F.lit(c).cast("string"), F.lit(k)) for c, k in (("class A {}\nfunction b() {}", "code"), ("One thing. And  more", "doc"), ("no end\n here", "doc"), ("x" * 200, "other"), (None, "doc"))))
+    assert found == ("Declares A, b", "One thing.", "no end here", "x" * 150 + "...", None)

@@ -169,6 +169,8 @@ def test_results_for_readers(spark, tmp_path):
     assert "Nothing matches" in as_report(e.search("zzz", "text"), e.store(), "zzz", "text")
     assert as_records(found, e.store())[0]["file_path"] == "a.md" and e.tools.execute("search_code", query="needle", mode="text").count() == 1
     assert [x["event"] for x in e.log.last()] == ["index.start", "index.end"]
+    plan = Filters(content_type="doc").apply(e.store())._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(content_type" in plan  # only the folder of that type is read
     before = e.store()
     e.index(str(src), "p")
     assert before.count() == 1 and e.swept() == 2 and e.store().count() == 1
