@@ -147,10 +147,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of input that are worth a task of their own.
+TASK_BYTES = 1 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as there are cores, if its scan has fewer: one small file would keep all but one idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """``df`` over more tasks, if its scan has fewer than there are cores: one small file would keep all but one idle.
+
+    Every task has ``TASK_BYTES`` of input at least, so tables of many files, and tiny ones, are left as they are.
+    """
+    plan = df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return df.repartition(tasks) if plan.toRdd().getNumPartitions() < tasks else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
