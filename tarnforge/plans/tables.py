@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as there are cores, if its scan has fewer: for work on whole texts, where one small file would keep the others idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """``df`` over more tasks, if its scan has fewer than there are cores, each with ``least`` bytes of input at least.
+
+    For work on whole texts, where one small file would keep all cores but one idle.
+    """
+    plan = df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // least)
+    return df.repartition(tasks) if plan.toRdd().getNumPartitions() < tasks else df
 
 
 def _pick(values: tuple, by: Column) -> Column:
