@@ -23,7 +23,7 @@ from tarnforge.llm import common
 #: Rows of hashes that are reduced at once, for very long texts.
 _BLOCK = 16384
 
-#: Ids of texts that meet others which are broadcast to the texts; with more of them the texts are shuffled.
+#: Rows of ids that are broadcast to what they select or name; beyond that both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
@@ -32,25 +32,25 @@ def _signer(m: int, shingle: int, seed: int):
     flips = draw.integers(0, 2**64, (4 * m, 1), np.uint64)
     odd = draw.integers(0, 2**64, (4 * m, 1), np.uint64) | np.uint64(1)
     place = np.arange(2 * m, dtype=np.uint64)
+    side = (place >= m).astype(np.uint64)
 
     def sign(batch: pa.RecordBatch):
-        n, digest, left, right = [], [], [], []
+        n, digest, halves = [], [], []
         for text in batch.column(1).to_pylist():
             u = np.unique(common.windows(common.hashes(common.words_of(text)), shingle))
             n.append(len(u))
             digest.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
             if not len(u):
-                left.append(None)
-                right.append(None)
+                halves.append(None)
                 continue
             low = np.full(4 * m, 2**64 - 1, np.uint64)
             for i in range(0, len(u), _BLOCK):
                 low = np.minimum(low, ((u[None, i : i + _BLOCK] ^ flips) * odd).min(axis=1))
-            half = common.mix(low[0::2] * np.uint64(0x9E3779B97F4A7C15) + common.mix(low[1::2] + place)).view(np.int64)
-            left.append(half[:m])
-            right.append(half[m:])
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(left, longs), pa.array(right, longs)], ["doc_id", "n_shingles", "digest", "a", "b"])
+            half = common.mix(low[0::2] * np.uint64(0x9E3779B97F4A7C15) + common.mix(low[1::2] + place))
+            half = (half & ~np.uint64(1) | side).view(np.int64)  # its last bit says which collection it is of
+            halves.append(half)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(halves, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "halves"])
 
     return sign
 
@@ -107,9 +107,11 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose full shingle sets are at least ``percent`` per cent similar."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
+    """The pairs ``(u, v)`` whose full shingle sets are at least ``percent`` per cent similar; only sets of texts in a pair are sent."""
+    pairs = _aside(pairs)
+    own = lambda c: sets.join(_by_size(_aside(pairs.select(F.col(c).alias("doc_id")).distinct())), "doc_id", "left_semi")
+    left = own("u").select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
+    right = own("v").select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     return pairs.join(left, "u").join(right, "v").where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
@@ -119,11 +121,16 @@ def _aside(groups: DataFrame) -> DataFrame:
     return common.cut(groups, "groups")[0]
 
 
+def _by_size(table: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members ``(key, rep, comp)`` of those tables' buckets that still hold more than one component."""
-    here = members.join(labels, "rep")
+    """Members ``(key, rep, o, comp)`` of those tables' buckets that still hold more than one component."""
+    here = members.join(_by_size(labels), "rep")
     split = _aside(here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    return here.join(split, "key").select("key", "rep", "comp")
+    return here.join(split, "key").select("key", "rep", "o", "comp")
 
 
 def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,39 +173,46 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, m: int
     spark = docs.sparkSession
     with common.scratch() as made:
         texts = docs.select("doc_id", "text")
-        signed, signed_at = common.cut(common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), "signatures")
+        signatures = common.map_arrow(texts, _signer(m, shingle, seed), "doc_id long, n_shingles long, digest binary, halves array<long>")
+        signed, signed_at = common.cut(signatures, "signatures")
         able = signed.where("doc_id is not null and digest is not null")
-        classes, _ = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+        classes, _ = common.cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "classes")
 
         # Half keys that more than one class holds, and the table keys that they complete.
-        halves = classes.select("rep", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half"))))).alias("h")).select("rep", "h.side", "h.half")
-        often = halves.groupBy("side", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("side", "half")
-        often = _aside(often)
-        sides = halves.join(often, ["side", "half"]).groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("b"))
-        keys = sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
+        halves = classes.select("rep", F.explode("halves").alias("half"))
+        often = _aside(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+        own = halves.join(often, "half").groupBy("rep").agg(F.collect_set("half").alias("halves"))
+        of = lambda side: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == side)
+        sides = own.select("rep", of(0).alias("a"), of(1).alias("b"))
+        # A text with many half keys that others hold lies in the middle of its group: it comes first.
+        keys = sides.select("rep", (-F.size("a") * F.size("b")).cast("short").alias("o"), F.explode("a").alias("x"), "b")
+        keys = keys.select("rep", "o", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep", "o")
         keys, keys_at = common.cut(keys, "keys")
-        full = _aside(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
+        first = F.min(F.struct("o", F.col("rep").alias("v"))).alias("p")
+        full = _aside(keys.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1").select("key", F.col("p.o").alias("p_o"), F.col("p.v").alias("v")))
         members, _ = common.cut(keys.join(full, "key"), "members")
         common.drop(spark, keys_at)
 
         # A text can stand for several classes if rows of one doc_id differ; labels are by node.
         labels, _ = common.cut(classes.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
         wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-        wanted = _aside(wanted)
-        few = wanted.count() <= BROADCAST_IDS
-        sets, _ = common.cut(common.map_arrow(texts.join(F.broadcast(wanted) if few else wanted, "doc_id"), _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
-
-        for pivots in (1, 8, 0):
+        meeting = texts.join(_by_size(_aside(wanted)), "doc_id")
+        sets, _ = common.cut(common.map_arrow(meeting, _shingler(shingle), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+
+        # First each member meets the one pivot of its tables that comes first, then up to eight of those of other components, then all
+        # that is still apart goes through the exact filter.
+        pairs = members.where("rep <> v").groupBy(F.col("rep").alias("u")).agg(F.min(F.struct(F.col("p_o").alias("o"), "v")).alias("p")).select("u", "p.v")
+        labels = _merged(labels, _confirmed(pairs, sets, percent))
+        members = members.select("key", "rep", "o")
+        for pivots in (8, 0):
             apart, _ = common.cut(_apart(members, labels), "apart")
             if apart.isEmpty():
                 break
             if pivots:
-                members = apart.select("key", "rep")
-                # A text that shares many tables lies in the middle of its group: it comes first.
-                weight = apart.groupBy("rep").agg((-F.count("*")).alias("o"))
-                pivot = apart.join(weight, "rep").groupBy("key").agg(F.min(F.struct("o", F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")).select("key", "p.*")
-                pivot = _aside(pivot)
-                nearest = F.slice(F.array_sort(F.collect_set(F.struct("o", "v"))), 1, pivots)
+                members = apart.select("key", "rep", "o")
+                first = F.min(F.struct("o", F.col("rep").alias("v"), F.col("comp").alias("other"))).alias("p")
+                pivot = _aside(apart.groupBy("key").agg(first).select("key", F.col("p.o").alias("p_o"), "p.v", "p.other"))
+                nearest = F.slice(F.array_sort(F.collect_set(F.struct(F.col("p_o").alias("o"), "v"))), 1, pivots)
                 pairs = apart.join(pivot, "key").where("comp <> other").groupBy(F.col("rep").alias("u")).agg(nearest.alias("p")).select("u", F.explode("p.v").alias("v"))
             else:
                 pairs = _prefix_pairs(apart, sets, percent)
