@@ -78,10 +78,11 @@ def counts(docs: DataFrame, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> np.ndarr
                     waiting = 0
         settle()
         which, kind, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(kind), pa.array(bucket), pa.array(total[which, kind, bucket])], ["which", "kind", "bucket", "n"])
+        columns = which.astype(np.int8), kind.astype(np.int8), bucket.astype(np.int32), total[which, kind, bucket]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["which", "kind", "bucket", "n"])
 
     df = docs.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    found = common.map_tasks(df, count, "which long, kind long, bucket long, n long").groupBy("which", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = common.map_tasks(df, count, "which byte, kind byte, bucket int, n long").groupBy("which", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, 2, BUCKETS), np.int64)
     out[tuple(found.column(c).to_numpy() for c in ("which", "kind", "bucket"))] = found.column("n").to_numpy()
     return out

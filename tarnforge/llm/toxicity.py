@@ -149,9 +149,11 @@ def _counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for kind, table in ((0, words), (1, stems), (2, size[:, None])):
             label, bucket = np.nonzero(table)
             if len(label):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), kind)), pa.array(label), pa.array(bucket), pa.array(table[label, bucket].astype(np.int64))], ["kind", "label", "bucket", "n"])
+                columns = np.full(len(label), kind, np.int8), label.astype(np.int8), bucket.astype(np.int32), table[label, bucket].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "label", "bucket", "n"])
 
-    found = common.map_tasks(docs, count, "kind long, label long, bucket long, n long").groupBy("kind", "label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = common.map_tasks(docs, count, "kind byte, label byte, bucket int, n long").groupBy("kind", "label", "bucket").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()
     kind, label, bucket, n = (found.column(c).to_numpy() for c in ("kind", "label", "bucket", "n"))
     out = []
     for k, width in ((0, WORDS), (1, STEMS), (2, 1)):
