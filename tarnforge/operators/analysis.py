@@ -237,3 +237,23 @@ def problems(chunk: dict) -> list[str]:
         ("tokens are negative", chunk.get("tokens", 0) >= 0),
     ]
     return [name for name, holds in rules if not holds]
+
+
+def problem_rows(chunks: DataFrame) -> DataFrame:
+    """``id, problems``: the same rules over ``chunks (id, type, code, language, file, first, last, quality, relevance, tokens)``, natively."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    within = lambda c: ~F.coalesce(F.col(c).between(0, 100), F.lit(False))
+    first, last = F.coalesce("first", F.lit(0)), F.coalesce("last", F.lit(0))
+    rules = [
+        ("id is missing", F.coalesce("id", F.lit("")) == ""),
+        ("unknown type", ~F.coalesce(F.col("type").isin(*PRIORITY), F.lit(False))),
+        ("code is empty", text(F.regexp_replace("code", r"\s", ""))),
+        ("language is missing", F.coalesce("language", F.lit("")) == ""),
+        ("file is missing", F.coalesce("file", F.lit("")) == ""),
+        ("lines are out of order", ~((first >= 1) & (first <= last))),
+        ("quality is out of range", within("quality")),
+        ("relevance is out of range", within("relevance")),
+        ("tokens are negative", F.coalesce("tokens", F.lit(0)) < 0),
+    ]
+    found = F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules)), lambda x: x.isNotNull())
+    return chunks.select("id", found.alias("problems")).where(F.size("problems") > 0)
