@@ -11,7 +11,7 @@ from tarnforge.plans.catalogue import query
 from tarnforge.plans.queries import _BOTH, _COMPRESSION, _F, _NAME, _edited, _sql_hash, _stamp, graph_tables
 from tarnforge.plans.scratch import fresh
 from tarnforge.plans.tables import GRAPH, STORE, store, table
-from tarnforge.sources import files, storage
+from tarnforge.sources import files, providers, storage
 from tarnforge.streaming import indexing
 
 
@@ -229,3 +229,67 @@ def config_documents(spark, d):
     body = F.concat(F.lit("id: "), F.col("doc_id").cast("string"), F.lit("\n---\ntext: "), flat, F.lit("\n---\nend: 1"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), body.alias("content"), F.lit("config").alias("content_type"))
     return chunking.chunked(docs, 10, 0).withColumn("chunk", F.md5("chunk"))
+
+
+@query(
+    "code_chunks",
+    f"{_IDS} select path as id, i as chunk_index, 8 as total_chunks, 'function f' || i || name || '() {{' || chr(10) || '  return ' || i || ';' || chr(10) || '}}' as chunk "
+    "from n, range(8) r(i)",
+)
+def code_chunks(spark, d):
+    """A source of eight functions, made from each document's first word, a chunk each."""
+    name = F.regexp_replace(F.lower(F.regexp_extract("text", r"^([^ \t\n]*)", 1)), r"[^a-z]", "")
+    parts = [F.concat(F.lit(f"function f{i}"), name, F.lit(f"() {{\n  return {i};\n}}\n\n")) for i in range(8)]
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(*parts).alias("content"), F.lit("code").alias("content_type"))
+    return chunking.chunked(docs, 40, 0)
+
+
+@query(
+    "doc_sections",
+    "with l as (select cast(doc_id as varchar) as id, '# ' || lpad(cast(doc_id as varchar), 8, '0') as head from documents) select id, i as chunk_index, 9 as total_chunks, "
+    "head || '.' || i || chr(10) || 'the body of part ' || i || case when i = 8 then chr(10) else '' end as chunk from l, range(9) r(i)",
+)
+def doc_sections(spark, d):
+    """A text of nine sections, made for each document, a chunk each."""
+    head = F.concat(F.lit("# "), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    parts = [F.concat(head, F.lit(f".{i}\nthe body of part {i}\n")) for i in range(9)]
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(*parts).alias("content"), F.lit("doc").alias("content_type"))
+    return chunking.chunked(docs, 60, 0)
+
+
+@query(
+    "packed_paragraphs",
+    "with l as (select cast(doc_id as varchar) as id, lpad(cast(doc_id as varchar), 8, '0') as t from documents) select id, i as chunk_index, 13 as total_chunks, "
+    "t || 'a' || chr(10) || chr(10) || t || 'b' as chunk from l, range(13) r(i)",
+)
+def packed_paragraphs(spark, d):
+    """Paragraphs of nine characters, two of which fit into a chunk."""
+    t = F.lpad(F.col("doc_id").cast("string"), 8, "0")
+    body = F.array_join(F.array_repeat(F.concat(t, F.lit("a\n\n"), t, F.lit("b")), 13), "\n\n")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), body.alias("content"), F.lit("config").alias("content_type"))
+    return chunking.chunked(docs, 28, 0)
+
+
+def _echo(prompts: list[str]) -> list[str]:
+    return prompts
+
+
+@query(
+    "rendered_prompts",
+    "select cast(doc_id as varchar) as id, md5('Summarise the following ' || lang || ' in one sentence:' || chr(10) || text) as answer, true as valid from documents",
+)
+def rendered_prompts(spark, d):
+    """Prompts as a model gets them, by one that says what it was asked."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.col("text").alias("content"))
+    return providers.answered(rows, "summary", _echo).withColumn("answer", F.md5("answer"))
+
+
+@query(
+    "embedded_contents",
+    f"with h as (select n_nationkey as id, cast({_H} as double) as h from nation), w as (select id, i, {_WAVE} as w from h, range(4) r(i)), "
+    "n as (select id, sqrt(sum(w * w)) as size from w group by 1) select id, round(w / size, 5) as first from w join n using (id) where i = 0",
+)
+def embedded_contents(spark, d):
+    """Vectors by a provider that is called with distinct contents only."""
+    chunks = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("content"))
+    return providers.embedded(chunks, 4).select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first"))
