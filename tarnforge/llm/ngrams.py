@@ -32,21 +32,34 @@ _BLANK = np.zeros(0x21, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of the three-character runs of a text's words, a blank before and after each; one for each character of a word."""
-    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    blank = (c <= 0x20) & _BLANK[np.minimum(c, 0x20).astype(np.int64)]
-    c[blank] = 0x20
-    h = common.mix((c[:-2] * np.uint64(0x100000001B3) + c[1:-1]) * np.uint64(0x100000001B3) + c[2:])
-    return (h[~blank[1:-1]] & np.uint64(BUCKETS - 1)).astype(np.int64)
+#: Characters, or words, whose n-grams are computed at once: what a very long text takes does not grow with it.
+PIECE = 1 << 17
 
 
-def pairs(words: list[bytes]) -> np.ndarray:
-    """Buckets of a text's pairs of neighbouring words."""
-    h = common.hashes(words)
-    if len(h) < 2:
-        return np.zeros(0, np.int64)
-    return (common.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the three-character runs of a text's words, a blank before and after each; one for each character of a word.
+
+    In pieces, each of which sees the characters beside it.
+    """
+    for at in range(0, len(text), PIECE):
+        part = f"{text[at - 1] if at else ' '}{text[at : at + PIECE]}{text[at + PIECE : at + PIECE + 1] or ' '}"
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        blank = (c <= 0x20) & _BLANK[np.minimum(c, 0x20).astype(np.int64)]
+        c[blank] = 0x20
+        h = common.mix((c[:-2] * np.uint64(0x100000001B3) + c[1:-1]) * np.uint64(0x100000001B3) + c[2:])
+        yield (h[~blank[1:-1]] & np.uint64(BUCKETS - 1)).astype(np.uint16)
+
+
+def pairs(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Buckets of a text's pairs of neighbouring words, in pieces."""
+    for at in range(0, len(words) - 1, PIECE):
+        h = common.hashes(words[at : at + PIECE + 1])
+        yield (common.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) & np.uint64(BUCKETS - 1)).astype(np.uint16)
+
+
+def cells(text: str | None, kind: int) -> Iterator[np.ndarray]:
+    """Buckets of a text's n-grams of a kind, in pieces."""
+    return trigrams(text or "") if kind == CHARS else pairs(words_of(text))
 
 
 def counts(docs: DataFrame, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> np.ndarray:
@@ -61,21 +74,21 @@ def counts(docs: DataFrame, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> np.ndarr
         waiting = 0
 
         def settle():
-            for (side, kind), cells in found.items():
-                if cells:
-                    total[side, kind] += np.bincount(np.concatenate(cells), minlength=BUCKETS)
-                    cells.clear()
+            for (side, kind), some in found.items():
+                if some:
+                    total[side, kind] += np.bincount(np.concatenate(some), minlength=BUCKETS)
+                    some.clear()
 
         for b in batches:
             for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for kind in kinds:
-                    cells = trigrams(text or "") if kind == CHARS else pairs(words_of(text))
-                    waiting += len(cells)
-                    for side in (0, 1) if target else (0,):
-                        found[side, kind].append(cells)
-                if waiting > _WAITING:
-                    settle()
-                    waiting = 0
+                    for piece in cells(text, kind):
+                        waiting += len(piece)
+                        for side in (0, 1) if target else (0,):
+                            found[side, kind].append(piece)
+                        if waiting > _WAITING:
+                            settle()
+                            waiting = 0
         settle()
         which, kind, bucket = np.nonzero(total)
         columns = which.astype(np.int8), kind.astype(np.int8), bucket.astype(np.int32), total[which, kind, bucket]
@@ -101,9 +114,9 @@ def score(text: str | None, ratios: np.ndarray, kinds: tuple[int, ...] = (CHARS,
     """The sum of a text's n-grams' log ratios, and how many n-grams it is of."""
     total, n = 0.0, 0
     for kind in kinds:
-        cells = trigrams(text or "") if kind == CHARS else pairs(words_of(text))
-        total += float(ratios[kind][cells].sum())
-        n += len(cells)
+        for piece in cells(text, kind):
+            total += float(ratios[kind][piece].sum())
+            n += len(piece)
     return total, n
 
 

@@ -34,7 +34,21 @@ def runs(text):
 
 def test_trigrams():
     for t in ("", " ", "a", "ab\tc", "\x0b\x1fé😀\n\n x\x85y "):
-        assert ngrams.trigrams(t).tolist() == runs(t)
+        assert cells(ngrams.trigrams(t)) == runs(t)
+
+
+def cells(pieces):
+    return [int(x) for p in pieces for x in p]
+
+
+def test_pieces(monkeypatch):
+    """Pieces of a long text give what the whole does."""
+    text = "é😀 abc\tde  f\n\n ghi jk " * 7
+    words = ngrams.words_of(text)
+    whole = cells(ngrams.trigrams(text)), cells(ngrams.pairs(words))
+    for size in (1, 2, 3, 5, 8):
+        monkeypatch.setattr(ngrams, "PIECE", size)
+        assert (cells(ngrams.trigrams(text)), cells(ngrams.pairs(words))) == whole
 
 
 def test_counts_match_one_pass(spark, sf):
@@ -45,7 +59,7 @@ def test_counts_match_one_pass(spark, sf):
         for side in (0, 1) if r.target else (0,):
             for x in runs(r.text):
                 want[side, 0, x] += 1
-            np.add.at(want[side, 1], ngrams.pairs(w), 1)
+            np.add.at(want[side, 1], cells(ngrams.pairs(w)), 1)
     assert (got == want).all()
     s, n = ngrams.score("a b", ngrams.log_ratios(got))
     assert n == 3 and np.isfinite(s)
@@ -59,12 +73,12 @@ def brute(rows, target, share, seed=11):
         for side in (0, 1) if r.doc_id in target else (0,):
             for x in runs(r.text):
                 total[side, 0, x] += 1
-            np.add.at(total[side, 1], ngrams.pairs(w), 1)
+            np.add.at(total[side, 1], cells(ngrams.pairs(w)), 1)
     ratio, keys = ngrams.log_ratios(total), []
     for r in rows:
         w = ngrams.words_of(r.text)
         if w:
-            s = ratio[0][runs(r.text)].sum() + ratio[1][ngrams.pairs(w)].sum()
+            s = ratio[0][runs(r.text)].sum() + ratio[1][cells(ngrams.pairs(w))].sum()
             h = xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(r.text.encode(), xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)))
             keys.append((s - math.log(-math.log((h % 2**52 + 0.5) / 2**52)), r.doc_id))
     return {i for _, i in sorted(keys, reverse=True)[: round(share * len(rows))]}

@@ -51,7 +51,7 @@ def test_held_out(spark):
 def brute_verdict(rows, trusted):
     """Ratios and threshold by the formulas, n-gram by n-gram."""
     def cells(text):
-        return test_importance.runs(text or ""), ngrams.pairs(ngrams.words_of(text)).tolist()
+        return test_importance.runs(text or ""), test_importance.cells(ngrams.pairs(ngrams.words_of(text)))
 
     held = {i for i in trusted if test_mixing.spark_hash(i, (13,)) % quality.HELD == 0}
     raw, target = np.zeros((2, ngrams.BUCKETS)), np.zeros((2, ngrams.BUCKETS))
