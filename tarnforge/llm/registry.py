@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnforge.llm import chat, decontaminate, html, importance, mixing, neardup, pii, quality, tokens, toxicity, twins
+from tarnforge.llm import chat, decontaminate, html, importance, manifest, mixing, neardup, pii, quality, tokens, toxicity, twins
 from tarnforge.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -76,6 +79,18 @@ def op10(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
+@_query("op13_superblock_merkle", twins.MANIFEST)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in manifest.FIELDS}
+    altered = fields | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, manifest.leaf(altered))
+    found = manifest.manifest(docs.select("doc_id", "source", manifest.leaf(fields).alias("leaf"), tampered.alias("tampered")))
+    folded = manifest.folded(F.coalesce("tampered", "leaf"), F.col("left"), F.col("right"))
+    out = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

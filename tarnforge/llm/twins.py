@@ -58,3 +58,66 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words on d.doc_id = words.doc_id left join named on d.doc_id = named.doc_id
 """
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII characters, by the rule of its polynomial: eight steps a byte."""
+    turned = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    codes = f"list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint))"
+    return f"xor(list_reduce({codes}, lambda a, b: {turned}), 4294967295)"
+
+
+#: Levels of a source's tree, and of the tree of sources, that the twin goes through: enough for 16 to that power of nodes.
+_DEPTH = 6
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Tables ``{name}0 (k, i, n, node)``, ``{name}1`` ...: a key's nodes at each level."""
+    out = [f"{name}0 as materialized ({leaves})"]
+    for j in range(_DEPTH):
+        node = "case when any_value(n) = 1 then any_value(node) else sha256(string_agg(node, '' order by i)) end"
+        out.append(f"{name}{j + 1} as materialized (select k, i // 16 as i, (any_value(n) + 15) // 16 as n, {node} as node from {name}{j} group by k, i // 16)")
+    return ", ".join(out)
+
+
+def _paths(name: str) -> str:
+    """Table ``{name}_path (k, i, l0, r0, l1, r1, ...)``: the joined siblings before and after a leaf's node at each level."""
+    sides = []
+    for j in range(_DEPTH):
+        at = f"(p.i // {16**j})"
+        for side, sign in (("l", "<"), ("r", ">")):
+            run = f"select string_agg(s.node, '' order by s.i) from {name}{j} s where s.k is not distinct from p.k and s.i // 16 = {at} // 16 and s.i {sign} {at}"
+            sides.append(f"coalesce(({run}), '') as {side}{j}")
+    return f"{name}_path as materialized (select p.k, p.i, {', '.join(sides)} from {name}0 p)"
+
+
+def _leaf(text: str) -> str:
+    field = "case when {0} is null then '-' else octet_length(encode({0}::varchar)) || ':' || {0}::varchar end"
+    return "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _manifest() -> str:
+    """Places by window functions, levels by grouping, siblings by their places, and one fold a level."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    levels = [(x, j) for x in "st" for j in range(_DEPTH)]
+    proof = " || ".join(f"{x}p.l{j} || {x}p.r{j}" for x, j in levels)
+    folds = [f"case when {x}.n <= {16**j} then f{k} else sha256({x}p.l{j} || f{k} || {x}p.r{j}) end as f{k + 1}" for k, (x, j) in enumerate(levels)]
+    return f"""
+with d as materialized (
+  select doc_id, source, {_leaf("text")} as leaf, case when {crc32("doc_id::varchar")} % 5 = 0 then {_leaf(lower)} else {_leaf("text")} end as f0
+  from documents
+), placed as materialized (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from d
+), {_levels("s", "select source as k, i, n, leaf as node from placed")}, {_paths("s")}, tops as materialized (
+  select k as source, node, row_number() over (order by k nulls first) - 1 as i, count(*) over () as n from s{_DEPTH}
+), {_levels("t", "select 0 as k, i, n, node from tops")}, {_paths("t")}, folded as (
+  select s.doc_id, s.leaf, t.node as subroot, (select node from t{_DEPTH}) as root, sha256({proof}) as proof_sha256, s.f0, {", ".join(folds)}
+  from placed s join s_path sp on sp.k is not distinct from s.source and sp.i = s.i
+  join tops t on t.source is not distinct from s.source join t_path tp on tp.i = t.i
+)
+select doc_id, leaf, subroot, root, proof_sha256, f{len(levels)} as folded_root, f{len(levels)} = root as verified from folded
+"""
+
+
+#: The manifest's trees level by level.
+MANIFEST = _manifest()
