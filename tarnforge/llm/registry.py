@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnforge.llm import chat, decontaminate, html, importance, manifest, mixing, neardup, pii, quality, tokens, toxicity, twins
+from tarnforge.llm import chat, decontaminate, html, importance, manifest, mixing, neardup, pii, quality, tokens, toxicity, trie, twins
 from tarnforge.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -79,6 +79,11 @@ def op10(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
+@_query("op11_leaf_peeling_trie", twins.TRIE)
+def op11(spark, sf_dir):
+    return trie.trie(trie.rebuilt(trie.turn_lists(table(spark, sf_dir, "conversations")))).drop("key", "parent")
+
+
 @_query("op13_superblock_merkle", twins.MANIFEST)
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -121,3 +121,34 @@ select doc_id, leaf, subroot, root, proof_sha256, f{len(levels)} as folded_root,
 
 #: The manifest's trees level by level.
 MANIFEST = _manifest()
+
+#: The trie by definition: nodes are distinct lists of first turns, subtrees what conversations go through after a node.
+TRIE = f"""
+with t as materialized (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as w,
+    conv_id - conv_id % 5 as b, {crc32("any_value(conv_id)::varchar")} % 9 as h
+  from conversations where conv_id is not null group by conv_id
+), r as materialized (
+  select t.conv_id, case when t.conv_id % 5 = 0 then t.w else list_concat(list_slice(coalesce(o.w, []), 1, t.h), list_slice(t.w, t.h + 1, len(t.w))) end as w
+  from t left join t o on o.conv_id = t.b
+), steps as (
+  select conv_id, w, unnest(range(0, len(w) + 1)) as d from r
+), p as materialized (
+  select conv_id, d, sha256(to_json(list_slice(w, 1, d))::varchar) as key, case when d > 0 then sha256(to_json(list_slice(w, 1, d - 1))::varchar) end as above,
+    case when d > 0 then octet_length(encode(w[d].text)) else 0 end as bytes, d = len(w) as last
+  from steps
+), n as materialized (
+  select key, any_value(above) as above, any_value(d) as depth, count(*) as n_convs, min(conv_id) as conv_id, any_value(bytes) as bytes,
+    string_agg(case when last then conv_id::varchar end, ',' order by conv_id) as ends
+  from p group by key
+), c as materialized (
+  select n.*, coalesce(k.n, 0) as n_children from n left join (select above, count(*) as n from n group by above) k on k.above = n.key
+), below as (
+  select distinct a.key, b.key as part from p a join p b on a.conv_id = b.conv_id and a.d <= b.d
+), sums as (
+  select below.key, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * bytes)::bigint as saved_tokens
+  from below join c on c.key = below.part group by below.key
+)
+select c.conv_id, c.depth, u.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(coalesce(c.ends, '')) as ends_sha256
+from c join sums on sums.key = c.key left join n u on u.key = c.above
+"""
