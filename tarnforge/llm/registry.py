@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnforge.llm import chat, decontaminate, html, importance, manifest, mixing, neardup, pii, quality, tokens, toxicity, trie, twins
+from tarnforge.llm import chat, decontaminate, html, importance, manifest, mixing, neardup, pii, quality, repeats, tokens, toxicity, trie, twins
 from tarnforge.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -84,6 +84,14 @@ def op11(spark, sf_dir):
     return trie.trie(trie.rebuilt(trie.turn_lists(table(spark, sf_dir, "conversations")))).drop("key", "parent")
 
 
+@_query("op12_suffix_family", twins.REPEATS)
+def op12(spark, sf_dir):
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size, left = F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.octet_length("kept_bytes").cast("long")
+    spans = F.size("starts").cast("long").alias("n_spans")
+    return found.select("doc_id", size.alias("n_bytes"), (size - left).alias("n_removed"), spans, F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @_query("op13_superblock_merkle", twins.MANIFEST)
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -152,3 +152,27 @@ with t as materialized (
 select c.conv_id, c.depth, u.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(coalesce(c.ends, '')) as ends_sha256
 from c join sums on sums.key = c.key left join n u on u.key = c.above
 """
+
+#: Repeats by definition: every string of 100 bytes, its first place, and what the others cover.
+REPEATS = """
+with d as materialized (
+  select doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), w as materialized (
+  select doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) as g from (select doc_id, x, unnest(range(0, len(x) // 2 - 99)) as i from d where len(x) >= 200)
+), first as (
+  select g, min({'doc_id': doc_id, 'i': i}) as f from w group by g having count(*) > 1
+), gone as (
+  select doc_id, i, max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before
+  from w join first using (g) where {'doc_id': doc_id, 'i': i} <> f
+), cuts as (
+  select doc_id, i, sum(case when i <= before + 100 then 0 else 1 end) over (partition by doc_id order by i) as span from gone
+), spans as (
+  select doc_id, span, min(i) as a, max(i) + 100 as b from cuts group by doc_id, span
+), lists as (
+  select doc_id, list(a order by a) as a, list(b order by a) as b, sum(b - a)::bigint as n from spans group by doc_id
+)
+select doc_id, len(x) // 2 as n_bytes, coalesce(n, 0) as n_removed, coalesce(len(a), 0) as n_spans,
+  sha256(unhex(case when a is null then x else array_to_string(
+    list_transform(range(1, len(a) + 2), lambda k: substr(x, 2 * coalesce(b[k - 1], 0) + 1, 2 * (coalesce(a[k], len(x) // 2) - coalesce(b[k - 1], 0)))), '') end)) as kept_sha256
+from d left join lists using (doc_id)
+"""
