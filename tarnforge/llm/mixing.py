@@ -6,7 +6,8 @@ deal each source's documents into blocks, an epoch is one pass over the blocks i
 documents are taken block by block until the source's token budget is met. Only the block in which the
 budget ends is looked at document by document.
 
-Totals, weights and plans by source stay in tables: nothing here grows on the driver with the number of sources.
+Totals, weights and plans by source stay in tables: nothing here grows on the driver with the number of sources. All sums are exact, so
+the same rows give the same weights and draws, bit for bit, in whatever order and parts they come.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ EVENNESS = 0.3
 MAX_EPOCHS = 2.0
 #: Exponents that one pass over the totals tries, and passes: the interval shrinks to one of ``GRID ** PASSES`` parts.
 GRID, PASSES = 32, 8
+#: Sums over the sources are of whole numbers of this part of one: sums of doubles would follow the order of the rows.
+UNIT = 1e24
 #: Tokens: words ``[^\x20\x09-\x0D]+``.
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -50,7 +53,8 @@ def exponent(totals: DataFrame, budget: float, evenness: float = EVENNESS, max_e
     def tried(points: list[float]) -> list[tuple[float, float, float]]:
         """Sum, entropy and greatest repetition of the weights at each exponent: the smallest source is repeated most."""
         raised = [F.pow(share, F.lit(a)) for a in points]
-        sums = alive.agg(*(x for r in raised for x in (F.sum(r), F.sum(r * F.log(share))))).first()
+        exact = [F.sum((x * UNIT).cast("decimal(38,0)")) for r in raised for x in (r, r * F.log(share))]
+        sums = [float(x) / UNIT for x in alive.agg(*exact).first()]
         out = []
         for a, z, weighted in zip(points, sums[0::2], sums[1::2], strict=True):
             out.append((z, math.log(z) - a * weighted / z, (least / total) ** a / z * budget / least))

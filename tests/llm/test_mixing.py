@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarnforge.llm import mixing
 
@@ -176,3 +177,16 @@ def test_edges(spark):
     assert mixing.mixed(df.limit(0)).collect() == []
     twice = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")], "doc_id long, text string, source string")
     assert [r.copies for r in mixing.mixed(twice).collect()] == [1, 1, 1]
+
+
+def test_same_bits_in_any_order(spark):
+    """Rows dealt and ordered otherwise give the same weights, copies and draws, to the last bit."""
+    rows = [(i, "w " * (1 + i * i % 97), f"s{i % 173}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = set()
+    for x in (df, df.repartition(7), df.orderBy(F.desc("doc_id")), df.repartition(3, "source"), df.orderBy(F.xxhash64("doc_id")).coalesce(1), df.repartition(29, F.rand(3))):
+        out = mixing.mixed(x)
+        seen.add(tuple(sorted((r.doc_id, r.weight.hex(), r.copies, repr(r.draws)) for r in out.collect())))
+    assert len(seen) == 1 and len({w for _, w, *_ in next(iter(seen))}) > 50
+    shares = [{mixing.exponent(spark.createDataFrame([(n,) for n in order], "tokens long").repartition(k), 10_000) for k in (1, 3, 8)} for order in (range(1, 400), range(399, 0, -1))]
+    assert len(shares[0] | shares[1]) == 1
