@@ -4,6 +4,9 @@ A linear scan parts a page into blocks of text. In the first pass rules vote on
 link density, its length and share of stop words, the elements and names around it, and, as one vote among
 them, whether it stands in what the page marks as its article. That makes it good, bad or undecided. In the second
 pass an undecided block takes the label of its nearest decided neighbours.
+
+What an element is called is weighed against the prose that it holds: an element named like a menu or an advert that has most of the
+article's prose is the article. On a page without stop words of the languages known here, prose is told by length and the ends of sentences.
 """
 
 from __future__ import annotations
@@ -43,14 +46,16 @@ ITEMS = frozenset("li dt dd tr td th option".split())
 #: Elements and ARIA roles around the article (fixed values).
 APART = frozenset("nav footer aside menu dialog".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-#: Words in class and id that name what surrounds an article, and those that an article's own parts may have too (fixed values).
-_APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|sidebar|widget|footer|masthead|topbar|cookie|cookies|consent|gdpr|notice|notification|popup|modal|"
-    r"newsletter|subscribe|signup|login|sharing|social|related|recommended|trending|pagination|pager|comment|comments|commentlist|"
-    r"disqus|respond|replies)(?:$|[\s_-])",
-    re.I,
-)
+#: Words in class and id that name what surrounds an article, in three groups: readers' comments, what is seldom part of an article, and what a part of
+#: one can be about (fixed values).
+_READERS = "comment comments commentlist disqus respond replies".split()
+_FURNITURE = (
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar footer masthead topbar cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login pagination pager"
+).split()
+_SUBJECTS = "widget sharing social related recommended trending".split()
+_APART_NAMES = re.compile(rf"(?:^|[\s_-])(?:({'|'.join(_READERS)})|({'|'.join(_FURNITURE)})|({'|'.join(_SUBJECTS)}))(?:$|[\s_-])", re.I)
+#: Words in class and id that an article's own parts often have (fixed values).
 _DOUBTFUL_NAMES = re.compile(
     r"(?:^|[\s_-])(?:alert|banner|copyright|disclaimer|foot|form|header|legal|overlay|reply|search|share|side|tagcloud|tags|toolbar)(?:$|[\s_-])",
     re.I,
@@ -66,12 +71,16 @@ _LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in SILENT}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Signs that end a sentence in many scripts (fixed values).
+_SENTENCE = re.compile("[.!?…。！？｡؟۔।॥։።]")
 
 GOOD, BAD, UNDECIDED = 1, -1, 0
 #: Link density from which a block is bad; stop-word density and length from which it reads as prose.
 MAX_LINKS, MIN_STOP, MIN_CHARS = 0.5, 0.12, 60
 #: Votes: of prose, of links, of names that an article's own parts may have, of standing in or beside a marked article.
 PROSE, LINKS, DOUBTFUL, MARKED = 2, -4, -2, 1
+#: Where no stop word is known: the least length of prose, and the vote against a block without a sentence that is shorter than half of it in the middle.
+MIN_FOREIGN, BARE = 20, -1
 
 
 @dataclass(slots=True)
@@ -82,6 +91,7 @@ class Block:
     apart: bool  # inside an element around the article
     doubtful: bool  # inside an element whose name an article's own parts may have
     inside: bool  # inside what the page marks as its article
+    listed: bool = False  # inside a list or a table
 
 
 class _Reader:
@@ -91,7 +101,8 @@ class _Reader:
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.links, self.linked, self.heading = 0, False, False
-        self.open: list[tuple] = []  # name, and the four counts before it
+        self.open: list[tuple] = []  # name, its place in ``named``, and the four counts before it
+        self.named: list[list[int]] = []  # of elements by name: first block, end, group of the name, and whether in an article
         self.names: dict[str, int] = {}
         self.apart = self.forms = self.doubtful = self.article = 0
 
@@ -99,7 +110,8 @@ class _Reader:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             apart = self.apart + self.forms > 0
-            self.blocks.append(Block(text, self.links, self.heading, apart, self.doubtful > 0, self.article > 0 and not apart))
+            listed = any(self.names.get(x) for x in ("li", "dd", "td", "th"))
+            self.blocks.append(Block(text, self.links, self.heading, apart, self.doubtful > 0, self.article > 0 and not apart, listed))
         self.parts, self.links = [], 0
 
     def text(self, raw: str):
@@ -116,7 +128,7 @@ class _Reader:
         if name in VOID:
             return
         self.heading = name in HEADINGS
-        self.open.append((name, self.apart, self.forms, self.doubtful, self.article))
+        self.open.append((name, None, self.apart, self.forms, self.doubtful, self.article))
         self.names[name] = self.names.get(name, 0) + 1
         role = attributes.get("role", "").lower()
         if name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody":
@@ -128,8 +140,10 @@ class _Reader:
             self.forms += 1
         elif name not in ("html", "head", "body"):
             own, at = attributes.get("class", ""), attributes.get("id", "")
-            if own and _APART_NAMES.search(own) or at and _APART_NAMES.search(at):
-                self.apart += 1
+            found = own and _APART_NAMES.search(own) or at and _APART_NAMES.search(at)
+            if found:
+                self.named.append([len(self.blocks), -1, found.lastindex, int(self.article > 0)])
+                self.open[-1] = (name, self.named[-1], *self.open[-1][2:])
             # A section's or heading's id names its subject.
             elif own and _DOUBTFUL_NAMES.search(own) or at and name != "section" and not self.heading and _DOUBTFUL_NAMES.search(at):
                 self.doubtful += 1
@@ -142,8 +156,10 @@ class _Reader:
                 pass
 
     def _pop(self) -> str:
-        name, self.apart, self.forms, self.doubtful, self.article = self.open.pop()
+        name, named, self.apart, self.forms, self.doubtful, self.article = self.open.pop()
         self.names[name] -= 1
+        if named:
+            named[1] = len(self.blocks)
         return name
 
 
@@ -258,36 +274,103 @@ def blocks_of(page: str) -> list[Block]:
             r.start(name, attributes if attributes is not None else _pairs(m[3]) if m[3] else {})
             r.linked = r.linked and at <= link_end
     r.flush()
+    _weigh(r.blocks, r.named)
     return r.blocks
 
 
-def _first(b: Block, marked: bool) -> int:
-    """The label of a block by itself; ``marked`` says that the page marks an article."""
+def _weigh(blocks: list[Block], named: list[list[int]]) -> None:
+    """Set apart the blocks of elements that are named so, unless the prose in an element says otherwise.
+
+    An element with more than half of the prose, that of the marked article if there is one, is not apart. In the marked article one is not either if it is named
+    by what a part can be about and is mostly prose itself. Readers' comments are apart unless they have all the prose of the article that they stand in.
+    """
+    if not named:
+        return
+    reads = _reads(blocks)
+    marked = any(b.inside for b in blocks)
+    sums = [(0, 0, 0)]  # prose that counts, prose, text: of all blocks before
+    for b, x in zip(blocks, reads, strict=True):
+        n, prose, base = len(b.text), x and not b.apart, b.inside or not marked
+        sums.append(tuple(s + v for s, v in zip(sums[-1], (n * (prose and base), n * prose, n), strict=True)))
+    whole = sums[-1][0]
+    steps = [0] * (len(blocks) + 1)
+    for first, end, group, in_article in named:
+        end = len(blocks) if end < 0 else end
+        share, prose, text = (y - x for x, y in zip(sums[first], sums[end], strict=True))
+        if group == 1:
+            spared = in_article and 0 < share == whole
+        else:
+            spared = 2 * share > whole or group == 3 and in_article and 2 * prose > text
+        if not spared:
+            steps[first] += 1
+            steps[end] -= 1
+    depth = 0
+    for b, step in zip(blocks, steps, strict=False):
+        depth += step
+        if depth:
+            b.apart, b.inside = True, False
+
+
+def _linked(b: Block) -> bool:
+    return b.links > MAX_LINKS * (len(b.text) - b.text.count(" "))
+
+
+def _known(b: Block) -> bool:
+    """Whether a block is long and has many stop words."""
+    words = _WORD.findall(b.text.lower()) if len(b.text) >= MIN_CHARS else ()
+    return bool(words) and sum(w in STOP_WORDS for w in words) >= MIN_STOP * len(words)
+
+
+def _foreign(b: Block) -> bool:
+    return len(b.text) >= MIN_FOREIGN and bool(_SENTENCE.search(b.text))
+
+
+def _reads(blocks: list[Block]) -> list[bool]:
+    """Whether each block reads as prose: by stop words, or on a page where no block does, by sentences."""
+    found = [not _linked(b) and _known(b) for b in blocks]
+    return found if any(found) else [not _linked(b) and _foreign(b) for b in blocks]
+
+
+def _first(b: Block, reads: bool, bare: bool, marked: bool) -> int:
+    """The label of a block by itself: whether it reads as prose, is too short for it, and whether the page marks an article."""
     if b.apart:
         return BAD
-    votes = 0
+    linked = _linked(b)
+    if linked and b.inside and not b.listed and not b.doubtful:
+        return UNDECIDED  # a paragraph of the article that is a link
+    votes = BARE * bare
     if marked:
         votes += MARKED if b.inside else -MARKED
     if b.doubtful:
         votes += DOUBTFUL
-    if b.links > MAX_LINKS * (len(b.text) - b.text.count(" ")):
+    if linked:
         votes += LINKS
-    elif len(b.text) >= MIN_CHARS:
-        words = _WORD.findall(b.text.lower())
-        if words and sum(w in STOP_WORDS for w in words) >= MIN_STOP * len(words):
-            votes += PROSE
-            if votes > 0:
-                return GOOD
+    elif reads:
+        votes += PROSE
+        if votes > 0:
+            return GOOD
     return BAD if votes < 0 else UNDECIDED
 
 
+def _bare(blocks: list[Block], reads: list[bool]) -> list[bool]:
+    """On a page without known stop words: which blocks have no sentence and are shorter than half of the prose in the middle."""
+    sizes = sorted(len(b.text) for b, x in zip(blocks, reads, strict=True) if x and not b.apart)
+    if not sizes or any(not _linked(b) and _known(b) for b in blocks):
+        return [False] * len(blocks)
+    middle = sizes[len(sizes) // 2]
+    return [not b.heading and 2 * len(b.text) < middle and not _SENTENCE.search(b.text) for b in blocks]
+
+
 def _nearest(blocks: list[Block], labels: list[int]) -> list[tuple[int, int]]:
-    """Label and distance of the decided block before each, of the blocks that do not stand apart."""
-    out, last, since = [], UNDECIDED, 0
+    """Label and distance of the decided block before each, of the blocks that do not stand apart, up to the article's edge."""
+    out, last, since, inside = [], UNDECIDED, 0, None
     for b, x in zip(blocks, labels, strict=True):
-        out.append((last, since))
         if b.apart:
+            out.append((last, since))
             continue
+        if b.inside is not inside:
+            last, since, inside = UNDECIDED, 0, b.inside
+        out.append((last, since))
         if x:
             last, since = x, 0
         since += 1
@@ -297,12 +380,13 @@ def _nearest(blocks: list[Block], labels: list[int]) -> list[tuple[int, int]]:
 def labels_of(blocks: list[Block]) -> list[int]:
     """``GOOD`` or ``BAD`` for each block.
 
-    What stands apart is bad for its markup, which also says where it ends, so it decides no neighbour. Where both sides
+    What stands apart is bad for its markup, which also says where it ends, so it decides no neighbour; nor does what is on the other side of the edge of the marked article. Where both sides
     differ the nearer one decides; at equal distance a heading goes with what follows, and any other block with the
     good one. On a page where nothing else is decided, all that does not stand apart is good.
     """
     marked = any(b.inside for b in blocks)
-    labels = [_first(b, marked) for b in blocks]
+    reads = _reads(blocks)
+    labels = [_first(b, x, bare, marked) for b, x, bare in zip(blocks, reads, _bare(blocks, reads), strict=True)]
     before = _nearest(blocks, labels)
     after = _nearest(blocks[::-1], labels[::-1])[::-1]
     out = []
