@@ -40,6 +40,15 @@ def index_search(spark, d):
     return ann.search(ann.build(e, fresh(spark, "index"), cells=16), asked, 10, probes=12).withColumn("sim", F.round("sim", 5))
 
 
+@query("index_reopened", f"select q.vec_id as query_id, v.vec_id as id, round({_SIM}, 5) as sim from embeddings q, embeddings v where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by {_SIM} desc, v.vec_id) <= 3")
+def index_reopened(spark, d):
+    """Three nearest vectors by an index that was built from one half, left on disk, given the other half, and opened again."""
+    e, asked = _vectors(spark, d)
+    path = fresh(spark, "index")
+    ann.added(ann.build(e.where("id % 2 = 0"), path, cells=16), e.where("id % 2 = 1"))
+    return ann.search_exact(ann.opened(spark, path), asked, fresh(spark, "first"), 3, probes=4).withColumn("sim", F.round("sim", 5))
+
+
 @query("versions_by_total", f"with {HISTORY} select version, count(*) as total from versions group by 1 order by total desc, version limit 50")
 def versions_by_total(spark, d):
     return stats.versions_by_total(stores.replayed_versions(history(spark, d))).withColumn("version", F.col("version").cast("long"))
