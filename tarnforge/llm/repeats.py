@@ -30,7 +30,7 @@ from tarnforge.llm import common
 #: Bytes of a string that counts as repeated, and of the strings that anchors are chosen by.
 LENGTH, SEED = 100, 24
 #: Bytes of text that a worker looks at together; longer texts are looked at in pieces.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 #: Batches that a whole table is dealt into, by ascending id.
 BATCHES = 4
 #: Runs with one anchor that are compared in one task; beyond it their windows are dealt out.
@@ -43,8 +43,9 @@ NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 RUNS = "h long, f long, doc long, at long"
-#: ``at``: start, 24 bits of the text's hash, which tell apart texts of one id, and the run's number of windows.
-_START, _TEXT, _COUNT = 32, 8, 0xFF
+#: ``at``: start, 24 bits of the text's hash, which tell apart texts of one id, and the run's number of windows; of runs that are asked for, a sign that
+#: many share the anchor.
+_START, _TEXT, _COUNT, _MANY = 32, 8, 0x7F, 0x80
 
 
 @cache
@@ -210,27 +211,27 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of asked runs of texts: rows ``doc, mark, text, runs (h, at, many)``.
+    """The bytes of asked runs of texts: rows ``doc, mark, text, anchors, places``, the runs' ``h`` and ``at``.
 
     Where many runs share an anchor, each of their windows is a row under its own hash, once a task's slice; those that repeat in it are
     spans: rows without bytes, whose number of windows is their key.
     """
     for b in batches:
-        docs, marks, texts, asked = (c.to_pylist() for c in b.columns)
+        docs, marks, texts, anchors, places = (c.to_pylist() for c in b.columns)
         out: tuple[list, ...] = ([], [], [], [])
         first: dict[bytes, tuple[int, int]] = {}
         many = []
-        for doc, mark, text, runs in zip(docs, marks, texts, asked, strict=True):
+        for doc, mark, text, hs, ats in zip(docs, marks, texts, anchors, places, strict=True):
             whole = text.encode("utf-8", "surrogatepass")
-            for run in runs:
-                start, count = run["at"] >> _START, run["at"] & _COUNT
-                if run["many"]:
+            for h, at in zip(hs, ats, strict=True):
+                start, count = at >> _START, at & _COUNT
+                if at & _MANY:
                     for s in range(start, start + count):
                         window = whole[s : s + LENGTH]
                         many.append((doc, s, mark, window))
                         first[window] = min(first.get(window, (doc, s)), (doc, s))
                 else:
-                    for x, value in zip(out, (run["h"], doc, run["at"], whole[start : start + count + LENGTH - 1]), strict=True):
+                    for x, value in zip(out, (h, doc, at, whole[start : start + count + LENGTH - 1]), strict=True):
                         x.append(value)
         for doc, s, mark, window in dict.fromkeys(many):
             known = (doc, s) == first[window]
@@ -278,11 +279,11 @@ def _texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc"), mark.alias("mark"), text.alias("text"), *more)
 
 
-def _met(texts: DataFrame, lists: DataFrame, width: int, how: str) -> DataFrame:
-    """``texts`` with what ``lists``, a table with one row for each document and mark, has of them; ``width`` is the bytes of a list's entry."""
+def _met(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``texts`` with what ``lists (doc, mark, arrays of longs)``, with one row for each document and mark, has of them."""
     counted = [c for c, kind in lists.dtypes if kind.startswith("array")]
     rows, entries = lists.agg(F.count("*"), F.coalesce(F.sum(sum(F.size(c) for c in counted)), F.lit(0))).first()
-    few = rows * 64 + entries * width <= SENT_BYTES
+    few = rows * 80 + entries * 8 <= SENT_BYTES
     return texts.join(F.broadcast(lists) if few else lists, ["doc", "mark"], how)
 
 
@@ -360,10 +361,11 @@ class Family:
         asked, _ = common.cut(asked, "asked")
         crowds = asked.groupBy("h").count().where(F.col("count") > TOGETHER).select("h", F.lit(True).alias("many"))
         crowds, _ = common.cut(crowds, "crowds")
-        run = F.struct("h", "at", F.coalesce("many", F.lit(False)).alias("many"))
+        run = F.struct("h", F.col("at").bitwiseOR(F.when(F.col("many"), _MANY).otherwise(0)).alias("at"))
         lists = asked.join(crowds, "h", "left").groupBy("doc", _mark(F.col("at")).alias("mark")).agg(F.collect_list(run).alias("runs"))
-        lists, _ = common.cut(lists, "lists")
-        bytes_of = common.map_tasks(_met(_texts_of(docs), lists, 32, "inner").select("doc", "mark", "text", "runs"), _wanted, "key long, doc long, at long, run binary")
+        lists, _ = common.cut(lists.select("doc", "mark", F.col("runs.h").alias("anchors"), F.col("runs.at").alias("places")), "lists")
+        met = _met(_texts_of(docs), lists, "inner").select("doc", "mark", "text", "anchors", "places")
+        bytes_of = common.map_tasks(met, _wanted, "key long, doc long, at long, run binary")
         spread = bytes_of.repartition(self.buckets, F.when(F.col("run").isNull(), F.col("doc")).otherwise(F.col("key"))).sortWithinPartitions("key")
         parts = common.map_tasks(spread, _windows, "doc long, at long, f long")
         spans = self.spark.read.schema("doc long, at long, f long").parquet(self.same).unionByName(parts)
@@ -413,7 +415,7 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     added = ("starts", "stops", "kept_bytes")
     own = [c for c in docs.columns if c.lower() not in added]
     row = F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")
-    texts = _met(_texts_of(docs, row), found, 16, "left")
+    texts = _met(_texts_of(docs, row), found, "left")
     none = F.array().cast("array<long>")
     texts = texts.select("row", F.col("text").alias("text_of"), *(F.coalesce(c, none).alias(c) for c in ("starts", "stops")))
     kind = texts.schema["row"].dataType.simpleString()
