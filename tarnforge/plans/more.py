@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnforge.operators import ann, graph, rules, search, segmentation, stats, tracking
+from tarnforge.operators import ann, graph, rules, search, segmentation, stats, tracking, trigram
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
+from tarnforge.plans.catalogue import SQL
 from tarnforge.plans.queries import _F, _NAME, _file_events, _stamp, graph_tables
 from tarnforge.plans.scratch import fresh
 from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, STORE, history, interactions, store, table
@@ -49,6 +50,25 @@ def index_reopened(spark, d):
     return ann.search_exact(ann.opened(spark, path), asked, fresh(spark, "first"), 3, probes=4).withColumn("sim", F.round("sim", 5))
 
 
+def _text_index_query(name, words, scan, **options):
+    """The text query ``scan`` by the trigram index, of one half of the rows and then the other, opened again."""
+
+    @query(name, SQL[scan])
+    def run(spark, d):
+        rows, path = store(spark, d, vectors=False), fresh(spark, "text")
+        first = trigram.build(rows.where("doc_id % 2 = 0"), path, part_rows=500)
+        trigram.added(first, rows.where("doc_id % 2 = 1"), part_rows=500)
+        return trigram.matching(trigram.opened(spark, path), spark, words, **options).select("id")
+
+
+_text_index_query("text_index_and", "the And", "text_and", in_paths=False)
+_text_index_query("text_index_or", "token ÉA", "text_or", operator="or", in_paths=False)
+_text_index_query("text_index_prefix", "The", "text_prefix", prefix=True, in_paths=False)
+_text_index_query("text_index_suffix", "the.", "text_suffix", suffix=True, in_paths=False)
+_text_index_query("text_index_literal", "%%% _", "text_literal_marks", in_paths=False)
+_text_index_query("text_index_paths", "f1", "text_in_paths")
+
+
 @query("versions_by_total", f"with {HISTORY} select version, count(*) as total from versions group by 1 order by total desc, version limit 50")
 def versions_by_total(spark, d):
     return stats.versions_by_total(stores.replayed_versions(history(spark, d))).withColumn("version", F.col("version").cast("long"))
