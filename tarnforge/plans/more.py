@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnforge.functions import score
 from tarnforge.operators import ann, graph, rules, search, segmentation, stats, tracking, trigram
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
@@ -12,7 +13,7 @@ from tarnforge.plans.queries import _F, _NAME, _file_events, _stamp, graph_table
 from tarnforge.plans.scratch import fresh
 from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, STORE, history, interactions, store, table
 from tarnforge.sources import files, models, providers
-from tarnforge.streaming import events, indexing
+from tarnforge.streaming import events, indexing, settle
 
 _SIM = "list_cosine_similarity(cast(v.embedding as double[]), cast(q.embedding as double[]))"
 
@@ -198,6 +199,49 @@ def event_counters(spark, d):
     return spark.createDataFrame([tuple(int(found.get(n, 0)) for n in names)], ", ".join(f"`{n}` long" for n in names))
 
 
+#: Kinds of content by event type, and their parameters in the order of the twin's columns.
+_LEARNING = {"click": "code", "signup": "doc", "view": "config", "error": "other", "purchase": "other"}
+_LEARNERS = ", ".join(
+    f"('{event}', {p.multiplier}::double, {p.low}::double, {p.high}::double, {p.default}::double, {p.min_samples}, {p.rate}::double)"
+    for event, p in ((e, score.THRESHOLDS[k]) for e, k in _LEARNING.items())
+)
+
+
+@query(
+    "learnt_thresholds",
+    f"""with recursive rounds as (
+  select event_type as kind, (epoch_us(ts) // 21600000000) as round, count(*) as n, avg(value / (value + 50)) as mean, stddev_pop(value / (value + 50)) as std,
+    row_number() over (partition by event_type order by epoch_us(ts) // 21600000000) as k from events group by 1, 2
+), params(kind, m, low, high, unset, least_n, rate) as (values {_LEARNERS}), fold as (
+  select kind, 0::bigint as k, 0::bigint as round, 0::bigint as samples, m as multiplier, []::double[] as means, []::double[] as stds, []::double[] as past, 0.0::double as threshold from params
+  union all
+  select kind, k, round, samples, case when samples >= 20 and len(means) >= 10 and list_avg(means) <> 0 and list_avg(stds) <> 0 and threshold <> 0
+      and abs(mean - list_avg(means)) / list_avg(means) < 0.2 and abs(std - list_avg(stds)) / list_avg(stds) < 0.3
+    then least(greatest(multiplier * (1 + (list_avg(past) / threshold - 1) * rate), 0.2), 1.5) else multiplier end, means, stds, past, threshold
+  from (
+    select *, list_append(past_before, threshold)[-100:] as past from (
+      select f.kind, r.k, r.round, f.samples + r.n as samples, f.multiplier, list_append(f.means, r.mean)[-100:] as means, list_append(f.stds, r.std)[-100:] as stds, f.past as past_before,
+        r.mean, r.std, p.rate, case when r.n < greatest(1, p.least_n) then p.unset else least(greatest(r.mean + f.multiplier * r.std, p.low), p.high) end as threshold
+      from fold f join rounds r on r.kind = f.kind and r.k = f.k + 1 join params p on p.kind = f.kind
+    )
+  )
+) select kind, round, round(threshold, 6) as threshold, round(multiplier, 6) as multiplier from fold where k > 0""",
+)
+def learnt_thresholds(spark, d):
+    """Thresholds that a stream learns round by round for each kind, in two runs with one checkpoint."""
+    src, out, mark = (fresh(spark, x) for x in ("rounds", "learnt", "mark"))
+    x = F.col("value") / (F.col("value") + 50)
+    of = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000).cast("long")
+    found = table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), of.alias("round")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    middle = found.agg(F.percentile_approx("round", 0.5)).first()[0] or 0
+    params = {event: score.THRESHOLDS[kind] for event, kind in _LEARNING.items()} | {"other": score.THRESHOLDS["other"]}
+    for part in (F.col("round") <= middle, F.col("round") > middle):
+        found.where(part).coalesce(1).write.mode("append").parquet(src)
+        stream = settle.learnt(spark.readStream.schema(settle.ROUNDS).parquet(src), params)
+        stream.writeStream.option("checkpointLocation", mark).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(settle.LEARNT).parquet(out).withColumns({c: F.round(c, 6) for c in ("threshold", "multiplier")})
+
+
 @query(
     "event_ring",
     f"select event_id, ['add', 'change', 'unlink'][event_id % 3 + 1] as type, strftime(ts, {_F}) as timestamp from events where user_id % 9 <> 0 order by "

@@ -139,12 +139,41 @@ def every(spark: SparkSession, seconds: int, action: Callable[[int], None], chec
     return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
+KINDS = ("add", "change", "unlink")
+
+
+def to_counters(path: str, rule_list: list[str] = ()) -> Handler:
+    """A handler that keeps what each batch received, ignored and has of each type as a row of its own: a batch that runs again replaces it."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        out = ignored(F.col("path"), list(rule_list))
+        kinds = [F.count_if((F.col("type") == k) & ~out).alias(k) for k in KINDS]
+        found = batch.agg(F.count("*").alias("received"), F.count_if(out).alias("ignored"), *kinds)
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return handle
+
+
+def counters(spark: SparkSession, path: str) -> dict[str, int]:
+    """The sums of all rows that ``to_counters`` has left below ``path``, over restarts too."""
+    names = ("received", "ignored", *KINDS)
+    if not storage.exists(spark, path):
+        return {}
+    rows = spark.read.schema(", ".join(f"`{n}` long" for n in names)).parquet(path)
+    return rows.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first().asDict()
+
+
 class Watcher:
-    """A stream of file events and its handlers, with a beginning and an end."""
+    """A stream of file events and its handlers, with a beginning and an end.
+
+    ``source`` is a folder of event files or a streaming DataFrame of events, such as ``folder.watch`` gives. Counters are a table beside the checkpoint, so they
+    go on when the watcher is started again.
+    """
 
-    def __init__(self, spark: SparkSession, source: str, checkpoint: str, rule_list: list[str] = (), kind: str = "parquet"):
+    def __init__(self, spark: SparkSession, source: str | DataFrame, checkpoint: str, rule_list: list[str] = (), kind: str = "parquet"):
         self.handlers, self._query = Handlers(), None
         self._spark, self._source, self._checkpoint, self._rules, self._kind = spark, source, checkpoint, list(rule_list), kind
+        self._counters = f"{checkpoint}-counters"
 
     @property
     def active(self) -> bool:
@@ -153,8 +182,19 @@ class Watcher:
     def start(self, available_now: bool = True, trigger: str = "2 seconds") -> StreamingQuery:
         if self.active:
             raise RuntimeError("the watcher runs already")
-        stream = counted(events.read(self._spark, self._source, kind=self._kind), self._rules)
-        self._query = events.each_batch(stream, self.handlers, self._checkpoint, available_now, trigger)
+        stream = events.read(self._spark, self._source, kind=self._kind) if isinstance(self._source, str) else self._source
+        count = to_counters(self._counters, self._rules)
+
+        def each(batch: DataFrame, number: int) -> None:
+            batch = batch.persist()
+            try:
+                count(batch, number)
+                self.handlers(events.last_wins(events.accepted(batch, self._rules)), number)
+            finally:
+                batch.unpersist()
+
+        writer = stream.writeStream.option("checkpointLocation", self._checkpoint).foreachBatch(each)
+        self._query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start()
         return self._query
 
     def wait(self) -> None:
@@ -166,7 +206,7 @@ class Watcher:
             self._query.stop()
 
     def counts(self) -> dict[str, int]:
-        return counts(self._query) if self._query else {}
+        return counters(self._spark, self._counters)
 
     def status(self) -> dict:
         return {"active": self.active, "handlers": self.handlers.names(), "counts": self.counts()}

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnforge.api import Engine
+from tarnforge.functions import score
 from tarnforge.sources import storage
-from tarnforge.streaming import events, indexing
+from tarnforge.streaming import events, folder, indexing, settle
 
 T = datetime.datetime(2024, 1, 1)
 
@@ -125,3 +126,133 @@ def test_every(spark, tmp_path):
         time.sleep(0.2)
     q.stop()
     assert len(seen) >= 2
+
+
+def test_counters_over_restarts(spark, tmp_path):
+    src, mark = str(tmp_path / "src"), str(tmp_path / "mark")
+    for start in (0, 100):
+        spark.createDataFrame(rows(20, start), events.EVENTS).write.mode("append").parquet(src)
+        w = indexing.Watcher(spark, src, mark)
+        w.start()
+        w.wait()
+    assert w.counts() == {"received": 40, "ignored": 8, "add": 16, "change": 16, "unlink": 0}
+    indexing.to_counters(f"{mark}-counters", [])(spark.createDataFrame(rows(20), events.EVENTS), 0)  # a batch that runs again, under other rules
+    assert w.counts()["received"] == 40 and w.counts()["ignored"] < 8 + 8
+
+
+def wait_for(what, seconds=60):
+    until = time.monotonic() + seconds
+    while time.monotonic() < until:
+        if found := what():
+            return found
+        time.sleep(0.2)
+    raise AssertionError("it did not come")
+
+
+def test_settled_by_the_clock(spark, tmp_path):
+    """A path comes out once it has been left alone; the waits are kept when the stream stops."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+
+    def send(*batch):
+        spark.createDataFrame(batch, events.EVENTS).coalesce(1).write.mode("append").parquet(src)
+
+    def start(quiet):
+        with settle.timers(spark):
+            found = settle.settled(events.read(spark, src), quiet)
+            return found.writeStream.option("checkpointLocation", mark).format("parquet").option("path", out).trigger(processingTime="300 milliseconds").start()
+
+    def settled():
+        rows = spark.read.schema(events.EVENTS).parquet(out).collect() if storage.exists(spark, out) else []
+        return sorted((r.event_id, r.type, r.path) for r in rows)
+
+    send((1, "add", "a", T), (2, "change", "a", T + datetime.timedelta(seconds=1)), (3, "add", "b", T))
+    q = start(15)
+    came = lambda: sum(x["numInputRows"] for p in q.recentProgress for x in p["sources"] if "FileStreamSource" in x["description"])
+    wait_for(lambda: came() >= 3)
+    assert settled() == []
+    send((4, "unlink", "a", T + datetime.timedelta(seconds=2)))
+    wait_for(lambda: came() >= 4)
+    q.stop()
+    assert settled() == []
+    q = start(15)  # no event comes any more: what is left are the timers
+    wait_for(lambda: len(settled()) >= 2)
+    q.stop()
+    assert settled() == [(3, "add", "b"), (4, "unlink", "a")]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider")
+
+
+def test_folder_between_runs(spark, tmp_path):
+    """Each run gives what has changed since the one before, once."""
+    root, out, mark = tmp_path / "root", str(tmp_path / "out"), str(tmp_path / "mark")
+    (root / "sub").mkdir(parents=True)
+    (root / "old.txt").write_text("there before")
+    seen = set()
+
+    def run():
+        q = folder.watch(spark, str(root)).writeStream.option("checkpointLocation", mark).foreachBatch(events.to_table(out)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        found = {(r.event_id, r.type, r.path) for r in spark.read.parquet(out).collect()} if storage.exists(spark, out) else set()
+        new = sorted(found - seen)
+        seen.update(found)
+        return [(kind, path) for _, kind, path in new]
+
+    assert run() == []
+    (root / "a.txt").write_text("one")
+    (root / "sub" / "b.txt").write_text("two")
+    (root / "link").symlink_to(root / "a.txt")
+    assert run() == [("add", "a.txt"), ("add", "sub/b.txt")]
+    (root / "a.txt").write_text("other")
+    (root / "old.txt").unlink()
+    assert run() == [("change", "a.txt"), ("unlink", "old.txt")]
+    assert run() == []
+
+
+def test_folder_into_an_index(spark, tmp_path):
+    """A watched folder keeps a store up to date, with counters."""
+    root, mark = tmp_path / "root", str(tmp_path / "mark")
+    root.mkdir()
+    (root / "a.md").write_text("# a\n\nSome words of this file.\n")
+    engine = Engine(spark, str(tmp_path / "store"))
+
+    def run():
+        w = indexing.Watcher(spark, folder.watch(spark, str(root), existing=True), mark, ["*.log"])
+        w.handlers.add("index", indexing.to_index(engine, str(root), "p"))
+        w.start()
+        w.wait()
+        return w.counts(), {r.file_path for r in engine.store().collect()}
+
+    assert run() == ({"received": 1, "ignored": 0, "add": 1, "change": 0, "unlink": 0}, {"a.md"})
+    (root / "b.md").write_text("# b\n\nOther words of this one.\n")
+    (root / "c.log").write_text("left out by the rules")
+    (root / "a.md").unlink()
+    assert run() == ({"received": 4, "ignored": 1, "add": 2, "change": 0, "unlink": 1}, {"b.md"})
+
+
+def test_snapshots(tmp_path):
+    (tmp_path / "a").write_text("x")
+    one = folder.snapshot(str(tmp_path))
+    assert list(one) == ["a"] and folder.snapshot(str(tmp_path), settle=60) == {} and folder.snapshot(str(tmp_path), 60, one) == one
+    (tmp_path / "b").write_text("y")
+    two = folder.snapshot(str(tmp_path))
+    assert folder.differences(one, two, 7) == [("add", "b", two["b"][1])] and folder.differences(two, one, 7) == [("unlink", "b", 7)]
+    assert folder.differences(one, {"a": [2, 3]}, 7) == [("change", "a", 3)] and folder.snapshot(str(tmp_path / "none")) == {}
+
+
+def test_learnt_as_by_hand(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    found = [(kind, i, 3 + i % 9, 0.4 + 0.01 * (i % 5), 0.1 + 0.002 * (i % 3)) for kind in ("code", "odd") for i in range(130)]
+    for part in (found[:50] + found[130:140], found[50:130] + found[140:]):
+        spark.createDataFrame(part, settle.ROUNDS).repartition(3).write.mode("append").parquet(src)
+        q = settle.learnt(spark.readStream.schema(settle.ROUNDS).parquet(src)).writeStream.option("checkpointLocation", mark)
+        q.format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.kind, r["round"]): (r.threshold, r.multiplier) for r in spark.read.schema(settle.LEARNT).parquet(out).collect()}
+    for kind, params in (("code", "code"), ("odd", "other")):
+        at = score.AdaptiveThreshold(score.THRESHOLDS[params])
+        for k, i, n, mean, std in found:
+            if k == kind:
+                want = at.update(n, mean, std)
+                assert got[kind, i] == pytest.approx((want, at.stats()["multiplier"]))
+        assert at.multiplier is not None
