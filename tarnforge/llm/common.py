@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 _own: dict[str, str] = {}
+#: Folders that go when the driver's JVM ends.
+_going: set[str] = set()
 #: By thread, the scratch tables of each open ``scratch`` block.
 _open = threading.local()
 
@@ -30,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     """This application's folder in the one that driver and executors share.
 
     That is ``spark.checkpoint.dir``, else the context's checkpoint folder, else one in the warehouse. A folder of this
-    machine serves only a session that runs on this machine alone.
+    machine serves only a session that runs on this machine alone. What is in it lasts as long as the application, unless it is dropped before.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _own.get(sc.applicationId)
@@ -40,7 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
         else:
             root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
         _own[sc.applicationId] = root
-    return f"{root.rstrip('/')}/tarnforge-{sc.applicationId}"
+    folder = f"{root.rstrip('/')}/tarnforge-{sc.applicationId}"
+    if folder not in _going:
+        at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _going.add(folder)
+    return folder
 
 
 def fresh(spark: SparkSession, what: str) -> str:

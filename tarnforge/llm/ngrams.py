@@ -18,8 +18,8 @@ from tarnforge.llm import common
 
 BUCKETS = 1 << 16
 CHARS, PAIRS = 0, 1
-#: N-grams that wait to be counted at once.
-_WAITING = 2_000_000
+#: Bytes of n-grams that wait in a task to be counted, with what each array of them takes besides.
+_WAITING, _ARRAY = 4 << 20, 128
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,7 +83,7 @@ def counts(docs: DataFrame, kinds: tuple[int, ...] = (CHARS, PAIRS)) -> np.ndarr
             for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for kind in kinds:
                     for piece in cells(text, kind):
-                        waiting += len(piece)
+                        waiting += piece.nbytes + _ARRAY
                         for side in (0, 1) if target else (0,):
                             found[side, kind].append(piece)
                         if waiting > _WAITING:

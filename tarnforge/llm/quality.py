@@ -83,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         n = trusted.count()
         found = importance.kth_largest(trusted, n - int(TRUSTED_LOSS * n))
         common.release(docs.sparkSession, made)
+    sent.unpersist()  # the judging sends the ratios again, with the threshold
     return ratios, found[0] - MARGIN if found else -np.inf
 
 
