@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnforge.functions.text import clean_path
@@ -103,6 +103,73 @@ def materialised(view: DataFrame, path: str, name: str = "view") -> DataFrame:
     return view.sparkSession.read.schema(view.schema).parquet(tables.path(name))
 
 
+#: Columns whose distinct values by project the view counts.
+_DISTINCT = {"files": "file_path", "languages": "language", "extensions": "file_extension"}
+
+
+def signed(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """The change log of rows that go from ``old`` to ``new``, images of the same rows: ``sign`` -1 for what was, 1 for what is; unchanged ones are left out."""
+    names = [c for c in old.columns]
+    both = old.withColumn("sign", F.lit(-1)).unionByName(new.select(*names).withColumn("sign", F.lit(1)))
+    same = both.groupBy(key, F.xxhash64(*names).alias("_image")).agg(F.sum("sign").alias("sign"), F.any_value(F.struct(*names)).alias("_row"))
+    return same.where("sign <> 0").select("_row.*", "sign")
+
+
+class ProjectViewState:
+    """``project_view`` kept up to date from change logs alone, as two tables below ``path``.
+
+    ``sums`` has a project's counts and exact sums, ``members`` how many chunks have each value of the columns whose distinct values are counted. A
+    refresh reads a change log and these tables, which become a new version together; the store is not read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.tables = spark, storage.Versioned(spark, path)
+
+    def build(self, store: DataFrame) -> None:
+        rows = store.withColumn("sign", F.lit(1))
+        self._commit(self._sums(rows), self._members(rows))
+
+    def refresh(self, changes: DataFrame) -> None:
+        """Take in ``changes``: rows of the store with ``sign`` -1 or 1, as ``signed`` gives them."""
+        sums, members = (self.spark.read.parquet(self.tables.path(n)) for n in ("sums", "members"))
+        self._commit(sums.unionByName(self._sums(changes)), members.unionByName(self._members(changes)))
+
+    def view(self) -> DataFrame:
+        """The rows that ``project_view`` would compute from the store."""
+        sums, members = (self.spark.read.parquet(self.tables.path(n)) for n in ("sums", "members"))
+        counted = members.groupBy("project_path").agg(*(_count_if(F.col("kind") == k).alias(k) for k in _DISTINCT))
+        mean = lambda total, n: F.try_divide(F.col(total).cast("double"), F.col(n))
+        return sums.join(counted, "project_path", "left").select(
+            "project_path", "chunks", *(F.coalesce(k, F.lit(0)).alias(k) for k in _DISTINCT),
+            F.when(F.col("sized") > 0, F.col("bytes")).alias("bytes"),
+            mean("lines", "lined").alias("avg_lines"), mean("saved", "packed").alias("avg_compression"),
+        )
+
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
+        sign = F.col("sign").cast("long")
+        saved = F.when(F.col("is_compressed"), compression_percent()).cast("decimal(20,10)")
+        total = lambda x: F.coalesce(F.sum(sign * x), F.lit(0))
+        held = lambda x: F.coalesce(F.sum(F.when(x.isNotNull(), sign)), F.lit(0))
+        size, lines = F.col("file_size_bytes").cast("long"), F.col("lines_count").cast("long")
+        return rows.groupBy("project_path").agg(
+            F.sum(sign).alias("chunks"), total(size).alias("bytes"), held(size).alias("sized"), total(lines).alias("lines"), held(lines).alias("lined"),
+            total(saved).cast("decimal(38,10)").alias("saved"), held(saved).alias("packed"),
+        )
+
+    @staticmethod
+    def _members(rows: DataFrame) -> DataFrame:
+        values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in _DISTINCT.items()))).alias("m")
+        found = rows.select("project_path", "sign", values).where("m.value is not null")
+        return found.groupBy("project_path", "m.kind", "m.value").agg(F.sum("sign").cast("long").alias("n"))
+
+    def _commit(self, sums: DataFrame, members: DataFrame) -> None:
+        columns = [c for c in sums.columns if c != "project_path"]
+        sums = sums.groupBy("project_path").agg(*(F.sum(c).cast(sums.schema[c].dataType).alias(c) for c in columns)).where("chunks > 0")
+        members = members.groupBy("project_path", "kind", "value").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
+        self.tables.commit(sums=sums, members=members)
+
+
 def versions_by_total(history: DataFrame, limit: int = 50) -> DataFrame:
     """Versions with the number of chunks that have them, the commonest first."""
     return history.groupBy("version").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "version").limit(limit)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tarnforge.functions import detect, text
@@ -158,63 +158,95 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
 
 
+class StaleStore(RuntimeError):
+    """Another writer has changed the store since this one read it; nothing of this one's work is seen."""
+
+
 class BucketStore:
-    """A store below ``path`` as partitions by a hash of the id, and a manifest that says which folder holds each.
+    """A store below ``path`` as partitions by a hash of the id, and manifests that say which folder holds each; the newest counts.
 
-    An upsert rewrites only the buckets that it touches, into a folder of its own, and then puts a new manifest in place by one
-    rename. Until then, and after a failed run, readers see the old one; folders that no manifest names any more are deleted
-    by ``swept``. The manifest has the number of buckets, so they cannot be counted otherwise later.
+    An upsert rewrites only the buckets that it touches, into a folder of its own, and then puts the next manifest in place, by one
+    rename that fails if there is one already: of two writers at once one raises ``StaleStore``. Until then, and after a failed run, readers see the
+    manifest before; folders that it does not name are deleted by ``swept``. A reader scans the named folders' files at once, so its plan does not grow
+    with upserts. The manifest has the number of buckets, so they cannot be counted otherwise later.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, store: DataFrame, buckets: int = 256) -> None:
+        before = self._newest()
         folder = self._put(store, buckets)
-        self._name({"buckets": buckets, "schema": store.schema.json(), "folders": {str(b): folder for b in range(buckets)}})
+        self._name({"buckets": buckets, "schema": store.schema.json(), "folders": {str(b): folder for b in self._there(folder)}}, before)
 
     def upsert(self, new: DataFrame) -> int:
         """Returns how many buckets were rewritten. Bucket numbers are all that comes to the driver."""
-        now = self._manifest()
+        before = self._newest()
+        now = self._manifest(before)
         rows = _bucketed(new, now["buckets"])
         touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
         if touched:
             old = self._read(now, touched)
-            folder = self._put(upsert(old, rows.select(*old.columns)), now["buckets"])
-            self._name(now | {"folders": now["folders"] | {str(b): folder for b in touched}})
+            self._replace(now, before, touched, self._put(upsert(old, rows.select(*old.columns)), now["buckets"]))
         return len(touched)
 
+    def compacted(self, least: int = 128 << 20) -> int:
+        """Write the buckets of all folders of fewer than ``least`` bytes into one folder; returns how many folders they were in."""
+        before = self._newest()
+        now = self._manifest(before)
+        small = {f for f in set(now["folders"].values()) if storage.size(self.spark, f"{self.path}/{f}") < least}
+        if len(small) < 2:
+            return 0
+        moved = sorted(int(b) for b, f in now["folders"].items() if f in small)
+        self._replace(now, before, moved, self._put(self._read(now, moved), now["buckets"]))
+        return len(small)
+
     def read(self) -> DataFrame:
-        return self._read(self._manifest(), None)
+        return self._read(self._manifest(self._newest()), None)
 
     def swept(self) -> int:
-        """Delete what the manifest does not name; for when no reader of an older one is left."""
-        held = set(self._manifest()["folders"].values())
-        gone = [n for n in storage.names(self.spark, self.path) if n.startswith("part-") and n not in held]
-        for n in gone:
+        """Delete the folders that the newest manifest does not name, and older manifests; for when no reader of one is left."""
+        newest = self._newest()
+        held = set(self._manifest(newest)["folders"].values())
+        there = storage.names(self.spark, self.path)
+        gone = [n for n in there if n.startswith("part=") and n not in held]
+        for n in [*gone, *(n for n in there if n.startswith("manifest-") and n < _manifest_name(newest))]:
             storage.delete(self.spark, f"{self.path}/{n}")
         return len(gone)
 
     def _put(self, store: DataFrame, buckets: int) -> str:
-        folder = f"part-{uuid.uuid4().hex}"
+        folder = f"part={uuid.uuid4().hex}"
         _bucketed(store, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return folder
 
+    def _there(self, folder: str) -> list[int]:
+        """Buckets that have rows in a folder."""
+        return [int(n.partition("=")[2]) for n in storage.names(self.spark, f"{self.path}/{folder}") if n.startswith("bucket=")]
+
+    def _replace(self, now: dict, before: int, buckets: list[int], folder: str) -> None:
+        kept = {b: f for b, f in now["folders"].items() if int(b) not in buckets}
+        self._name(now | {"folders": kept | {str(b): folder for b in self._there(folder)}}, before)
+
     def _read(self, manifest: dict, buckets: list[int] | None) -> DataFrame:
         schema = StructType.fromJson(json.loads(manifest["schema"]))
-        by_folder: dict[str, list[int]] = {}
-        for b, folder in manifest["folders"].items():
-            if buckets is None or int(b) in buckets:
-                by_folder.setdefault(folder, []).append(int(b))
-        whole = StructType([*schema.fields, StructField("bucket", IntegerType())])
-        out = self.spark.createDataFrame([], schema)
-        for folder, own in sorted(by_folder.items()):
-            part = self.spark.read.schema(whole).parquet(f"{self.path}/{folder}")
-            out = out.unionByName(part.where(F.col("bucket").isin(own)).drop("bucket"))
-        return out
-
-    def _manifest(self) -> dict:
-        return json.loads(storage.read(self.spark, f"{self.path}/manifest.json"))
-
-    def _name(self, manifest: dict) -> None:
-        storage.replace(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))
+        wanted = None if buckets is None else set(buckets)
+        paths = [f"{self.path}/{f}/bucket={b}" for b, f in sorted(manifest["folders"].items()) if wanted is None or int(b) in wanted]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        whole = StructType([*schema.fields, StructField("part", StringType()), StructField("bucket", IntegerType())])
+        return self.spark.read.schema(whole).option("basePath", self.path).parquet(*paths).drop("part", "bucket")
+
+    def _newest(self) -> int:
+        """The number of the newest manifest; 0 if there is none."""
+        return max((int(n[9:-5]) for n in storage.names(self.spark, self.path) if n.startswith("manifest-") and n.endswith(".json")), default=0)
+
+    def _manifest(self, number: int) -> dict:
+        return json.loads(storage.read(self.spark, f"{self.path}/{_manifest_name(number)}"))
+
+    def _name(self, manifest: dict, before: int) -> None:
+        if not storage.put_new(self.spark, f"{self.path}/{_manifest_name(before + 1)}", json.dumps(manifest)):
+            raise StaleStore(f"{self.path} has been written since it was read")
+
+
+def _manifest_name(number: int) -> str:
+    return f"manifest-{number:012d}.json"

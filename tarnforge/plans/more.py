@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnforge.functions import score
-from tarnforge.operators import ann, graph, rules, search, segmentation, stats, tracking, trigram
+from tarnforge.operators import analysis, ann, graph, rules, search, segmentation, stats, tracking, trigram
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
 from tarnforge.plans.catalogue import SQL
@@ -51,6 +51,34 @@ def index_reopened(spark, d):
     return ann.search_exact(ann.opened(spark, path), asked, fresh(spark, "first"), 3, probes=4).withColumn("sim", F.round("sim", 5))
 
 
+@query(
+    "chunk_references_contained",
+    "with c as (select doc_id as id, source as file, lower(text) as code, lower(regexp_extract(text, '[A-Za-z]{7,}')) as name from documents) select distinct a.id, b.id as refers_to "
+    "from c a join c b on a.file = b.file and b.name <> '' and a.id <> b.id and contains(a.code, b.name)",
+)
+def chunk_references_contained(spark, d):
+    """Documents of a source whose text has the name of another anywhere: its first long word."""
+    c = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("id"), F.regexp_extract("text", "[A-Za-z]{7,}", 0).alias("name"), F.col("text").alias("code"))
+    return analysis.contained(c)
+
+
+@query("view_refresh_by_changes", SQL["project_stats_mv"])
+def view_refresh_by_changes(spark, d):
+    """The projects' view after an upsert and a deletion, from the change log: a seventh of the rows is new, a fifth was other, and some go."""
+    now = store(spark, d, vectors=False)
+    other = {"language": F.lit("other"), "file_size_bytes": F.lit(1), "lines_count": F.col("lines_count") + 1, "is_compressed": F.lit(False)}
+    known = now.where("doc_id % 7 > 0")
+    before = known.select(*(F.when(F.col("doc_id") % 5 == 0, other[c]).otherwise(F.col(c)).cast(known.schema[c].dataType).alias(c) if c in other else F.col(c) for c in known.columns))
+    gone = now.where("doc_id % 11 = 0").withColumn("id", F.concat("id", F.lit("-gone"))).withColumn("file_path", F.concat("file_path", F.lit("-gone")))
+    state = stats.ProjectViewState(spark, fresh(spark, "view"))
+    state.build(before.unionByName(gone))
+    touched = now.where("doc_id % 7 = 0 or doc_id % 5 = 0")
+    state.refresh(stats.signed(before.join(touched.select("id"), "id", "left_semi"), touched))
+    state.refresh(gone.withColumn("sign", F.lit(-1)))
+    out = state.view()
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_lines", "avg_compression")})
+
+
 def _text_index_query(name, words, scan, **options):
     """The text query ``scan`` by the trigram index, of one half of the rows and then the other, opened again."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,8 +44,31 @@ def read(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    at, files = _at(spark, path)
+    return files.getContentSummary(at).getLength()
+
+
 def replace(spark: SparkSession, path: str, text: str) -> None:
     """Put a small file in place of the one there, whole: written beside it, then renamed over it."""
+    _put(spark, path, text, "OVERWRITE")
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file where there is none, whole; False, and nothing is done, if one is there."""
+    if exists(spark, path):
+        return False
+    try:
+        _put(spark, path, text, "NONE")
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def _put(spark: SparkSession, path: str, text: str, how: str) -> None:
     jvm = spark.sparkContext._jvm
     at, files = _at(spark, path)
     beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
@@ -55,8 +79,12 @@ def replace(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(files.makeQualified(beside), files.makeQualified(at), options)
+    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, how)
+    try:
+        context.rename(files.makeQualified(beside), files.makeQualified(at), options)
+    finally:
+        if how != "OVERWRITE":
+            files.delete(beside, False)
 
 
 class Versioned:

@@ -6,7 +6,7 @@ from base64 import b64encode
 import pytest
 from pyspark.sql import functions as F
 
-from tarnforge.operators import chunking, compression, graph, metrics, search, stats, store
+from tarnforge.operators import analysis, chunking, compression, graph, metrics, search, stats, store
 from tarnforge.sources import files, providers
 
 
@@ -216,12 +216,50 @@ def test_failed_upsert_leaves_the_store(spark, tmp_path, monkeypatch):
     def fails(*_):
         raise OSError("no room")
 
-    monkeypatch.setattr(store.storage, "replace", fails)
+    monkeypatch.setattr(store.storage, "put_new", fails)
     with pytest.raises(OSError):
         kept.upsert(spark.createDataFrame([("a", "f", "y", 1)], schema))
     assert [r.content for r in kept.read().collect()] == ["x"]
 
 
+def test_plan_of_a_bucketed_store(spark, tmp_path):
+    """Readers make one scan after any number of upserts; small folders are put together."""
+    schema = "id string, file_path string, content string, version int"
+    kept = store.BucketStore(spark, str(tmp_path / "store"))
+    kept.write(spark.createDataFrame([(f"i{i}", "f", "x", 1) for i in range(40)], schema), 8)
+    size = lambda: len(kept.read()._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    first = size()
+    for i in range(5):
+        kept.upsert(spark.createDataFrame([(f"i{i}", "f", f"new {i}", 1)], schema))
+    want = sorted(map(tuple, kept.read().collect()))
+    assert size() == first and sum(r[2].startswith("new") for r in want) == 5
+    before = kept.read()
+    assert kept.compacted() > 1 and kept.compacted() == 0
+    assert sorted(map(tuple, kept.read().collect())) == want == sorted(map(tuple, before.collect()))
+    kept.swept()
+    assert sorted(map(tuple, kept.read().collect())) == want and len(list((tmp_path / "store").glob("part=*"))) == 1
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """The one that comes second fails by name and leaves what the first has written."""
+    schema = "id string, file_path string, content string, version int"
+    row = lambda x: spark.createDataFrame([("a", "f", x, 1)], schema)
+    kept, other = (store.BucketStore(spark, str(tmp_path / "store")) for _ in range(2))
+    kept.write(row("x"), 4)
+    put = store.BucketStore._put
+
+    def late(self, rows, buckets):
+        folder = put(self, rows, buckets)
+        if self is kept:
+            other.upsert(row("first"))
+        return folder
+
+    monkeypatch.setattr(store.BucketStore, "_put", late)
+    with pytest.raises(store.StaleStore):
+        kept.upsert(row("second"))
+    assert [r.content for r in kept.read().collect()] == ["first"]
+
+
 def test_upsert_with_repeats_and_nulls(spark):
     schema = "id string, content string, version int, updated_at timestamp"
     t = [datetime.datetime(2024, 1, i) for i in (1, 2, 3)]
@@ -276,3 +314,15 @@ def test_pairwise_covers_all_pairs(spark):
     d = "/root/testdata/sf0.01"
     n = {x.label: x["count"] for x in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
     assert {x.label: x.pairs for x in entry.queries()["pairwise_stats"](spark, d).collect()} == {k: v * (v - 1) // 2 for k, v in n.items()}
+
+
+def test_contained_names(spark, monkeypatch):
+    """Names inside of words, whatever the case, with a file's chunks in several parts."""
+    monkeypatch.setattr(analysis, "TOGETHER", 2)
+    names = ["alpha", "pha", "Beta", "", None, "betamax", "é", "alpha"]
+    codes = ["ALPHABET betaMAX", "beta", "", None, "xÉx pha", "alph", "nothing", "Alpha é"]
+    rows = [(f, i + 10 * (f == "g"), n, c) for f in ("f", "g") for i, (n, c) in enumerate(zip(names, codes, strict=True))]
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and b[2] and b[2].lower() in (a[3] or "").lower())
+    df = spark.createDataFrame(rows, "file string, id long, name string, code string")
+    assert sorted(map(tuple, analysis.contained(df).collect())) == want and len(want) > 10
+    assert analysis.contained(df.limit(0)).collect() == []
