@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnforge.functions import score
-from tarnforge.operators import analysis, ann, graph, rules, search, segmentation, stats, tracking, trigram
+from tarnforge.functions import score, sql
+from tarnforge.operators import analysis, ann, graph, rules, search, segmentation, stats, table_functions, tracking, trigram
 from tarnforge.operators import store as stores
 from tarnforge.plans.catalogue import query
 from tarnforge.plans.catalogue import SQL
 from tarnforge.plans.queries import _F, _NAME, _file_events, _stamp, graph_tables
 from tarnforge.plans.scratch import fresh
-from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, STORE, history, interactions, store, table
+from tarnforge.plans.tables import GRAPH, HISTORY, INTERACTIONS, STORE, history, interactions, query_vector, store, table
 from tarnforge.sources import files, models, providers
 from tarnforge.streaming import events, indexing, settle
 
@@ -79,6 +79,83 @@ def view_refresh_by_changes(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("avg_lines", "avg_compression")})
 
 
+@query("sql_word_chunks", SQL["word_chunks"])
+def sql_word_chunks(spark, d):
+    """Word chunks by a table function, called from SQL with a table."""
+    table_functions.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("tf_documents")
+    return spark.sql(
+        "select id as doc_id, cast(total_chunks as bigint) as total_chunks, cast(chunk_index as bigint) as chunk_index, md5(chunk) as chunk "
+        "from tf_word_chunks(table(select doc_id as id, text as content from tf_documents), 100, 20)"
+    )
+
+
+@query(
+    "sql_symbols",
+    f"with n as (select doc_id, {_NAME} as name, doc_id % 3 + 1 as m from documents), b as (select *, case when doc_id % 2 = 0 then 2 else 6 end as c, "
+    "case when doc_id % 2 = 0 then 5 + 2 * m else 2 end as g from n) select doc_id as id, 'class' as kind, 'A' || name as name, c as first_line, c + 2 * m as last_line "
+    "from b union all select doc_id, 'function', 'g' || name, g, g + 1 from b union all select doc_id, 'method', 'f' || k, c + 1 + 2 * k, c + 2 + 2 * k from "
+    "(select *, unnest(range(m)) as k from b)",
+)
+def sql_symbols(spark, d):
+    """Declarations by a table function, in sources that differ by document: one to three methods, the class before or after the function."""
+    table_functions.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("tf_documents")
+    found = spark.sql(
+        r"""with n as (select doc_id, text, regexp_replace(lower(regexp_extract(text, '^([^ \\t\\n]*)', 1)), '[^a-z]', '') as name from tf_documents), parts as (
+          select *, concat('def g', name, '():\n    pass\n\n\n') as f, concat('class A', name, ':\n', array_join(transform(sequence(0, cast(doc_id % 3 as int)),
+            k -> concat('    def f', k, '(self):\n        return ', k)), '\n'), '\n\n\n') as c from n
+        ), sources as (
+          select doc_id as id, concat('import os\n', if(doc_id % 2 = 0, concat(c, f), concat(f, c)), '# ', replace(text, '\n', '\n# ')) as content from parts
+        ) select id, kind, name, cast(first_line as bigint) as first_line, cast(last_line as bigint) as last_line from tf_symbols(table(select id, content from sources))"""
+    )
+    return found
+
+
+@query("sql_search", SQL["semantic_threshold"])
+def sql_search(spark, d):
+    """Search by threshold as a table function."""
+    sql.register_search(spark, store(spark, d))
+    return spark.sql("select id, round(similarity, 6) as sim from tf_search(:query, 0.2D)", args={"query": F.array(*(F.lit(float(x)) for x in query_vector(spark, d)))})
+
+
+@query("sql_history", SQL["history_versions"])
+def sql_history(spark, d):
+    """Each chunk's newest three versions: the table function, called for every chunk by a lateral join."""
+    versions = stores.replayed_versions(history(spark, d))
+    sql.register_history(spark, versions)
+    return spark.sql(
+        "select c.chunk_id, cast(h.version as bigint) as version, h.change_type from (select distinct chunk_id from tf_history) c, lateral tf_chunk_history(c.chunk_id, 3) h"
+    )
+
+
+@query(
+    "sql_compare",
+    f"select * from ({SQL['compare_versions']}) where field <> 'changed_at'",
+)
+def sql_compare(spark, d):
+    """Each chunk's first two versions, field by field, by a lateral call."""
+    sql.register_history(spark, stores.replayed_versions(history(spark, d)))
+    return spark.sql("select c.chunk_id, r.* from (select distinct chunk_id from tf_history) c, lateral tf_compare_versions(c.chunk_id, 1, 2) r")
+
+
+@query(
+    "sql_more_functions",
+    "with p as (select doc_id, source, text, 'src/f' || doc_id || '.ts#chunk2' as path from documents) select doc_id, 'src/f' || doc_id || '.ts' as clean, 'ts' as extension, "
+    "case when length(text) = 0 then 100.0 else round(100.0 * (length(source) - length(text)) / length(text), 6) end as change_percent, "
+    "length(source) - length(text) as length_change, 5.0::double as dot, 5.0::double as norm, 0.6::double as cosine from p",
+)
+def sql_more_functions(spark, d):
+    """The functions that ``sql_functions`` does not call."""
+    sql.register(spark)
+    table(spark, d, "documents").selectExpr("*", "'src/f' || doc_id || '.ts#chunk2' as path").createOrReplaceTempView("tf_paths")
+    return spark.sql(
+        "select doc_id, tf_clean_path(path) as clean, tf_extension(path) as extension, round(tf_change_percent(text, source), 6) as change_percent, "
+        "tf_content_diff(text, source).length_change as length_change, tf_dot(array(1D, 2D), array(1D, 2D)) as dot, tf_norm(array(3D, 4D)) as norm, "
+        "round(tf_cosine(array(3D, 4D), array(5D, 0D)), 6) as cosine from tf_paths"
+    )
+
+
 def _text_index_query(name, words, scan, **options):
     """The text query ``scan`` by the trigram index, of one half of the rows and then the other, opened again."""
 
