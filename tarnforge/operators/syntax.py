@@ -1,7 +1,7 @@
 """A light syntax tree of JavaScript, TypeScript and Python sources, and what their declarations say of themselves.
 
-No grammar is needed: strings and comments are blanked out, brackets are paired once, and declarations, blocks and
-imports are found where a line starts. A Python unit ends where its indentation does, any other where its braces do. All is
+No grammar is needed: what is not code is blanked out, by a scanner with a stack where there are templates, regular expressions and markup; brackets are paired
+once, and declarations, blocks and imports are found where a line starts. A Python unit ends where its indentation does, any other where its braces do. All is
 linear in the source but for sorting what was found.
 """
 
@@ -12,23 +12,28 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from tarnforge.operators import scan
+
 PYTHON = "python"
 
-_BRACED_TEXT = re.compile(r"""(?P<note>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)|"(?:\\.|[^"\\\n])*+"?|'(?:\\.|[^'\\\n])*+'?|`(?:\\.|[^`\\])*+`?""", re.S)
 _PYTHON_TEXT = re.compile(r"""(?P<note>\#[^\n]*+)|\"{3}(?:\\.|[^"\\]|"(?!""))*+(?:\"{3})?|'{3}(?:\\.|[^'\\]|'(?!''))*+(?:'{3})?|"(?:\\.|[^"\\\n])*+"?|'(?:\\.|[^'\\\n])*+'?""", re.S)
 _KEPT = re.compile(r"[^\n]")
+_BLANK, _NAME = re.compile(r"\s*+"), re.compile(r"[\w$.]*+")
 
 _MODIFIERS = r"(?:(?:public|private|protected|static|abstract|async|readonly|override|declare|get|set)[ \t]++)*+"
+#: Type parameters, three deep.
+_GENERICS = r"(?:<(?:[^<>\n]|=>|<(?:[^<>\n]|=>|<(?:[^<>\n]|=>)*+>)*+>)*+>)?"
 _BRACED = re.compile(
     rf"^[ \t]*+(?P<export>export[ \t]++(?:default[ \t]++)?)?(?P<modifiers>{_MODIFIERS})(?:"
     r"(?P<word>function|class|interface|enum|type|namespace)\b[ \t]*+\*?[ \t]*+(?P<name>[\w$]+)"
-    r"|(?:const|let|var)[ \t]++(?P<arrow>[\w$]++)[^=\n]*+=[ \t]*+(?:async[ \t]*+)?(?=function\b|\(|[\w$]++[ \t]*+=>)"
+    rf"|(?:const|let|var)[ \t]++(?P<arrow>[\w$]++)(?:[^=\n]|=>)*+=(?!>)[ \t]*+(?:async[ \t]*+)?(?=function\b|{_GENERICS}\(|[\w$]++[ \t]*+=>)"
     r"|(?P<import>import\b)"
     r"|(?P<block>if|for|while|try|switch|do)\b"
-    r"|(?P<method>[#\w$]++)[ \t]*+(?:<[^>\n]*+>)?\("
+    rf"|(?P<method>[#\w$]++)\??[ \t]*+{_GENERICS}\("
     r")",
     re.M,
 )
+_PARAMETERS, _ARROW = re.compile(rf"{_GENERICS}\("), re.compile(r"\s*+(?::[^;\n]*?)?=>")
 _EXPORT = re.compile(r"^[ \t]*+export\b", re.M)
 _INDENTED = re.compile(
     r"^(?P<indent>[ \t]*+)(?:(?P<async>async[ \t]++)?(?P<word>def|class)[ \t]++(?P<name>\w+)|(?P<import>import|from)\b|(?P<block>if|for|while|try|with|match)\b)",
@@ -61,6 +66,8 @@ class Tree:
     def __init__(self, text: str, language: str | None = None):
         self.text, self.language = text, language or guessed(text)
         self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
+        solid = [m.span() for m in re.finditer(r"\S+", text)]
+        self._solid = [a for a, _ in solid], [b for _, b in solid]
         notes: list[tuple[int, int]] = []
 
         def blank(m: re.Match) -> str:
@@ -69,7 +76,10 @@ class Tree:
             return _KEPT.sub(" ", m[0])
 
         #: The source without strings and comments, every character in its place.
-        self.code = (_PYTHON_TEXT if self.language == PYTHON else _BRACED_TEXT).sub(blank, text)
+        if self.language == PYTHON:
+            self.code = _PYTHON_TEXT.sub(blank, text)
+        else:
+            self.code, notes = scan.blanked(text)
         self.pairs, self.inner = _paired(self.code)
         self.notes = notes
         found = self._indented() if self.language == PYTHON else self._braced()
@@ -82,7 +92,8 @@ class Tree:
         return self.text[node.start : node.end]
 
     def node(self, kind: str, name: str, start: int, end: int, **more) -> Node:
-        end = start + len(self.text[start:end].rstrip())
+        i = bisect.bisect_left(self._solid[0], end) - 1
+        end = max(start, min(end, self._solid[1][i])) if i >= 0 else start
         return Node(kind, name, start, end, self.line_of(start), self.line_of(max(start, end - 1)), **more)
 
     def _line_end(self, at: int) -> int:
@@ -113,6 +124,32 @@ class Tree:
             at += 1
         return n
 
+    def _body(self, at: int) -> int | None:
+        """The brace that opens the body of a method whose parameters end at ``at``, past its type; None if it has none."""
+        m = _BLANK.match(self.code, at)
+        at = m.end()
+        if self.code[at : at + 1] == "{":
+            return at
+        if self.code[at : at + 1] != ":":
+            return None
+        at, operand = at + 1, True  # a part of the type is due
+        while at < len(self.code):
+            at = _BLANK.match(self.code, at).end()
+            c = self.code[at : at + 1]
+            if c == "{" and not operand:
+                return at
+            if c and c in "{[(":
+                at, operand = self.pairs.get(at, len(self.code)) + 1, False
+            elif c in ("", ";", "}", ")", "="):
+                if self.code[at : at + 2] != "=>":
+                    return None
+                at, operand = at + 2, True
+            elif c in "|&?:<,":
+                at, operand = at + 1, True
+            else:
+                at, operand = max(at + 1, _NAME.match(self.code, at).end()), False
+        return None
+
     def _braced(self) -> Iterator[Node]:
         done = 0
         found = list(_BRACED.finditer(self.code))
@@ -133,10 +170,13 @@ class Tree:
                 close = self.pairs.get(m.end() - 1)
                 if close is None or m["method"] in _NO_METHODS or m.start() < done:
                     continue
-                after = re.compile(r"\s*+(?::[^{;\n]*+)?\{").match(self.code, close + 1)
-                if after and self.inner.get(m.end() - 1) is not None:
-                    yield self.node("method", m["method"], start, self.pairs.get(after.end() - 1, len(self.code) - 1) + 1, word="method", **more)
+                body = self._body(close + 1)
+                if body is not None and self.inner.get(m.end() - 1) is not None:
+                    yield self.node("method", m["method"], start, self.pairs.get(body, len(self.code) - 1) + 1, word="method", **more)
             elif m["arrow"]:
+                opened = _PARAMETERS.match(self.code, m.end())
+                if opened and not _ARROW.match(self.code, self.pairs.get(opened.end() - 1, len(self.code)) + 1):
+                    continue  # a value in parentheses
                 done = m.end()
                 yield self.node("function", m["arrow"], start, self._statement_end(m.end()), word="arrow", **more)
             else:
@@ -208,11 +248,12 @@ class Tree:
             yield self.node("comment", "comment", *run)
 
     def _nested(self, found: list[Node]) -> list[Node]:
-        out, stack = [], []
+        out = []
+        stack: list[tuple[Node, Node | None]] = []  # each with the innermost one around that is no export, itself included
         for n in sorted(found, key=lambda n: (n.start, n.kind != "export", -n.end)):
-            while stack and stack[-1].end < n.end:
+            while stack and stack[-1][0].end < n.end:
                 stack.pop()
-            n.parent = next((p for p in reversed(stack) if p.kind != "export"), None)
+            n.parent = stack[-1][1] if stack else None
             if n.parent:
                 n.parent.children.append(n)
                 if n.kind == "function" and n.word != "arrow" and n.parent.kind == "class":
@@ -222,7 +263,7 @@ class Tree:
                     n.parent.children.pop()
                 continue
             out.append(n)
-            stack.append(n)
+            stack.append((n, n.parent if n.kind == "export" else n))
         return out
 
 
