@@ -149,6 +149,15 @@ def quality(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), share(F.col("granularity") == "atomic").alias("atomic_rate"), share(F.length(F.coalesce("documentation", F.lit(""))) > 0).alias("documented_rate"), share(F.col("relations") > 0).alias("related_rate"))
 
 
+def granularity_stats(chunks: DataFrame) -> DataFrame:
+    """Chunks by kind and granularity: their number, mean lines and complexity, and how many are documented; of ``rules.chunk_rows``."""
+    lines = (F.col("last_line") - F.col("first_line") + 1).cast("double")
+    documented = F.count_if(F.length(F.coalesce("documentation", F.lit(""))) > 0)
+    return chunks.groupBy("kind", "granularity").agg(
+        F.count("*").alias("chunks"), F.avg(lines).alias("avg_lines"), F.avg(F.col("complexity").cast("double")).alias("avg_complexity"), documented.alias("documented")
+    )
+
+
 def coherence(chunks: DataFrame, near: int = 50, far: int = 200) -> DataFrame:
     """``file, coherence``: share of a file's pairs of chunks that begin close together, further ones counting half.
 

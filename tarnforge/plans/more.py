@@ -100,16 +100,34 @@ def sql_word_chunks(spark, d):
 def sql_symbols(spark, d):
     """Declarations by a table function, in sources that differ by document: one to three methods, the class before or after the function."""
     table_functions.register(spark)
+    _varied_sources(spark, d).createOrReplaceTempView("tf_sources")
+    return spark.sql(
+        "select id, kind, name, cast(first_line as bigint) as first_line, cast(last_line as bigint) as last_line from tf_symbols(table(select id, content from tf_sources))"
+    )
+
+
+def _varied_sources(spark, d):
+    """``id, content``: a Python source of each document, with one to three methods, its class before or after a function, and its text as a comment."""
     table(spark, d, "documents").createOrReplaceTempView("tf_documents")
-    found = spark.sql(
+    return spark.sql(
         r"""with n as (select doc_id, text, regexp_replace(lower(regexp_extract(text, '^([^ \\t\\n]*)', 1)), '[^a-z]', '') as name from tf_documents), parts as (
           select *, concat('def g', name, '():\n    pass\n\n\n') as f, concat('class A', name, ':\n', array_join(transform(sequence(0, cast(doc_id % 3 as int)),
             k -> concat('    def f', k, '(self):\n        return ', k)), '\n'), '\n\n\n') as c from n
-        ), sources as (
-          select doc_id as id, concat('import os\n', if(doc_id % 2 = 0, concat(c, f), concat(f, c)), '# ', replace(text, '\n', '\n# ')) as content from parts
-        ) select id, kind, name, cast(first_line as bigint) as first_line, cast(last_line as bigint) as last_line from tf_symbols(table(select id, content from sources))"""
+        ) select doc_id as id, concat('import os\n', if(doc_id % 2 = 0, concat(c, f), concat(f, c)), '# ', replace(text, '\n', '\n# ')) as content from parts"""
     )
-    return found
+
+
+@query(
+    "chunk_granularity",
+    "with d as (select doc_id % 3 + 1 as m from documents), k as (select 'import' as kind, 1 as chunks, 1 as lines from d union all select 'class', 1, 2 * m + 1 from d "
+    "union all select 'function', 1, 2 from d union all select 'method', m, 2 from d) select kind, case kind when 'import' then 'logical' else 'atomic' end as granularity, sum(chunks)::bigint as chunks, "
+    "round(sum(chunks * lines)::double / sum(chunks), 6) as avg_lines from k group by kind",
+)
+def chunk_granularity(spark, d):
+    """Declarations' chunks by kind and granularity, of the sources that differ by document."""
+    docs = _varied_sources(spark, d).select(F.col("id").alias("path"), F.lit("python").alias("language"), "content")
+    found = analysis.granularity_stats(rules.chunk_rows(docs).where("kind <> 'comment'"))
+    return found.select("kind", "granularity", "chunks", F.round("avg_lines", 6).alias("avg_lines"))
 
 
 @query("sql_search", SQL["semantic_threshold"])

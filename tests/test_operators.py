@@ -326,3 +326,24 @@ def test_contained_names(spark, monkeypatch):
     df = spark.createDataFrame(rows, "file string, id long, name string, code string")
     assert sorted(map(tuple, analysis.contained(df).collect())) == want and len(want) > 10
     assert analysis.contained(df.limit(0)).collect() == []
+
+
+def test_view_state(spark, tmp_path):
+    """A refresh reads the log and the state alone, and gives what the store would."""
+    schema = "id string, project_path string, file_path string, language string, file_extension string, file_size_bytes int, lines_count int, is_compressed boolean, original_size_bytes int"
+    row = lambda i, p, **k: tuple(({"id": i, "project_path": p, "file_path": f"f{i}", "language": "x", "file_extension": "ts", "file_size_bytes": 7, "lines_count": 3, "is_compressed": True, "original_size_bytes": 21} | k).values())
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    old = [row("1", "p"), row("2", "p", language=None), row("3", "p", is_compressed=False), row("4", "q"), row("5", None), row("6", "z", file_size_bytes=None, lines_count=None, original_size_bytes=0)]
+    new = [row("1", "p", language="y", file_size_bytes=9), row("2", "q"), row("3", "p", is_compressed=False), row("5", None), row("6", "z", file_size_bytes=None, lines_count=None, original_size_bytes=0), row("7", "n")]
+    state = stats.ProjectViewState(spark, str(tmp_path / "view"))
+    state.build(frame(old))
+    same = lambda store: sorted(map(str, state.view().collect())) == sorted(map(str, stats.project_view(store).select(state.view().columns).collect()))
+    assert same(frame(old))
+    log = stats.signed(frame(old), frame(new))
+    assert sorted((r.id, r.sign) for r in log.collect()) == [("1", -1), ("1", 1), ("2", -1), ("2", 1), ("4", -1), ("7", 1)]
+    state.refresh(log)
+    assert same(frame(new))
+    state.refresh(log.limit(0))
+    assert same(frame(new))
+    state.refresh(frame(new).withColumn("sign", F.lit(-1)))
+    assert state.view().collect() == []
