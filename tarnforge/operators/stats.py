@@ -139,7 +139,8 @@ class ProjectViewState:
         sums, members = (self.spark.read.parquet(self.tables.path(n)) for n in ("sums", "members"))
         counted = members.groupBy("project_path").agg(*(_count_if(F.col("kind") == k).alias(k) for k in _DISTINCT))
         mean = lambda total, n: F.try_divide(F.col(total).cast("double"), F.col(n))
-        return sums.join(counted, "project_path", "left").select(
+        counted = counted.withColumnRenamed("project_path", "_of")
+        return sums.join(counted, F.col("project_path").eqNullSafe(F.col("_of")), "left").select(
             "project_path", "chunks", *(F.coalesce(k, F.lit(0)).alias(k) for k in _DISTINCT),
             F.when(F.col("sized") > 0, F.col("bytes")).alias("bytes"),
             mean("lines", "lined").alias("avg_lines"), mean("saved", "packed").alias("avg_compression"),
@@ -148,13 +149,14 @@ class ProjectViewState:
     @staticmethod
     def _sums(rows: DataFrame) -> DataFrame:
         sign = F.col("sign").cast("long")
-        saved = F.when(F.col("is_compressed"), compression_percent()).cast("decimal(20,10)")
+        saved = F.when(F.col("is_compressed"), compression_percent()).cast("decimal(22,12)")
         total = lambda x: F.coalesce(F.sum(sign * x), F.lit(0))
         held = lambda x: F.coalesce(F.sum(F.when(x.isNotNull(), sign)), F.lit(0))
         size, lines = F.col("file_size_bytes").cast("long"), F.col("lines_count").cast("long")
         return rows.groupBy("project_path").agg(
             F.sum(sign).alias("chunks"), total(size).alias("bytes"), held(size).alias("sized"), total(lines).alias("lines"), held(lines).alias("lined"),
-            total(saved).cast("decimal(38,10)").alias("saved"), held(saved).alias("packed"),
+            # A product of decimals would have fewer places.
+            F.coalesce(F.sum(F.when(sign < 0, -saved).otherwise(saved)), F.lit(0)).cast("decimal(38,12)").alias("saved"), held(saved).alias("packed"),
         )
 
     @staticmethod
