@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEVELS = {"debug": 0, "info": 1, "warn": 2, "error": 3}
+#: Groups whose sums a task holds at once.
+TOGETHER = 50_000
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -87,12 +91,72 @@ def enrichment(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model").agg(F.count("*").alias("processed"), (100 * F.avg(F.when(F.col("success"), 1.0).otherwise(0.0))).alias("success_percent"), F.avg(F.col("ms").cast("double")).alias("avg_ms"))
 
 
+def means(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, mean, exact, n``: the mean of ``value`` as ``avg`` has it, the double next to the true mean, and the number of rows, of each ``by``.
+
+    The last digits of ``avg`` follow the order in which rows are added; ``exact`` is the same in any order, and if all rows are repeated. A task adds
+    up as whole numbers and a power of two, at most ``TOGETHER`` of ``by`` at a time. Nulls count as rows alone; of infinities and NaN both means are ``avg``.
+    """
+    together, names = TOGETHER, ["by", "total", "digits", "places", "odd", "valued", "n"]
+    kind = rows.schema[by].dataType.simpleString()
+
+    def add(batches):
+        held: dict = {}
+
+        def told(of):
+            out: dict[str, list] = {n: [] for n in names}
+            for key, (total, exact, places, odd, valued, n) in held.items():
+                for name, x in zip(names, (key, total, f"{exact:x}", places, odd, valued, n), strict=True):
+                    out[name].append(x)
+            kinds = (of, pa.float64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)], names)
+
+        of = None
+        for batch in batches:
+            of = batch.schema.field(0).type
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = held.get(key)
+                if own is None:
+                    if len(held) == together:
+                        yield told(of)
+                    own = held[key] = [0.0, 0, 0, None, 0, 0]
+                own[5] += 1
+                if x is None:
+                    continue
+                own[0] += x
+                own[4] += 1
+                if math.isfinite(x):
+                    whole, parts = x.as_integer_ratio()
+                    more = parts.bit_length() - 1 - own[2]
+                    if more > 0:
+                        own[1] = (own[1] << more) + whole
+                        own[2] += more
+                    else:
+                        own[1] += whole << -more
+                else:
+                    own[3] = x if own[3] is None else own[3] + x
+        if held:
+            yield told(of)
+
+    def mean(sums, valued):
+        places = max(s["places"] for s in sums)
+        total = sum(int(s["digits"], 16) << places - s["places"] for s in sums)
+        return total / (valued << places) if valued else None
+
+    parts = rows.select(F.col(by).alias("by"), F.col(value).cast("double").alias("value")).mapInArrow(add, f"by {kind}, total double, digits string, places int, odd double, valued long, n long")
+    sums = parts.groupBy("by").agg(F.sum("total").alias("total"), F.collect_list(F.struct("digits", "places")).alias("sums"), F.sum("odd").alias("odd"), F.sum("valued").alias("valued"), F.sum("n").alias("n"))
+    both = sums.withColumn("exact", F.coalesce("odd", F.udf(mean, "double", useArrow=True)("sums", "valued")))
+    return both.select(F.col("by").alias(by), F.when(F.abs("total") < float("inf"), F.try_divide("total", "valued")).otherwise(F.col("exact")).alias("mean"), "exact", "n")
+
+
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two set-ups' results ``(query_id, id, points)`` side by side: means by query, and which is better."""
-    mean = lambda df, n: df.groupBy("query_id").agg(F.avg("points").alias(f"points_{n}"), F.count("*").alias(f"results_{n}"))
-    both = mean(a, "a").join(mean(b, "b"), "query_id", "full").fillna(0)
-    better = F.when(F.col("points_a") > F.col("points_b"), "a").when(F.col("points_a") < F.col("points_b"), "b").otherwise("even")
-    return both.withColumn("better", better)
+    """Two set-ups' results ``(query_id, id, points)`` side by side: means by query, and which is better. Equal means are even in any order of rows."""
+    side = lambda df, n: means(df, "query_id", "points").select("query_id", F.col("mean").alias(f"points_{n}"), F.col("n").alias(f"results_{n}"), F.col("exact").alias(f"exact_{n}"))
+    both = side(a, "a").join(side(b, "b"), "query_id", "full")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0).cast(both.schema[c].dataType)) for c in both.columns if c != "query_id"})
+    better = F.when(F.col("exact_a") > F.col("exact_b"), "a").when(F.col("exact_a") < F.col("exact_b"), "b").otherwise("even")
+    return both.withColumn("better", better).drop("exact_a", "exact_b")
 
 
 def rolling(rows: DataFrame, per: str, order: list[str], value: str, n: int = 100) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime
 import gzip
 import json
+import math
 from base64 import b64encode
 
 import pytest
@@ -316,6 +317,35 @@ def test_pairwise_covers_all_pairs(spark):
     assert {x.label: x.pairs for x in entry.queries()["pairwise_stats"](spark, d).collect()} == {k: v * (v - 1) // 2 for k, v in n.items()}
 
 
+def test_compared_means_are_exact(spark, monkeypatch):
+    """Equal means are even however the rows lie; null queries, nulls, NaN, infinities and far values are as SQL has them."""
+    import random
+    from fractions import Fraction
+
+    monkeypatch.setattr(metrics, "TOGETHER", 2)
+    draw = random.Random(5)
+    values = {q: [round(draw.uniform(0, 600), 2) for _ in range(40)] for q in range(30)}
+    a = [(q, v) for q, vs in values.items() for v in vs]
+    b = [(q, v) for q, vs in values.items() for v in vs * 3]
+    draw.shuffle(a), draw.shuffle(b)
+    a += [(100, 1e308), (100, 1.0), (100, -1e308), (101, 5e-324), (102, None), (103, float("nan")), (104, float("inf")), (104, float("-inf")), (105, float("inf")), (None, 2.0), (106, 1e308), (106, 1e308)]
+    b += [(100, 0.3), (101, 0.0), (102, -1.0), (103, 1.0), (104, float("nan")), (105, 1e300), (None, 4.0), (107, -1.0), (107, None)]
+    half = lambda rows: spark.createDataFrame([(q, i, v) for i, (q, v) in enumerate(rows)], "query_id long, id long, points double").repartition(5)
+    found = [tuple(r) for r in metrics.compared(half(a), half(b)).collect()]
+    got = {r[0]: r[1:] for r in found if r[0] is not None}
+    for q, vs in values.items():
+        mean = float(sum(map(Fraction, vs)) / len(vs))
+        assert got[q] == (pytest.approx(mean, abs=1e-9), 40, pytest.approx(mean, abs=1e-9), 120, "even"), q
+    assert got[100][1:] == (3, 0.3, 1, "a")
+    assert got[101] == (5e-324, 1, 0.0, 1, "a")
+    assert got[102] == (0.0, 1, -1.0, 1, "a")
+    assert math.isnan(got[103][0]) and got[103][1:] == (1, 1.0, 1, "a")
+    assert math.isnan(got[104][0]) and math.isnan(got[104][2]) and got[104][4] == "even"
+    assert got[105] == (float("inf"), 1, 1e300, 1, "a")
+    assert got[106] == (1e308, 2, 0.0, 0, "a") and got[107] == (0.0, 0, -1.0, 2, "a")
+    assert sorted(r[1:] for r in found if r[0] is None) == [(0.0, 0, 4.0, 1, "b"), (2.0, 1, 0.0, 0, "a")]
+
+
 def test_contained_names(spark, monkeypatch):
     """Names inside of words, whatever the case, with a file's chunks in several parts."""
     monkeypatch.setattr(analysis, "TOGETHER", 2)
