@@ -184,42 +184,67 @@ def references(chunks: DataFrame) -> DataFrame:
 
 #: Chunks of a file that one task looks through.
 TOGETHER = 2000
+#: Names of a file that one automaton has, owners of a file's names that one task has, and about how many owners of a name are one row.
+NAMES, OWNERS, PIECE = 300_000, 2_000_000, 100_000
 
 
 def contained(chunks: DataFrame) -> DataFrame:
     """``id, refers_to``: chunks of a file whose code has the name of another anywhere, whatever the case.
 
-    ``chunks (file, id, name, code)``. One automaton over a file's names reads each code once, so the work is linear in a file. A file's chunks are dealt
-    over tasks, each with all of the file's names. Null and empty names are found nowhere.
+    ``chunks (file, id, name, code)``. One automaton over a file's names reads each code once, so that work is linear in a file. A file's chunks are dealt
+    over tasks, each with the file's names and their owners; beyond ``NAMES`` names or ``OWNERS`` chunks of a file these are dealt, too, and its codes read
+    once for each deal. A task gives, for each name, who has it in the code and who owns it; the pairs, which grow with the square of a file, are made from
+    that row by row and are neither shuffled nor held. Only pairs with an owner whose id several rows share are, to tell repeated ones. Null and empty names
+    are found nowhere, and null ids and files refer to nothing.
     """
+    rows = chunks.select("file", "id", F.lower("code").alias("code"), F.lower("name").alias("name")).where("file is not null and id is not null")
+    owners = rows.where("name <> ''").select("file", "name", "id")
+    codes = rows.select("file", "id", "code")
+    shared = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if shared.isEmpty():
+        return _referring(codes, owners)
+    several = owners.join(shared, "id", "left_semi").distinct()
+    return _referring(codes, owners.join(shared, "id", "left_anti")).unionByName(_referring(codes, several).distinct())
+
+
+def _referring(codes: DataFrame, owners: DataFrame) -> DataFrame:
+    """``id, refers_to`` of ``codes (file, id, code)`` and ``owners (file, name, id)``; a pair comes once for each name that it is found by."""
     import ahocorasick
 
-    rows = chunks.select("file", "id", F.lower("code").alias("code"), F.lower("name").alias("name"))
-    names = rows.where("name <> ''").select("file", "name").distinct()
-    parts = rows.groupBy("file").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    dealt = rows.join(parts, "file").withColumn("part", F.pmod(F.xxhash64("id", "code"), F.col("parts")).cast("int"))
-    sent = names.join(parts, "file").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    of = owners.schema["id"].dataType.simpleString()
+    deals = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    kinds = owners.groupBy("file").agg(F.count("*").alias("owned"), F.count_distinct("name").alias("names")).select("file", deals("owned", PIECE).alias("pieces"), F.greatest(deals("names", NAMES), deals("owned", OWNERS)).alias("slices"))
+    parts = codes.groupBy("file").agg(F.count("*").alias("n")).select("file", deals("n", TOGETHER).alias("parts"))
+    # Of the files that are dealt at all there are at most as many as rows by TOGETHER: codes meet them without a shuffle.
+    large = F.broadcast(parts.join(kinds, "file", "left").where("parts > 1 or pieces > 1 or slices > 1"))
+    numbers = {c: F.coalesce(c, F.lit(1)) for c in ("parts", "pieces", "slices")}
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    number = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    # All codes of an id lie in one part, so that it has a name once.
+    dealt = codes.join(large, "file", "left").withColumns(numbers).select("file", number("parts", "id").alias("part"), every("slices").alias("slice"), "id", "code")
+    held = owners.join(large, "file", "left").withColumns(numbers).groupBy("file", "parts", "slices", "name", number("pieces", "id").alias("piece")).agg(F.sort_array(F.collect_list("id")).alias("owners"))
+    sent = held.select(F.col("file").alias("of"), number("slices", "name", "piece").alias("place"), every("parts").alias("number"), "name", "owners")
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"file": [], "id": [], "name": []}
+        ids, has = left.schema.field("id").type, {}
         if left.num_rows and right.num_rows:
+            at: dict[str, list[int]] = {}
             automaton = ahocorasick.Automaton()
-            for n in right.column("name").to_pylist():
-                automaton.add_word(n, n)
+            for i, n in enumerate(right.column("name").to_pylist()):
+                if n not in at:
+                    automaton.add_word(n, n)
+                at.setdefault(n, []).append(i)
             automaton.make_automaton()
-            for file, own, code in zip(*(left.column(c).to_pylist() for c in ("file", "id", "code")), strict=True):
+            for own, code in zip(left.column("id").to_pylist(), left.column("code").to_pylist(), strict=True):
                 for n in {n for _, n in automaton.iter(code or "")}:
-                    out["file"].append(file)
-                    out["id"].append(own)
-                    out["name"].append(n)
-        return pa.table({"file": pa.array(out["file"], pa.string()), "id": pa.array(out["id"], left.schema.field("id").type), "name": pa.array(out["name"], pa.string())})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    sent = sent.select(F.col("file").alias("of"), F.col("part").alias("number"), "name")
-    met = dealt.select("file", "part", "id", "code").groupBy("file", "part").cogroup(sent.groupBy("of", "number"))
-    found = met.applyInArrow(find, f"file string, id {kind}, name string")
-    owners = rows.where("name <> ''").select("file", "name", F.col("id").alias("refers_to"))
-    return found.join(owners, ["file", "name"]).where("id <> refers_to").select("id", "refers_to").distinct()
+                    has.setdefault(n, {})[own] = None
+        found = [(list(who), i) for n, who in has.items() for i in at[n]]
+        named = right.column("owners").take(pa.array([i for _, i in found], pa.int64())).cast(pa.list_(ids))
+        return pa.table({"ids": pa.array([who for who, _ in found], pa.list_(ids)), "owners": named})
+
+    met = dealt.groupBy("file", "part", "slice").cogroup(sent.groupBy("of", "number", "place"))
+    found = met.applyInArrow(find, f"ids array<{of}>, owners array<{of}>")
+    return found.select(F.explode("ids").alias("id"), "owners").select("id", F.explode("owners").alias("refers_to")).where("id <> refers_to")
 
 
 def suggestions(text: str, content_type: str) -> list[tuple[int, int, str, float]]:

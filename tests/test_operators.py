@@ -378,3 +378,28 @@ def test_view_state(spark, tmp_path):
     assert same(frame(new))
     state.refresh(frame(new).withColumn("sign", F.lit(-1)))
     assert state.view().collect() == []
+
+
+def test_contained_pairs_are_not_shuffled(spark):
+    """What is shuffled does not grow with the pairs: all chunks have the name of all. Codes are shuffled once."""
+    df = spark.createDataFrame([("f", i, "shared", "a shared name") for i in range(300)], "file string, id long, name string, code string")
+    found = analysis.contained(df)
+    assert found.count() == 300 * 299
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+    lines = plan.split("\n")
+    assert sum("Exchange" in a and "code#" in b for a, b in zip(lines, lines[1:])) == 1
+
+
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_contained_with_repeated_ids(spark, monkeypatch, most):
+    """Ids in several rows and files give each pair once; null ids and files none; names and their owners are dealt over tasks."""
+    for what in ("TOGETHER", "NAMES", "OWNERS", "PIECE"):
+        monkeypatch.setattr(analysis, what, most)
+    rows = [("f", 1, "alpha", "beta alpha"), ("f", 1, "beta", "gamma beta"), ("f", 2, "alpha", "beta alphabeta"), ("g", 2, "alpha", "alpha beta"), ("g", 1, "alpha", "alpha"), ("f", 2, "alpha", "beta alphabeta")]
+    rows += [("f", 3, "beta", "alpha"), ("f", None, "pha", "alpha"), (None, 4, "alpha", "beta"), (None, 5, "beta", "alpha"), ("f", 6, "gamma", None), ("f", 7, None, "gamma"), ("g", 8, "", "alpha")]
+    rows += [("h", i, f"n{i % 5}", f"n{i % 3} n{i % 4}") for i in range(20, 40)]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] and a[0] == b[0] and a[1] and b[1] and a[1] != b[1] and b[2] and b[2].lower() in (a[3] or "").lower()}
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "file string, id long, name string, code string").withColumn("id", F.col("id").cast(kind)).repartition(3)
+        assert sorted((int(x), int(y)) for x, y in analysis.contained(df).collect()) == sorted(want) and len(want) > 50
